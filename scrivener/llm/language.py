@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Bounded training sample: this many texts a language, this many leading characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 48, 2500
+SAMPLE_TEXTS, SAMPLE_CHARS = 64, 500
 #: Texts are compressed in pieces of this size, so that the dictionary weighs as much in long texts as in short ones.
-PIECE_BYTES = 8192
+PIECE_BYTES = 1024
+#: Appended to each piece: zstandard stores very short input as it is, which would tell languages apart by nothing.
+PAD = b" " * 64
+#: Bytes of a frame that say nothing of its content.
+FRAME_BYTES = 8
+#: What is compressed: ASCII letters in lower case and all bytes beyond ASCII; the rest counts as white space.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def letters(text: str) -> bytes:
+    """The letters of a text in UTF-8, runs of anything else as one space."""
+    return b" ".join(text.encode("utf-8", "replace").translate(LETTERS).split())
 
 
 def sample_dictionaries(training: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -38,10 +49,10 @@ def sample_dictionaries(training: DataFrame, *, text: str = "text", lang: str =
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], str(r["_key"]))):
         found.setdefault(r["_lang"], []).append(r["part"])
-    return {k: "\n".join(v).encode() for k, v in found.items()}
+    return {k: b" ".join(map(letters, v)) for k, v in found.items()}
 
 
-def classify(text: Column, dictionaries: dict[str, bytes], *, level: int = 3) -> Column:
+def classify(text: Column, dictionaries: dict[str, bytes], *, level: int = 5) -> Column:
     """Struct ``(lang, score, margin)`` of a whole text.
 
     ``lang`` is the language whose dictionary compresses the text to the fewest bytes
@@ -55,10 +66,10 @@ def classify(text: Column, dictionaries: dict[str, bytes], *, level: int = 3) ->
     blobs = [dictionaries[n] for n in names]
 
     def sizes(packers: list, raw: bytes) -> np.ndarray:
-        out = np.zeros(len(packers))
+        out = np.ones(len(packers))
         for at in range(0, len(raw), PIECE_BYTES):
-            piece = raw[at : at + PIECE_BYTES]
-            out += [len(p.compress(piece)) for p in packers]
+            piece = raw[at : at + PIECE_BYTES] + PAD
+            out += [len(p.compress(piece)) - FRAME_BYTES for p in packers]
         return out
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -66,14 +77,14 @@ def classify(text: Column, dictionaries: dict[str, bytes], *, level: int = 3) ->
         for blob in blobs:
             d = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            packers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False))
+            packers.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
         for batch in batches:
             out = []
             for t in batch:
                 if t is None or not packers or not any(map(str.isalpha, t)):
                     out.append((UNKNOWN, 0.0, 0.0))
                     continue
-                s = sizes(packers, t.encode("utf-8", "replace"))
+                s = sizes(packers, letters(t))
                 best = int(s.argmin())
                 rest = np.delete(s, best)
                 share = float(1 / np.exp2(np.minimum(0, s[best] - s)).sum())
