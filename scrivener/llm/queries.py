@@ -7,8 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, simhash
-from .common import held_out, table
+from . import decontaminate, language, rules, simhash, toxicity
+from .common import held_out, staged, table
+
+
+def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = staged(docs.select("doc_id", "source", rules.text_counts(F.col("text")).alias("c")).select("doc_id", "source", "c.*"), "counts")
+    judged = rules.judge(counted, host="source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("_hits").alias("hit")).select(
+        "doc_id", F.col("hit.item").alias("item_id"), "hit.similarity", F.col("hit.start").alias("start_word"), F.col("hit.words").alias("window_words"), "hit.distance"
+    )
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +46,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_toxicity": op1_pu_toxicity,
+    "op2_host_rules": op2_host_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
