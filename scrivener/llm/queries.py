@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, rules, simhash, toxicity
+from . import decontaminate, language, mixing, rules, simhash, toxicity, warc
 from .common import held_out, staged, table
 
 
@@ -34,6 +34,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(warc.record_chunks(pages), warc.archive_folder(spark))
+    records = warc.record_digests(warc.read_chunks(manifest, with_data=False))
+    ids = [F.col(c).try_cast("long").alias(a) for c, a in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    return records.select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.by_turns(1, 2, 3))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
@@ -48,6 +61,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_toxicity": op1_pu_toxicity,
     "op2_host_rules": op2_host_rules,
+    "op4_warc_chunks": op4_warc_chunks,
+    "op5_source_mix": op5_source_mix,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
