@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, rules, simhash, toxicity, warc
+from . import decontaminate, language, licenses, mixing, rules, secrets, simhash, toxicity, warc
 from .common import held_out, staged, table
 
 
@@ -34,6 +34,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "finding", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "path", "probability", "confirmed")
+
+
 def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest = warc.write_archives(warc.record_chunks(pages), warc.archive_folder(spark))
@@ -47,6 +52,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,11 +70,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_toxicity": op1_pu_toxicity,
     "op2_host_rules": op2_host_rules,
+    "op3_secret_forest": op3_secret_forest,
     "op4_warc_chunks": op4_warc_chunks,
     "op5_source_mix": op5_source_mix,
+    "op6_license_dice": op6_license_dice,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_dice": licenses.oracle(),
+}
