@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -208,8 +208,8 @@ def linked_edges(codes: DataFrame, *, radius: int = RADIUS, split: int = SPLIT,
     return edges
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """Rows ``(key, fp, component_id)``, one for each row of ``docs``.
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = RADIUS, split: int = SPLIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``(key, fp, component_id)`` and the columns of ``carry``, one for each row of ``docs``.
 
     ``component_id`` is the smallest key reachable over links of fingerprints that differ
     in ``radius`` or fewer bits, the row's own included. Equal fingerprints are one node,
@@ -217,12 +217,27 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     their fingerprint but name none (null if all keys of the component are null); null
     and empty texts have fingerprint 0 and link like any other.
     """
-    prints = staged(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle=shingle).alias("fp")), "prints")
+    prints = staged(docs.select(F.col(key).alias("_key"), *carry, fingerprint(F.col(text), shingle=shingle).alias("fp")), "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("_key").alias("node")), "codes")
     edges = staged(linked_edges(nodes.where("node is not null"), radius=radius, split=split), "edges")
     labels = connected_components(edges)
     classes = nodes.join(labels, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(F.col("_key").alias(key), "fp", "component_id")
+    return prints.join(classes, "fp", "left").select(F.col("_key").alias(key), "fp", "component_id", *carry)
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest key.
+
+    Of rows that repeat in key and text one stays. Groups in which every key is null have
+    no smallest; of their rows those with different texts stay. Texts are shuffled once,
+    by a hash of key and text.
+    """
+    mark = "_hash_of_row"
+    marked = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
+    found = near_duplicates(marked, text=text, key=key, carry=(mark,), **how)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(mark).distinct()
+    place = F.row_number().over(Window.partitionBy(mark).orderBy(F.col(key)))
+    return marked.join(kept, mark, "left_semi").withColumn("_place_of_row", place).where("_place_of_row = 1").select(*docs.columns)
 
 
 def hex_print(fp: Column) -> Column:
