@@ -12,7 +12,7 @@ from ..functions.metrics import f1, percent, ratio
 
 def with_total(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], *, total: str = "All") -> DataFrame:
     """Aggregates by ``keys`` and over everything, in one pass; the total row has ``total`` in each key."""
-    rolled = df.rollup(*[F.struct(*keys).alias("_k")]).agg(*aggregates, F.grouping("_k").alias("_all"))
+    rolled = df.withColumn("_k", F.struct(*keys)).rollup("_k").agg(*aggregates, F.grouping("_k").alias("_all"))
     return rolled.select(*[F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(f"_k.{k}")).alias(k) for k in keys], *[c for c in rolled.columns if c not in ("_k", "_all")])
 
 
