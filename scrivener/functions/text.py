@@ -99,7 +99,7 @@ def clean_name(c: Column, *, drop_digits: bool = True, keep_periods: bool = Fals
 
 def join_filled(*cols: Column, sep: str = " ") -> Column:
     """The values that are not blank, trimmed, joined by ``sep``."""
-    return F.array_join(F.filter(F.transform(F.array(*cols), F.trim), lambda x: x.isNotNull() & (x != "")), sep)
+    return F.array_join(F.filter(F.transform(F.array(*cols), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), sep)
 
 
 def strip_na(c: Column) -> Column:
