@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, records, relational, texts  # noqa: F401
+from .plans import aggregates, files, records, relational, texts  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a19_precision_recall"
