@@ -48,7 +48,8 @@ def changes(new: DataFrame, old: DataFrame, keys: Sequence[str], count: str) ->
 def forward_only(ladder: Sequence[str], old: Column, new: Column) -> Column:
     """The later of two statuses on a ladder; one that is not on it never wins."""
     steps = F.array(*[F.lit(s) for s in ladder])
-    return F.element_at(steps, F.nullif(F.greatest(F.array_position(steps, old), F.array_position(steps, new)).cast("int"), F.lit(0)))
+    step = F.greatest(F.coalesce(F.array_position(steps, old), F.lit(0)), F.coalesce(F.array_position(steps, new), F.lit(0)))
+    return F.when(step > 0, F.get(steps, (step - 1).cast("int")))
 
 
 def appended(old: DataFrame, new: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

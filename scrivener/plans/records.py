@@ -162,12 +162,15 @@ def _(t):
 
 
 # ---- rules -------------------------------------------------------------------------------------------
-ORDER_RULES = [
-    R.Rule("price_low", "value", R.WARN, F.col("o_totalprice") < 5000, "small total"),
-    R.Rule("late", "date", R.BLOCK, F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"), "after the period", ("cf1",)),
-    R.Rule("urgent_open", "status", R.BLOCK, (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"), "urgent and open"),
-    R.Rule("risky", "risk", R.RISK, F.col("o_totalprice") > 400000, "large total"),
-]
+def order_rules():
+    return [
+        R.Rule("price_low", "value", R.WARN, F.col("o_totalprice") < 5000, "small total"),
+        R.Rule("late", "date", R.BLOCK, F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"), "after the period", ("cf1",)),
+        R.Rule("urgent_open", "status", R.BLOCK, (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"), "urgent and open"),
+        R.Rule("risky", "risk", R.RISK, F.col("o_totalprice") > 400000, "large total"),
+    ]
+
+
 FIRED = "list_filter([CASE WHEN o_totalprice < 5000 THEN 'price_low' END, CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' THEN 'late' END, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'urgent_open' END, CASE WHEN o_totalprice > 400000 THEN 'risky' END], lambda x: x IS NOT NULL)"
 
 
@@ -178,17 +181,17 @@ def _(t):
 
 @query("r02_rule_list", f"SELECT rule, count(*) AS n FROM (SELECT unnest({FIRED}) AS rule FROM orders) GROUP BY 1")
 def _(t):
-    return t.orders.select(F.explode(R.fired(ORDER_RULES)).alias("x")).groupBy(F.col("x.rule").alias("rule")).agg(F.count("*").alias("n"))
+    return t.orders.select(F.explode(R.fired(order_rules())).alias("x")).groupBy(F.col("x.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query("r03_rule_run", f"SELECT o_orderkey, (len(list_filter(f, lambda x: x IN ('late', 'urgent_open'))))::INTEGER AS n_critical, (len(list_filter(f, lambda x: x = 'price_low')))::INTEGER AS n_warning, len(list_filter(f, lambda x: x IN ('late', 'urgent_open'))) = 0 AS can_generate FROM (SELECT o_orderkey, {FIRED} AS f FROM orders)")
 def _(t):
-    return R.run_rules(t.orders, ORDER_RULES, "cf1").select("o_orderkey", "n_critical", "n_warning", "can_generate")
+    return R.run_rules(t.orders, order_rules(), "cf1").select("o_orderkey", "n_critical", "n_warning", "can_generate")
 
 
 @query("r04_critical_subset", f"SELECT o_orderkey, list_filter({FIRED}, lambda x: x = 'urgent_open') AS rules FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(t):
-    critical = [r for r in ORDER_RULES if r.severity == R.BLOCK and not r.scopes]
+    critical = [r for r in order_rules() if r.severity == R.BLOCK and not r.scopes]
     return t.orders.where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.transform(R.fired(critical), lambda x: x["rule"]).alias("rules"))
 
 
