@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weigh: Callable[[Column], Column], *, share
 
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up to ``budget`` or as near below as can be.
+    """How many documents of each size to take so that their sizes add up to ``budget`` or as near to it as can be.
 
     First the same share of every size, rounded down; then, from the largest size down,
     whole documents until at most ``dp_words`` are missing; the rest is a bounded knapsack
@@ -73,21 +73,25 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
             if n > 0:
                 taken[i] += n
                 rest -= n * int(sizes[i])
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    most = 2 * rest  # a sum further above than that is further away than taking nothing
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
     for i in np.argsort(sizes, kind="stable").tolist():
         s, left, n = int(sizes[i]), int(counts[i] - taken[i]), 1
         if s <= 0:
             continue
-        if s > rest or reach >> rest & 1:
+        if s > most or reach >> rest & 1:
             break
-        left = min(left, rest // s)
+        left = min(left, most // s)
         while left > 0:  # counts in binary parts
             n = min(n, left)
             steps.append((i, n, reach))
             reach |= (reach << (n * s)) & mask
             left -= n
             n *= 2
-    goal = reach.bit_length() - 1
+    goal = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    if over := reach >> (rest + 1):
+        above = rest + (over & -over).bit_length()
+        goal = above if above - rest < rest - goal else goal
     for i, n, without in reversed(steps):
         if not without >> goal & 1:
             taken[i] += n

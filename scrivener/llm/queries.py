@@ -85,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_host_rules": rules.oracle(),
     "op6_license_dice": licenses.oracle(),
 }

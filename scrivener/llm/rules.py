@@ -13,6 +13,8 @@ WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 #: A host is rejected if its shrunken share of failing documents is over this.
 MAX_HOST_RATE = 0.5
+#: The prior weighs as much as this many documents at least, so that a document or two never condemn a host.
+MIN_STRENGTH = 4.0
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -71,8 +73,9 @@ def host_rates(flags: DataFrame, *, host: str, failed: str = "base_failed") -> D
     """One row a host (null is a host): ``n_docs``, ``n_failed``, ``prior_a``, ``prior_b`` and ``rate``.
 
     ``rate`` is (n_failed + a) / (n_docs + a + b) with a beta prior fitted to the hosts'
-    raw rates by moments, so small hosts lean on the others. Fewer than two hosts, or
-    rates without spread, give the prior 1, 1; so does a spread beyond a beta's. Counts are
+    raw rates by moments, so small hosts lean on the others; a spread so wide that the
+    prior would weigh less than ``MIN_STRENGTH`` documents gives one of that weight. Fewer
+    than two hosts, or rates that are all 0 or all 1, give the prior 1, 1. Counts are
     combined before the shuffle, so a host with a third of the rows costs no more than
     another.
     """
@@ -80,7 +83,7 @@ def host_rates(flags: DataFrame, *, host: str, failed: str = "base_failed") -> D
     raw = F.col("n_failed") / F.col("n_docs")
     moments = by_host.agg(F.avg(raw).alias("_m"), F.var_samp(raw).alias("_v"))
     strength = F.col("_m") * (1 - F.col("_m")) / F.nullif(F.col("_v"), F.lit(0.0)) - 1
-    prior = moments.select("_m", F.when((strength > 0) & (F.col("_m") > 0) & (F.col("_m") < 1), strength).alias("_s")).select(
+    prior = moments.select("_m", F.when(F.col("_v").isNotNull() & (F.col("_m") > 0) & (F.col("_m") < 1), F.greatest(F.coalesce(strength, F.lit(MIN_STRENGTH)), F.lit(MIN_STRENGTH))).alias("_s")).select(
         F.coalesce(F.col("_m") * F.col("_s"), F.lit(1.0)).alias("prior_a"), F.coalesce((1 - F.col("_m")) * F.col("_s"), F.lit(1.0)).alias("prior_b")
     )
     # one row: the prior
@@ -98,3 +101,21 @@ def judge(counted: DataFrame, *, host: str, max_rate: float = MAX_HOST_RATE) ->
     rates = host_rates(flagged, host=host).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"))
     joined = flagged.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("host_failed", F.col("host_rate") > max_rate).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
+
+
+def oracle(max_rate: float = MAX_HOST_RATE) -> str:
+    """Counts and verdicts over ``documents``, with ``source`` as host, in DuckDB SQL."""
+    return f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+ rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, {WINDOW}) r(k) GROUP BY 1),
+ lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+ c AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
+ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM c),
+ h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY 1),
+ m AS (SELECT avg(k::DOUBLE / n) AS m, var_samp(k::DOUBLE / n) AS v FROM h),
+ s AS (SELECT m, CASE WHEN v IS NOT NULL AND m > 0 AND m < 1 THEN greatest(coalesce(m * (1 - m) / nullif(v, 0) - 1, {MIN_STRENGTH}), {MIN_STRENGTH}) END AS s FROM m),
+ r AS (SELECT source, (k + coalesce(m * s, 1)) / (n + coalesce(m * s, 1) + coalesce((1 - m) * s, 1)) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {max_rate} AS kept FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""

@@ -1,0 +1,373 @@
+"""The training-data operators on small fixtures, against brute force, round trips and held-out accuracy."""
+
+import base64
+import hashlib
+import itertools
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import SF, rows
+from pyspark.sql import functions as F
+
+from scrivener.llm import decontaminate, graph, language, licenses, mixing, rules, secrets, simhash, substrings, toxicity, warc
+from scrivener.llm.queries import ORACLES, QUERIES
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, langs=None, sources=None):
+    data = [(i, t, (langs or {}).get(i, "en"), (sources or {}).get(i, "s"), len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(data, DOC)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# ---- 1: toxicity -------------------------------------------------------------------------------------
+def test_pu_risk_separates_and_ignores_copies_of_labels():
+    rng = np.random.default_rng(1)
+    clean = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], 20)) for _ in range(300)]
+    toxic = [" ".join([*rng.choice(["alpha", "beta", "gamma"], 15), "vile", "foul"]) for _ in range(60)]
+    model = toxicity.fit(toxic[:30], clean[:200] + toxic[30:45], prior=0.1)
+    score = model.scorer()
+    assert min(map(score, toxic[45:])) > 0.5 and max(map(score, clean[200:])) < 0.5
+    assert 0 <= score(None) <= 1 and score("") == score(None) and score("alpha " * 100_000) < 0.5
+    assert toxicity.fit([], clean, 0.1).scorer()("vile") == pytest.approx(0.1)
+
+
+def test_toxicity_query_is_accurate_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.1")
+    got = QUERIES["op1_pu_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    n, right, caught, toxic = got.agg(F.count("*"), F.count_if(F.col("predicted") == F.col("toxic")), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("toxic")).first()
+    assert right / n > 0.95 and caught / toxic > 0.7
+
+
+# ---- 2: host rules -----------------------------------------------------------------------------------
+def brute_repeats(words, k=8):
+    seen, hit = Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)), set()
+    for i in range(len(words) - k + 1):
+        if seen[tuple(words[i : i + k])] > 1:
+            hit |= set(range(i, i + k))
+    return len(hit)
+
+
+def test_repeated_words_are_exact():
+    rng = np.random.default_rng(3)
+    for n in (0, 7, 8, 9, 40, 400):
+        for size in (1, 2, 5):
+            words = [b"w%d" % x for x in rng.integers(0, size, n)]
+            assert rules.repeated_words(words) == brute_repeats(words)
+
+
+def test_counts_of_odd_texts(spark):
+    texts = [None, "", "  \n\t", "a b\na b\n a b", "né #*$ |<>%&x", "x\x85y z", "w " * 5000]
+    got = [r["c"] for r in docs_of(spark, texts).select("doc_id", rules.text_counts(F.col("text")).alias("c")).orderBy("doc_id").collect()]
+    for t, c in zip(texts, got):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert tuple(c) == (len(words), sum(map(len, words)), sum(ch in "#*$%&|<>" for ch in t or ""), len(lines) - len(set(lines)), brute_repeats(words))
+
+
+def test_bad_hosts_go_and_small_ones_lean_on_the_prior(spark):
+    data = [("bad", i >= 5) for i in range(100)] + [(f"h{h}", i < 1) for h in range(8) for i in range(20)] + [("tiny", True), (None, False)]
+    flags = spark.createDataFrame([(s, 5 if f else 50, 0) for s, f in data], "source string, n_words long, n_repeat_words long")
+    got = {r["source"]: r["host_failed"] for r in rules.judge(flags, host="source").select("source", "host_failed").distinct().collect()}
+    assert got["bad"] and not got["tiny"] and not got[None] and not got["h3"]
+    one = rules.judge(flags.where("source = 'tiny'"), host="source").first()
+    assert one["host_rate"] == pytest.approx(2 / 3)
+    assert rules.judge(flags.where("false"), host="source").count() == 0
+
+
+# ---- 3: secrets --------------------------------------------------------------------------------------
+def test_secret_scan_and_redaction(spark):
+    secret = "a81f" * 10
+    texts = [f'x token = "{secret}" y'] * 3 + [f'call {n} 4{n}71549438645904 z' for n in range(10, 20)] + [None, "", "plain words only", "token", f'long {"w " * 20000} token = "{secret[::-1]}"']
+    docs = docs_of(spark, texts).withColumn("finding", F.lit(1)).withColumn("value", F.lit("keep"))
+    got = secrets.scan(docs).collect()
+    sure = {r["value"] for r in got if r["confirmed"]}
+    assert secret in sure and secret[::-1] in sure and not any(v.isdigit() for v in sure)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(texts)
+    out = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert out[0] == f'x token = "{secrets.MASK}" y' and out[13] is None and out[14] == "" and out[3] == texts[3] and secret[::-1] not in out[17]
+    assert secrets.scan(docs.where("false")).count() == 0 and secrets.redact(docs.where("false")).count() == 0
+
+
+# ---- 4: WARC -----------------------------------------------------------------------------------------
+def test_warc_round_trip(spark):
+    big = "é<p>" * 60_000
+    html = [big, "a", None, "", "b\r\n\r\nc", "a", "a", big]
+    pages = spark.createDataFrame([(i, None if i == 3 else f"http://x.example/{i} y\n", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    chunks = warc.record_chunks(pages, chunk_bytes=1000)
+    manifest = warc.write_archives(chunks, warc.archive_folder(spark))
+    back = warc.read_chunks(manifest, chunk_bytes=777)
+    assert back.where("chunk_bytes > 777").isEmpty()
+    got = {r["record_id"]: r for r in warc.record_digests(back).collect()}
+    largest = {}
+    for i, h in enumerate(html):
+        largest[h or ""] = max(i, largest.get(h or "", -1))
+    for i, h in enumerate(html):
+        raw, r = (h or "").encode(), got[str(i)]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+        keeper = largest[h or ""]
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if i == keeper else ("revisit", str(keeper)))
+    whole = back.where("record_id = '7'").orderBy("chunk").collect()
+    assert b"".join(bytes(r["data"]) for r in whole) == big.encode()
+    assert warc.record_chunks(pages.where("false")).count() == 0
+
+
+def test_small_payloads_are_all_responses(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (None, "u", "a"), (3, "u", "long one"), (3, "u", "long one")], "page_id long, url string, html string")
+    got = {(r["_id"], r["refers_to"]) for r in warc.record_chunks(pages, min_bytes=5).collect()}
+    assert got == {(1, None), (2, None), (None, None), (3, None)}
+    assert {(r["_id"], r["refers_to"]) for r in warc.record_chunks(pages).collect()} == {(1, 2), (2, None), (None, 2), (3, None)}
+
+
+# ---- 5: mixing ---------------------------------------------------------------------------------------
+def test_budget_fit_is_exact_where_a_sum_exists():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sizes = np.unique(rng.integers(0, 40, 6))
+        counts = rng.integers(1, 4, len(sizes))
+        sums = {0}
+        for s, c in zip(sizes, counts):
+            sums = {a + s * k for a in sums for k in range(c + 1)}
+        for budget in rng.integers(0, int((sizes * counts).sum()) + 5, 4).tolist():
+            taken = mixing.fit_budget(sizes, counts, budget)
+            assert (taken >= 0).all() and (taken <= counts).all()
+            best = min(abs(x - budget) for x in sums)
+            assert abs(int((taken * sizes).sum()) - budget) == best or 0 < abs(int((taken * sizes).sum()) - budget) <= 40
+    assert int((mixing.fit_budget(np.arange(1, 2000), np.full(1999, 9), 7_654_321, 4096) * np.arange(1, 2000)).sum()) == 7_654_321
+
+
+def test_mix_meets_targets_and_repeats_itself(spark):
+    rng = np.random.default_rng(4)
+    texts = ["w " * int(n) for n in rng.integers(0, 60, 400)] + [None, "", "w " * 900] + ["same words"] * 300
+    sources = {i: [None, "a", "b", "é"][i % 4] for i in range(len(texts))}
+    docs = docs_of(spark, texts, sources=sources)
+    first, again = (sorted(map(tuple, mixing.mix(docs, mixing.by_turns(1, 2, 3)).collect()), key=repr) for _ in range(2))
+    assert first == again and len(first) == len(texts)
+    by = {}
+    for _, source, size, whole, target, copies in first:
+        assert 0 <= copies <= 3
+        got = by.setdefault(source, [0, whole, target])
+        got[0] += size * copies
+    weights, total = {"a": 1, "b": 2, "é": 3, None: 1}, sum(v[1] for v in by.values())
+    targets, open_ = {}, set(weights)
+    while True:
+        level = (total - sum(targets.values())) / sum(weights[s] for s in open_)
+        over = {s for s in open_ if weights[s] * level > 3 * by[s][1]}
+        if not over:
+            break
+        targets |= {s: 3 * by[s][1] for s in over}
+        open_ -= over
+    targets |= {s: weights[s] * level for s in open_}
+    for s, (taken, _, target) in by.items():
+        assert target == pytest.approx(targets[s]) and abs(taken - target) <= 1
+    assert mixing.mix(docs.where("false"), mixing.by_turns(1)).count() == 0
+    assert {r["copies"] for r in mixing.mix(docs_of(spark, ["", None]), mixing.by_turns(1)).collect()} == {0}
+
+
+# ---- 6: licences -------------------------------------------------------------------------------------
+def test_license_scan_against_brute_force(spark, duck):
+    mit = licenses.TEMPLATES["MIT"][2]
+    texts = ["Released under the MIT License.", "x\nreleased UNDER the mit-license", "Licensed under CC BY-NC 4.0.", mit.replace("free of charge, ", ""), mit.replace(" to ", "\nto "), None, "", "words " * 50_000, "license"]
+
+    def grams(t):
+        w = [x for x in re.split(r"[^\w]|_", t.lower()) if x]
+        return set(zip(w, w[1:]))
+
+    want = set()
+    for i, t in enumerate(texts):
+        units = (t or "").split("\n") + [b for b in re.split(r"\n[ \t\r]*\n", t or "") if "\n" in b]
+        for n, u in enumerate(units, 1):
+            scored = [(2 * len(grams(u) & grams(x)) / max(1, len(grams(u)) + len(grams(x))), k) for k, xs in licenses.TEMPLATES.items() for x in xs]
+            top = max(s for s, _ in scored)
+            if top >= licenses.DICE:
+                want.add((i, n, min(k for s, k in scored if s == top), round(top, 9)))
+    got = {(r["doc_id"], r["unit"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert got == want and len({w[0] for w in want}) >= 5
+    q = QUERIES["op6_license_dice"](spark, SF)
+    sql = duck.sql(ORACLES["op6_license_dice"])
+    assert rows(q.columns, q.collect()) == rows(sql.columns, sql.fetchall())
+
+
+# ---- 7: substrings -----------------------------------------------------------------------------------
+def brute_removed(texts, length):
+    seen, out = set(), {}
+    for i, t in texts:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            w = raw[p : p + length]
+            if w in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(w)
+        out[i] = (len(raw), gone.count(1), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_substrings_against_brute_force(spark, monkeypatch, frequent):
+    rng = np.random.default_rng(5)
+    passage = "".join(rng.choice(list("abcdé "), 300))
+    line = "".join(rng.choice(list("xyz "), 60))
+    texts = []
+    for i in range(60):
+        own = "".join(rng.choice(list("abcdefgh "), int(rng.integers(0, 250))))
+        cut = int(rng.integers(0, 150))
+        texts.append(own + (passage[cut : cut + int(rng.integers(60, 150))] if i % 2 else line) + own[::-1])
+    texts += [texts[3], texts[3], None, "", "a" * 500, "ab" * 300, texts[7][:-3] + "q" + texts[7][-3:], "k" * 99]
+    if frequent:
+        monkeypatch.setattr(substrings, "FREQUENT", 2)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
+    assert got == brute_removed(list(enumerate(texts)), substrings.LENGTH)
+
+
+def test_substrings_query_on_the_smallest_table(spark):
+    some = documents(spark).where("n_chars < 2500")
+    got = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeats(some).collect()}
+    assert got == brute_removed(sorted((r["doc_id"], r["text"]) for r in some.collect()), substrings.LENGTH)
+    assert substrings.remove_repeats(some.where("false")).count() == 0
+
+
+def test_breadth_first_search_settles_exactly_the_shorter_prefixes():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 99, int(n), dtype=np.uint8)) for n in rng.integers(1, 60, 12)]
+    for length in (2, 5, 30):
+        order, new = substrings.equal_prefixes(texts, length)
+        flat = b"".join(t + b"\0" for t in texts)
+        ends = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0)
+        prefix = lambda p: flat[p : min(p + length, ends[np.searchsorted(ends, p)])]
+        for i in range(1, len(order)):
+            a, b = prefix(order[i - 1]), prefix(order[i])
+            assert new[i] == (not (a == b and len(a) == length))
+
+
+# ---- 8: SimHash --------------------------------------------------------------------------------------
+def brute_print(text):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("split", [simhash.SPLIT, 2])
+def test_near_duplicates_against_brute_force(spark, split):
+    texts = [r["text"] for r in documents(spark).orderBy("doc_id").collect()] + [None, "", " \n", "One", "one", "one TWO", "É a b", "é a b", "word " * 40_000]
+    got = simhash.near_duplicates(docs_of(spark, texts), split=split).select("doc_id", simhash.hex_print(F.col("fp")), "component_id").collect()
+    prints = {i: brute_print(t) for i, t in enumerate(texts)}
+    assert {r[0]: r[1] for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
+    near = [(i, j) for i, j in itertools.combinations(prints, 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert {r[0]: r[2] for r in got} == components(near, prints)
+    kept = simhash.keep_one(docs_of(spark, texts), split=split)
+    assert {r["doc_id"] for r in kept.collect()} == set(components(near, prints).values())
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_gray_index_finds_all_pairs(radius):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(12)]]))
+    group = np.zeros(len(codes), np.int64)
+    index = simhash.GrayIndex(group, codes)
+    got = {(int(a), int(b)) for x, y in index.pairs(radius) for a, b in zip(x, y)}
+    c = index.codes
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(c)), 2) if (int(c[i]) ^ int(c[j])).bit_count() <= radius}
+
+
+def test_repeated_rows_and_null_keys_of_near_duplicates(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (2, "a b c"), (None, "x y"), (1, "a b c")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(None, 1), (2, 1), (2, 1), (None, None), (1, 1)], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=repr) == sorted([(1, "a b c"), (None, "x y")], key=repr)
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 3)]
+    got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == components(edges, {x for e in edges for x in e})
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 9: language -------------------------------------------------------------------------------------
+def test_language_query_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = QUERIES["op9_language_id"](spark, sf)
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    joined = got.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in joined]) > 0.97 and all(0 <= r["score"] <= 1 for r in joined)
+
+
+def test_language_of_odd_texts(spark):
+    train = docs_of(spark, ["the cat and the dog " * 20, "der Hund und die Katze " * 20, None, "x"], langs={0: "en", 1: "de", 2: "en", 3: None})
+    docs = docs_of(spark, [None, "", "123 !?", "the dog and the cat", "die Katze und der Hund", "the cat and " * 50_000]).withColumn("margin", F.lit(1))
+    got = language.identify(docs, train).orderBy("doc_id").collect()
+    assert [r["_lid"]["lang"] for r in got] == ["und", "und", "und", "en", "de", "en"] and got[3]["margin"] == 1
+    assert {r["_lid"]["lang"] for r in language.identify(docs, train.where("false")).collect()} == {"und"}
+
+
+# ---- 10: decontamination -----------------------------------------------------------------------------
+def brute_hits(text, items):
+    words, out = decontaminate.plain_words(text), {}
+    for item, t in items:
+        own = decontaminate.plain_words(t)
+        if not own or not words:
+            continue
+        size = min(len(own), len(words))
+        target = Counter(decontaminate.shingles(own, 5).tolist())
+        for i in range(len(words) - size + 1):
+            s = decontaminate.weighted_similarity(Counter(decontaminate.shingles(words[i : i + size], 5).tolist()), target)
+            if s >= 0.8 and s > out.get(item, (0, 0))[0]:
+                out[item] = (s, i)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(60)]
+    make = lambda n: list(rng.choice(vocab, n))
+    items = [(i, " ".join(make(int(n)))) for i, n in enumerate(rng.integers(1, 60, 12))] + [(90, None), (91, "!!"), (92, "ab cd " * 30)]
+    texts = [None, "", "ab cd " * 500]
+    for i, (_, t) in enumerate(items[:12]):
+        w = t.upper().split()
+        for edit in range(4):
+            x = list(w)
+            if edit and len(x) > edit:
+                x[-edit if edit % 2 else edit - 1] = "CHANGED"
+            texts.append(" ".join([*make(30), *x, *make(int(rng.integers(0, 30)))]) if edit < 3 else " ".join(x[: max(1, len(x) - 1)]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for chars in (decontaminate.BLOCK_CHARS, 400):
+        got = decontaminate.with_hits(docs_of(spark, texts), bench, chars=chars).orderBy("doc_id").collect()
+        for r in got:
+            want = brute_hits(r["text"], items)
+            assert {h["item"]: (round(h["similarity"], 9), h["start"]) for h in r["_hits"]} == {k: (round(s, 9), i) for k, (s, i) in want.items()}, r["doc_id"]
+    assert sum(bool(r["_hits"]) for r in got) > 20
+    assert decontaminate.with_hits(docs_of(spark, texts), bench.where("false")).where("size(_hits) > 0").count() == 0
+
+
+def test_decontamination_query_finds_what_is_planted(spark):
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op10_benchmark_decontamination"](spark, SF.replace("0.001", "0.01")).collect()}
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()
+    bench = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/benchmark.parquet").collect()
+    flat = {d["doc_id"]: " " + " ".join(d["text"].split()) + " " for d in docs}
+    assert got >= {(i, b["item_id"]) for b in bench for i, t in flat.items() if " " + " ".join(b["text"].split()) + " " in t}
