@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import evaluation as E
 from ..operators import learning as L
 from ..operators import linkage as K
 from ..operators import ordered as W

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import ordered as W
 from ..operators import stores as K
 from .base import query
