@@ -406,3 +406,48 @@ def _(t):
 def _(t):
     m = cells(t).where("raw <> ''").groupBy("page").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("row", "raw")))).alias("m"))
     return m.select("page", F.size("m").cast("long").alias("n_values"), F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ";").alias("packed"))
+
+
+# ---- the correction cascade ------------------------------------------------------------------------------
+@query("f17_code_format")
+def _(t):
+    from ..operators.correction import reshape_code
+
+    y, n = F.date_format("o_orderdate", "yyyy"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")
+    code = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("2o20 "), n)).otherwise(F.concat(y, F.lit("/"), n))
+    known = [str(x) for x in range(1995, 2002)]
+    return t.orders.select("o_orderkey", code.alias("code"), reshape_code(code, prefix="2020", known=known).alias("shaped"))
+
+
+def vocabulary(t):
+    words = L.entries(t.part, ["p_type"], "p_name").where("entry_type = 'word'")
+    return words.select(F.col("p_type").alias("field"), "entry_type", F.col("entry_key").alias("entry"), F.col("n").alias("weight"))
+
+
+@query("f18_split_run_together", """SELECT DISTINCT p_type AS field, upper(replace(p_name, ' ', '')) AS word, upper(split_part(p_name, ' ', 1)) AS "left", upper(split_part(p_name, ' ', 2)) AS "right" FROM part WHERE length(split_part(p_name, ' ', 1)) >= 4 AND length(split_part(p_name, ' ', 2)) >= 4""")
+def _(t):
+    from ..operators.correction import split_run_together
+
+    names = F.split("p_name", " ")
+    joined = t.part.where((F.length(names[0]) >= 4) & (F.length(names[1]) >= 4)).select(F.col("p_type").alias("field"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("word"))
+    return split_run_together(joined, vocabulary(t), ["field"], "word")
+
+
+@query("f19_cascade")
+def _(t):
+    from ..operators.correction import correct
+
+    c = cells(t).select("cell", "field", "raw", "truth")
+    learned = c.where("cell % 4 = 0 and raw <> '' and truth <> ''")
+    whole = learned.groupBy("field", F.upper("raw").alias("wrong"), F.col("truth").alias("correct")).agg(F.count("*").alias("n"))
+    support = lambda counts: L.supported_mode(counts, ["field", "wrong"], "correct").where("correct <> wrong")
+    words = L.word_patterns(learned, ["field"], "raw", "truth")
+    return correct(c.where("cell % 4 <> 0"), ["field"], "raw", "fixed", values=support(whole), words=support(words), entries=vocabulary(t)).select("cell", "fixed", "fixed_by")
+
+
+@query("f20_city_words")
+def _(t):
+    from ..operators.correction import is_city_like, is_city_run_together
+
+    w = F.upper(F.col("c_mktsegment"))
+    return t.customer.select("c_custkey", is_city_like(F.replace(w, F.lit("I"), F.lit("1")), "BUILDING", "BD").alias("like"), is_city_run_together(F.concat(w, F.lit("CTY")), "BUILDING").alias("together"))

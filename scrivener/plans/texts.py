@@ -113,7 +113,7 @@ def _(t):
     return t.part.select("p_partkey", X.like_case(written, F.col("p_brand")).alias("v"))
 
 
-@query("f19_correct_words", f"""WITH {CELLS}, w AS (SELECT field, cell, raw, unnest(string_split(raw, ' ')) AS x, generate_subscripts(string_split(raw, ' '), 1) AS i FROM cells WHERE raw <> '' AND raw = trim(raw) AND raw NOT LIKE '%  %')
+@query("f19_word_corrections", f"""WITH {CELLS}, w AS (SELECT field, cell, raw, unnest(string_split(raw, ' ')) AS x, generate_subscripts(string_split(raw, ' '), 1) AS i FROM cells WHERE raw <> '' AND raw = trim(raw) AND raw NOT LIKE '%  %')
  SELECT cell, string_agg(CASE x WHEN 'R3D' THEN 'RED' WHEN 'GR33N' THEN 'GREEN' ELSE x END, ' ' ORDER BY i) AS fixed FROM w GROUP BY 1""")
 def _(t):
     c = cells(t).where("raw <> '' and raw = trim(raw) and raw not like '%  %'")
