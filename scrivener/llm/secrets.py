@@ -19,9 +19,11 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "a
 DICTIONARY = ("example", "sample", "test", "demo", "dummy", "fake", "your", "here", "insert", "change", "replace", "placeholder", "none", "null", "true", "false", "value", "name", "user", "admin", "default", "token", "secret", "password", "key", "http", "https", "www", "com", "org", "net", "html", "index", "page", "mail", "file", "path", "data", "the", "and", "for", "with", "this", "that")
 EXAMPLE_PATHS = r"(?i)test|example|sample|fixture|demo|doc|mock"
 _BODY = r"[A-Za-z0-9+/_=\-]"
-#: A run of 16 or more key characters with a digit, or whatever is assigned to a secret's name within one word.
-LONG = rf"(?=[A-Za-z+/_=\-]*[0-9]){_BODY}{{16,}}"
+#: A run of 16 or more key characters with a digit, looked at from its start only (so in linear time), or whatever is assigned to a secret's name within one word.
+LONG = rf"(?<!{_BODY})(?=[A-Za-z+/_=\-]*[0-9]){_BODY}{{16,}}"
 ASSIGNED = r"""(?i)(?:token|secret|password|passwd|pwd|api_?key)["']?[=:]["']?([^\s"'<>]{6,})"""
+#: What some part of a text must match for it to hold a candidate.
+LOOSE = r"(?i)\b(?:" + "|".join(NAMES) + r")\b\W{0,3}\s+[=:]|" + LONG + "|" + ASSIGNED
 _NAME = r"(?i)^\W*(?:[a-z]+[_\-])*(?:" + "|".join(NAMES) + r")\W*$"
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "switches", "distinct", "entropy", "hexadecimal", "dictionary", "named", "name_near", "quoted", "assigned", "example_path", "before_length", "after_length")
 
@@ -34,9 +36,8 @@ def findings(docs: DataFrame, *, text: str = "text", path: str = "source", keep:
     word assigns. Texts are whole; those in which no pattern occurs are dropped by one
     regular expression before they are split. Null and empty texts have none.
     """
-    loose = r"(?i)\b(?:" + "|".join(NAMES) + r")\b\W{0,3}\s+[=:]|" + LONG + "|" + ASSIGNED
     words = F.split(F.col(text), r"[\x20\x09-\x0D]+")
-    some = docs.where(F.col(text).rlike(loose)).select(*keep, F.col(path).cast("string").alias("path"), words.alias("_words"))
+    some = docs.where(F.col(text).rlike(LOOSE)).select(*keep, F.col(path).cast("string").alias("path"), words.alias("_words"))
 
     def word(i: Column) -> Column:
         return F.coalesce(F.get(F.col("_words"), i), F.lit(""))
@@ -130,8 +131,7 @@ def redact(docs: DataFrame, *, text: str = "text", path: str = "source", labelle
     any name stay as they are; the longest secrets are replaced first.
     """
     row = "_row_of_secret_scan"
-    loose = r"(?i)\b(?:" + "|".join(NAMES) + r")\b\W{0,3}\s+[=:]|" + LONG + "|" + ASSIGNED
-    held = F.coalesce(F.col(text).rlike(loose), F.lit(False))
+    held = F.coalesce(F.col(text).rlike(LOOSE), F.lit(False))
     some = staged(docs.where(held).withColumn(row, F.monotonically_increasing_id()), "suspects")
     found = staged(findings(some, text=text, path=path, keep=(row,)), "findings")
     model = fit(sure_labels(found) if labelled is None else with_features(labelled))
