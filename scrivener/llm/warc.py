@@ -111,12 +111,15 @@ def _inflated(stream, size: int = 1 << 16) -> Iterator[bytes]:
         return
     unpack = zlib.decompressobj(31)
     while raw:
-        yield unpack.decompress(raw, size)
-        while unpack.unconsumed_tail:
-            yield unpack.decompress(unpack.unconsumed_tail, size)
-        raw = unpack.unused_data or stream.read(size)
-        if unpack.eof:
-            unpack = zlib.decompressobj(31)
+        out = unpack.decompress(raw, size)
+        if unpack.eof:  # what follows is another member; the tail that is not consumed says nothing now
+            raw, unpack = unpack.unused_data, zlib.decompressobj(31)
+        else:
+            raw = unpack.unconsumed_tail
+        if out:
+            yield out
+        raw = raw or stream.read(size)
+    yield unpack.flush()
 
 
 class _Reader:
