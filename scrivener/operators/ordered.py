@@ -16,12 +16,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key; Spark limits each group before the shuffle."""
-    return ranked(df, keys, order, "_place").where(F.col("_place") <= n).drop("_place")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, missing: Column, name: str, *, own: bool = True, default: Column | None = None) -> DataFrame:

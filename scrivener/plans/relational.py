@@ -284,13 +284,13 @@ def _(t):
 @query("t03_boolean_first", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus <> 'F'), o_orderkey DESC) AS place FROM orders")
 def _(t):
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderstatus") != "F", F.desc("o_orderkey"))
-    return t.orders.select("o_orderkey", F.row_number().over(w).alias("place"))
+    return t.orders.select("o_orderkey", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("t04_blank_last", "SELECT cell, row_number() OVER (PARTITION BY page ORDER BY raw DESC NULLS LAST, cell) AS place FROM (SELECT p_partkey AS cell, p_partkey // 8 AS page, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS raw FROM part)")
 def _(t):
     base = t.part.select(F.col("p_partkey").alias("cell"), F.floor(F.col("p_partkey") / 8).alias("page"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("raw"))
-    return base.select("cell", F.row_number().over(Window.partitionBy("page").orderBy(F.desc_nulls_last("raw"), "cell")).alias("place"))
+    return base.select("cell", F.row_number().over(Window.partitionBy("page").orderBy(F.desc_nulls_last("raw"), "cell")).cast("long").alias("place"))
 
 
 @query("t05_top_one", "SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1")
@@ -312,7 +312,7 @@ def _(t):
 @query("t08_longest_first", "SELECT p_name, row_number() OVER (ORDER BY length(p_name) DESC, p_name) AS place FROM (SELECT DISTINCT p_name FROM part)")
 def _(t):
     # one row a distinct name: a dimension
-    return t.part.select("p_name").distinct().select("p_name", F.row_number().over(Window.orderBy(F.desc(F.length("p_name")), "p_name")).alias("place"))
+    return t.part.select("p_name").distinct().select("p_name", F.row_number().over(Window.orderBy(F.desc(F.length("p_name")), "p_name")).cast("long").alias("place"))
 
 
 @query("t09_bounded_list", "SELECT user_id, list_slice(list(event_id ORDER BY event_id DESC), 1, 30) AS newest FROM events GROUP BY 1")
