@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
+#: Keeps bounds that are whole numbers from being rounded past themselves.
+ROUNDING = 1e-9
 #: Notices by which texts name their licence, and short whole licence texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -44,6 +51,27 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def telling_words(templates: dict[str, tuple[str, ...]], dice: float) -> list[str]:
+    """Words of which every text that reaches ``dice`` with some template has at least one.
+
+    A match may miss only so many of a template's bigrams. Words are taken, those of other
+    templates and long (so mostly rare) ones first, until their bigrams are more than that:
+    a text with none of the words misses all of them.
+    """
+    found: set[str] = set()
+    texts = [re.findall(r"[^\W_]+", t.lower()) for ts in templates.values() for t in ts]
+    for words in sorted(texts, key=lambda ws: (len(ws), ws)):
+        grams = set(zip(words, words[1:]))
+        least = math.ceil(len(grams) * dice / (2 - dice) - ROUNDING)
+        may_miss = len(grams) - math.ceil(dice * (least + len(grams)) / 2 - ROUNDING)
+        chosen: set[str] = set()
+        while sum(a in chosen or b in chosen for a, b in grams) <= may_miss and chosen < set(words):
+            new = {w: sum(w in g and not chosen & set(g) for g in grams) for w in set(words) - chosen}
+            chosen.add(max(new, key=lambda w: (w in found and new[w] > 0, len(w) if new[w] > 0 else 0, sum(w in ws for ws in texts), w)))
+        found |= chosen
+    return sorted(found)
+
+
 def template_table(spark, templates: dict[str, tuple[str, ...]], dice: float) -> DataFrame:
     """One row: the templates as an array of (license, grams, n, least, most).
 
@@ -52,7 +80,7 @@ def template_table(spark, templates: dict[str, tuple[str, ...]], dice: float) ->
     """
     rows = [(k, t) for k in sorted(templates) for t in templates[k]]
     grams = spark.createDataFrame(rows or [("", "")], "license string, text string").select("license", bigrams(normal_words(F.col("text"))).alias("grams"))
-    sized = grams.withColumn("n", F.size("grams")).where("n > 0").withColumn("least", F.ceil(F.col("n") * dice / (2 - dice))).withColumn("most", F.floor(F.col("n") * (2 - dice) / dice))
+    sized = grams.withColumn("n", F.size("grams")).where("n > 0").withColumn("least", F.ceil(F.col("n") * dice / (2 - dice) - ROUNDING)).withColumn("most", F.floor(F.col("n") * (2 - dice) / dice + ROUNDING))
     return sized.agg(F.sort_array(F.collect_list(F.struct("license", "grams", "n", "least", "most"))).alias("_templates"))
 
 
@@ -63,15 +91,21 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
     between blank ones, numbered after the lines. A unit's words are compared as sets of
     bigrams; only templates whose size bounds admit the unit are candidates, and units
     that no template admits are dropped before any comparison. A unit gets its best
-    licence with a coefficient of at least ``dice``; of equals the first by name. Null and
+    licence with a coefficient of at least ``dice``; of equals the first by name. Texts and
+    units without any of :func:`telling_words` cannot match and are dropped first. Null and
     empty texts, and an empty list of templates, match nothing. A narrow plan: the
     templates are one broadcast row of fixed size, and documents are not shuffled.
     """
     wanted = template_table(docs.sparkSession, templates, dice)
+    words = telling_words(templates, dice)
+    # an array of one, so that a text is put in lower case once
+    may = lambda c: F.exists(F.array(F.lower(c)), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words], F.lit(False)))
+    docs = docs.where(may(F.col(text)))
     lines = F.split(F.col(text), "\n")
     blocks = F.filter(F.split(F.col(text), r"\n[\x20\t\r]*\n"), lambda b: F.contains(b, F.lit("\n")))
-    units = docs.select(F.col(key).alias("_key"), F.posexplode(F.concat(lines, blocks)).alias("_at", "_unit"))
-    worded = units.select("_key", (F.col("_at") + 1).alias("unit"), normal_words(F.col("_unit")).alias("_words")).where(F.size("_words") >= 2)
+    units = docs.select(F.col(key).alias("_key"), F.posexplode(F.concat(lines, blocks)).alias("_at", "_unit")).where(may(F.col("_unit")))
+    worded = units.select("_key", (F.col("_at") + 1).alias("unit"), normal_words(F.col("_unit")).alias("_words"))
+    worded = worded.where((F.size("_words") >= 2) & F.arrays_overlap("_words", F.array(*map(F.lit, words)).cast("array<string>")))
     paired = worded.crossJoin(F.broadcast(wanted))  # one row
     most = F.array_max(F.transform("_templates", lambda t: t["most"]))
     paired = paired.where(F.size("_words") - 1 >= F.array_min(F.transform("_templates", lambda t: t["least"])))
@@ -96,6 +130,6 @@ WITH t AS (SELECT license, {grams} AS grams FROM (SELECT license, {words.format(
    generate_subscripts(list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '\\n[\\x20\\t\\r]*\\n'), lambda b: contains(b, chr(10)))), 1) AS unit FROM documents),
  g AS (SELECT doc_id, unit, {grams} AS grams FROM (SELECT doc_id, unit, {words.format('unit_text')} AS words FROM u)),
  s AS (SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-   FROM g JOIN t ON len(g.grams) > 0 AND len(g.grams) <= len(t.grams) * {(2 - dice) / dice} AND len(t.grams) <= len(g.grams) * {(2 - dice) / dice})
+   FROM g JOIN t ON len(g.grams) > 0 AND len(g.grams) <= len(t.grams) * {(2 - dice) / dice} + {ROUNDING} AND len(t.grams) <= len(g.grams) * {(2 - dice) / dice} + {ROUNDING})
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, dice FROM s WHERE dice >= {dice}
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1"""
