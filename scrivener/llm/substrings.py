@@ -9,10 +9,11 @@ id, or same document and earlier start). The work is dealt out by content:
 2. Runs are grouped by anchor. A run whose whole content occurred before is a repeat as it
    is. Anchors with one content only are done. What remains are runs that share an anchor
    but differ somewhere.
-3. The bytes of those runs are fetched and, group by group, a Burrows-Wheeler transform is
-   searched breadth-first by backward extension; the search gives common prefixes by
-   increasing length and stops at ``length``, where the suffixes not yet told apart are
-   the equal windows.
+3. The bytes of those runs are fetched. All windows with an anchor at about the same
+   offset share most of their bytes; where no other run has those, the windows are done.
+   Over the rest, group by group, a Burrows-Wheeler transform is searched breadth-first by
+   backward extension; the search gives common prefixes by increasing length and stops at
+   ``length``, where the suffixes not yet told apart are the equal windows.
 4. Each document gets its repeated windows and drops the bytes they cover.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from .common import staged
 LENGTH, GRAM = 100, 24
 #: Bytes of runs in one transform, and anchors that a task holds before it combines and sends them.
 BLOCK_BYTES, HELD_RUNS = 1 << 17, 1_000_000
+#: Windows are sifted by anchor offset in ranges of this many.
+OFFSETS = 20
 #: Documents in the sample that finds frequent anchors, how many must have one, and how many anchors are kept at most.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 4000, 20, 5000
 
@@ -170,8 +174,8 @@ def emit_runs(length: int, frequent: np.ndarray):
     return run
 
 
-FOUND = "doc long, lo long, hi long, k long"
-_FOUND_NAMES = ["doc", "lo", "hi", "k"]
+FOUND = "doc long, lo long, hi long, k long, a long"
+_FOUND_NAMES = ["doc", "lo", "hi", "k", "a"]
 
 
 def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +199,9 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d, l, h = (np.concatenate(x) for x in zip(*parts))
     d, l, h = _joined(d, l, h)
     columns = [pa.array(np.r_[d, doc[wanted]]), pa.array(np.r_[l, lo[wanted]]), pa.array(np.r_[h, hi[wanted]])]
-    keys = pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(k[wanted])])
-    yield pa.RecordBatch.from_arrays([*columns, keys], names=_FOUND_NAMES)
+    for extra in (k, lo + (span & 255)):
+        columns.append(pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(extra[wanted])]))
+    yield pa.RecordBatch.from_arrays(columns, names=_FOUND_NAMES)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -279,17 +284,53 @@ def repeated_windows(snippets: list[tuple[int, int, int, bytes]], length: int) -
     return d[by][again], at[by][again]
 
 
+def sift(group: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Parts (doc, first, last, bytes) of the runs (doc, first, last, anchor, bytes) of one anchor that may repeat.
+
+    All windows whose anchor lies ``x`` to ``x + OFFSETS - 1`` bytes in have the bytes in
+    common that those offsets leave; if only one run of the group has just these, none of
+    its windows there is a repeat.
+    """
+    ranges = range(0, length - GRAM + 1, OFFSETS)
+    cores: list[list[bytes | None]] = []
+    for _, lo, hi, a, raw in group:
+        cores.append([raw[a - lo - x : a - lo - (x + OFFSETS - 1) + length] if a - hi < x + OFFSETS and a - lo >= x else None for x in ranges])
+    counts = [Counter(c[j] for c in cores) for j in range(len(ranges))]
+    for (doc, lo, hi, a, raw), core in zip(group, cores):
+        open_lo = open_hi = None
+        for x, c, count in zip(reversed(ranges), reversed(core), reversed(counts)):
+            if c is None or count[c] < 2:
+                continue
+            first, last = max(lo, a - x - OFFSETS + 1), min(hi, a - x)
+            if open_hi is not None and first > open_hi + 1:
+                yield doc, open_lo, open_hi, raw[open_lo - lo : open_hi - lo + length]
+                open_lo = None
+            open_lo, open_hi = first if open_lo is None else open_lo, last
+        if open_lo is not None:
+            yield doc, open_lo, open_hi, raw[open_lo - lo : open_hi - lo + length]
+
+
 def _repeats(length: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, key = [], 0, None
+        block, size, key, group = [], 0, None, []
+
+        def close() -> None:
+            nonlocal size
+            for part in sift(group, length):
+                block.append(part)
+                size += len(part[3])
+            group.clear()
+
         for batch in batches:
-            for k, doc, lo, hi, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "doc", "lo", "hi", "raw"))):
-                if k != key and size >= block_bytes:
-                    yield found(block)
-                    block, size = [], 0
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "doc", "lo", "hi", "a", "raw"))):
+                if k != key:
+                    close()
+                    if size >= block_bytes:
+                        yield found(block)
+                        block, size = [], 0
                 key = k
-                block.append((doc, lo, hi, raw))
-                size += len(raw)
+                group.append(row)
+        close()
         if block:
             yield found(block)
 
@@ -305,15 +346,15 @@ def _cut(length: int):
     """Bytes of the wanted runs of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "doc", "lo", "hi", "raw"]
+        names = ["k", "doc", "lo", "hi", "a", "raw"]
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
                 raw = text.encode("utf-8", "replace")
                 for w in wanted:
-                    for column, x in zip(rows, (w["k"], doc, w["lo"], w["hi"], raw[w["lo"] : w["hi"] + length])):
+                    for column, x in zip(rows, (w["k"], doc, w["lo"], w["hi"], w["a"], raw[w["lo"] : w["hi"] + length])):
                         column.append(x)
-            kinds = [pa.int64()] * 4 + [pa.binary()]
+            kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names=names)
 
     return run
@@ -346,8 +387,8 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     runs = own.mapInArrow(emit_runs(length, frequent), RUNS)
     found = staged(runs.repartition("k").mapInArrow(settle_runs, FOUND), "repeats")
     release(docs.sparkSession)
-    wanted = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("wanted"))
-    cut = own.where(F.octet_length("text") >= length).join(wanted, "doc").mapInArrow(_cut(length), "k long, doc long, lo long, hi long, raw binary")
+    wanted = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("k", "lo", "hi", "a")).alias("wanted"))
+    cut = own.where(F.octet_length("text") >= length).join(wanted, "doc").mapInArrow(_cut(length), "k long, doc long, lo long, hi long, a long, raw binary")
     told = staged(cut.repartition("k").sortWithinPartitions("k").mapInArrow(_repeats(length, block_bytes), "doc long, lo long, hi long"), "repeats")
     release(docs.sparkSession)
     return found.where("k is null").select("doc", "lo", "hi").unionByName(told)
