@@ -127,6 +127,13 @@ def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return (doc[first], lo[first], np.maximum.reduceat(hi, first)) if len(doc) else (doc, lo, hi)
 
 
+def _without_copies(*columns: np.ndarray) -> list[np.ndarray]:
+    """Sorted ``columns`` without the rows that equal the one before: a document given twice is no earlier than itself."""
+    same = np.logical_and.reduce([x[1:] == x[:-1] for x in columns])
+    keep = np.r_[True, ~same] if len(columns[0]) else np.zeros(0, bool)
+    return [x[keep] for x in columns]
+
+
 def emit_runs(length: int, frequent: np.ndarray):
     """Function of batches (doc, text) giving ``RUNS`` rows.
 
@@ -140,7 +147,7 @@ def emit_runs(length: int, frequent: np.ndarray):
     def combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         k, c, doc, span = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((span, doc, c, k))
-        k, c, doc, span = k[order], c[order], doc[order], span[order]
+        k, c, doc, span = _without_copies(k[order], c[order], doc[order], span[order])
         again = np.r_[False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])]
         yield _batch(_RUN_NAMES, [x[~again] for x in (k, c, doc, span)])
         if again.any():
@@ -189,7 +196,7 @@ def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [(doc[settled], span[settled] >> 32, span[settled] & 0xFFFFFFFF)]
     k, c, doc, span = (x[~settled] for x in (k, c, doc, span))
     order = np.lexsort((span, doc, c, k))
-    k, c, doc, span = k[order], c[order], doc[order], span[order]
+    k, c, doc, span = _without_copies(k[order], c[order], doc[order], span[order])
     lo, hi = span >> 16, (span >> 16) + (span >> 8 & 255)
     new_k = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
     first = new_k | np.r_[True, c[1:] != c[:-1]] if len(k) else new_k
@@ -280,8 +287,9 @@ def repeated_windows(snippets: list[tuple[int, int, int, bytes]], length: int) -
     valid = at <= last[own]
     kind, at, d = kind[valid], at[valid], d[valid]
     by = np.lexsort((at, d, kind))
-    again = np.r_[False, kind[by][1:] == kind[by][:-1]]
-    return d[by][again], at[by][again]
+    kind, d, at = _without_copies(kind[by], d[by], at[by])
+    again = np.r_[False, kind[1:] == kind[:-1]]
+    return d[again], at[again]
 
 
 def sift(group: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -380,7 +388,10 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     """Rows ``doc, lo, hi``: windows of ``length`` bytes, by start, that also start earlier. Ranges may touch.
 
     ``length`` is at least ``GRAM``. Keys are integers; rows with a null key take no part,
-    and rows that share a key count as one document. Documents are matched as UTF-8 bytes.
+    and rows that share a key count as one document: a window is no repeat of the one at
+    the same start of the same key, so rows that repeat in key and text get the same
+    ranges, those of one of them. Texts that differ need keys that differ, since ranges
+    name a key only. Documents are matched as UTF-8 bytes.
     """
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     frequent = _frequent(own, length)
@@ -397,7 +408,8 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
 def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
     """Per row of ``docs``: key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the bytes left).
 
-    Null and empty texts have no bytes; texts shorter than ``length`` lose none.
+    Null and empty texts have no bytes; texts shorter than ``length`` lose none. Rows that
+    repeat in key and text have equal results, each as if it were there once.
     """
     ranges = repeats(docs, text=text, key=key, length=length)
     lists = ranges.groupBy("doc").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("_windows"))

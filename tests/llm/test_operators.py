@@ -246,6 +246,22 @@ def test_substrings_query_on_the_smallest_table(spark):
     assert substrings.remove_repeats(some.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [False, True])
+def test_repeated_rows_keep_one_copy_of_their_text(spark, monkeypatch, frequent):
+    rng = np.random.default_rng(11)
+    own = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(4)]
+    texts = [own[0], own[1] + own[0][:250] + "!" + own[0][250:], own[2], own[3] + own[2][:180] + "?" + own[3]]
+    if frequent:
+        monkeypatch.setattr(substrings, "FREQUENT", 1)
+    once = docs_of(spark, texts)
+    # the copies lie in the same partition (sorted by id) or in another one
+    for docs in (once.union(once), once.union(once).union(once).repartition(1).sort("doc_id")):
+        got = [tuple(r) for r in substrings.remove_repeats(docs).collect()]
+        want = brute_removed(list(enumerate(texts)), substrings.LENGTH)
+        assert len(got) == docs.count() and {g[0]: g[1:] for g in got} == want and len(set(got)) == len(texts)
+    assert want[0][1] == want[2][1] == 0 < want[1][1]
+
+
 def test_breadth_first_search_settles_exactly_the_shorter_prefixes():
     rng = np.random.default_rng(6)
     texts = [bytes(rng.integers(97, 99, int(n), dtype=np.uint8)) for n in rng.integers(1, 60, 12)]
