@@ -23,8 +23,11 @@ _BODY = r"[A-Za-z0-9+/_=\-]"
 LONG = rf"(?<!{_BODY})(?=[A-Za-z+/_=\-]*[0-9]){_BODY}{{16,}}"
 ASSIGNED = r"""(?i)(?:token|secret|password|passwd|pwd|api_?key)["']?[=:]["']?([^\s"'<>]{6,})"""
 #: What some part of a text must match for it to hold a candidate.
-LOOSE = r"(?i)\b(?:" + "|".join(NAMES) + r")\b\W{0,3}\s+[=:]|" + LONG + "|" + ASSIGNED
+LOOSE = r"(?i)(?<![a-z0-9])(?:" + "|".join(NAMES) + r")\W*[=:]|" + LONG + "|" + ASSIGNED
 _NAME = r"(?i)^\W*(?:[a-z]+[_\-])*(?:" + "|".join(NAMES) + r")\W*$"
+#: A word that ends in a name and its sign (``password:``, ``{"a":1,"token":``), and one that begins with a sign.
+_NAME_SIGN = r"(?i)(?<![a-z0-9])(?:" + "|".join(NAMES) + r")[\"'`\])]*(?:=>|:=|[=:])$"
+_SIGN_VALUE = r"^(?:=>|:=|[=:])"
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "switches", "distinct", "entropy", "hexadecimal", "dictionary", "named", "name_near", "quoted", "assigned", "example_path", "before_length", "after_length")
 
 
@@ -32,8 +35,10 @@ def findings(docs: DataFrame, *, text: str = "text", path: str = "source", keep:
     """Candidate rows: ``keep`` columns, ``finding`` (number in the text), ``value``, ``before2``, ``before``, ``word``, ``after``, ``path``.
 
     A candidate is a run of 16 or more key characters holding a digit, a word of six or
-    more characters right after a name and a sign (``password = hunter2``), or what one
-    word assigns. Texts are whole; those in which no pattern occurs are dropped by one
+    more characters right after a name and a sign (``password = hunter2``, the sign being
+    a word of its own or part of either neighbour, as in ``"password": "hunter2"``), or
+    what one word assigns. A word gives all its candidates: values assigned, long runs in
+    them and beside them, and its value after a name. Texts are whole; those in which no pattern occurs are dropped by one
     regular expression before they are split. Null and empty texts have none.
     """
     words = F.split(F.col(text), r"[\x20\x09-\x0D]+")
@@ -42,14 +47,21 @@ def findings(docs: DataFrame, *, text: str = "text", path: str = "source", keep:
     def word(i: Column) -> Column:
         return F.coalesce(F.get(F.col("_words"), i), F.lit(""))
 
-    after_name = lambda i: word(i - 1).isin("=", ":", "=>", ":=") & word(i - 2).rlike(_NAME) & word(i).rlike(r"\w{6,}")
-    spots = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: x["word"].rlike(LONG) | x["word"].rlike(ASSIGNED) | after_name(x["i"]))
+    def after_name(i: Column) -> Column:
+        own = word(i - 1).isin("=", ":", "=>", ":=") & word(i - 2).rlike(_NAME)
+        return (own | word(i - 1).rlike(_NAME_SIGN) | (word(i).rlike(_SIGN_VALUE) & word(i - 1).rlike(_NAME))) & word(i).rlike(r"\w{6,}")
+
+    spots = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("word"), after_name(i).alias("named"))), lambda x: x["word"].rlike(LONG) | x["word"].rlike(ASSIGNED) | x["named"])
     at = some.select(*keep, "path", "_words", F.explode(spots).alias("_x"))
     i = F.col("_x.i")
-    at = at.select(*keep, "path", i.alias("_i"), F.col("_x.word").alias("word"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after"))
-    long, given = F.regexp_extract_all("word", F.lit(rf"({LONG})"), F.lit(1)), F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
-    plain = F.array(F.regexp_extract("word", r"(\w\S*\w|\w)", 1))
-    values = F.when(F.size(given) > 0, given).when(F.size(long) > 0, long).otherwise(plain)
+    at = at.select(*keep, "path", i.alias("_i"), F.col("_x.word").alias("word"), F.col("_x.named").alias("_named"), word(i - 2).alias("before2"), word(i - 1).alias("before"), word(i + 1).alias("after"))
+    runs = lambda x: F.regexp_extract_all(x, F.lit(rf"({LONG})"), F.lit(1))
+    given = F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
+    inside, beside = F.flatten(F.transform(given, runs)), runs(F.regexp_replace("word", ASSIGNED, " "))
+    quoted, plain = F.regexp_extract("word", r"""^[^\w"'`]*["'`]([^"'`]{6,})["'`]""", 1), F.regexp_extract("word", r"(\w\S*\w|\w)", 1)
+    named = F.when(F.col("_named"), F.array(F.when(quoted != "", quoted).otherwise(plain))).otherwise(F.array().cast("array<string>"))
+    # a word that assigns is not a value as a whole
+    values = F.array_distinct(F.concat(F.when((F.size(given) > 0) & (quoted == ""), F.array().cast("array<string>")).otherwise(named), given, inside, beside))
     return at.select(*keep, "path", "word", "before2", "before", "after", "_i", F.posexplode(values).alias("_j", "value")).select(
         *keep, (F.col("_i") * 1000 + F.col("_j")).alias("finding"), "value", "before2", "before", "word", "after", "path"
     )
@@ -74,6 +86,11 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(columns)
 
 
+def _strong() -> Column:
+    """An unbroken value under a secret's name, by features."""
+    return (F.col("name_near") + F.col("named") > 0) & (F.col("dictionary") < 0.3) & (F.col("digits") > 0) & (F.col("length") >= 16)
+
+
 def sure_labels(found: DataFrame) -> DataFrame:
     """``found`` rows of which the kind is beyond doubt, with ``label``, as training findings.
 
@@ -81,8 +98,7 @@ def sure_labels(found: DataFrame) -> DataFrame:
     placeholder made of dictionary words. Other rows are left out. Where reviewed findings
     exist, use those instead: any rows with the columns of :func:`findings` and ``label``.
     """
-    f = with_features(found)
-    strong = (F.col("name_near") + F.col("named") > 0) & (F.col("dictionary") < 0.3) & (F.col("digits") > 0) & (F.col("length") >= 16)
+    f, strong = with_features(found), _strong()
     weak = ((F.col("name_near") + F.col("named") == 0) & (F.col("digits") > 0.8)) | (F.col("dictionary") >= 0.5)
     return f.withColumn("label", F.when(strong, 1.0).when(weak, 0.0)).where("label is not null")
 
@@ -103,9 +119,10 @@ def fit(labelled: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 3,
 
 
 def confirm(found: DataFrame, model: Model | None, *, threshold: float = 0.5) -> DataFrame:
-    """``found`` with ``probability`` and ``confirmed``; without a model all are, with 1.0."""
+    """``found`` with ``probability`` and ``confirmed``; without a model only what :func:`sure_labels` calls 1."""
     if model is None:
-        return found.withColumn("probability", F.lit(1.0)).withColumn("confirmed", F.lit(True))
+        sure = with_features(found).withColumn("confirmed", _strong())
+        return sure.select(*found.columns, F.col("confirmed").cast("double").alias("probability"), "confirmed")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found))
     scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(*found.columns, "probability").withColumn("confirmed", F.col("probability") >= threshold)
