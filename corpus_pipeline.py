@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each calling one operator of the library.
 
-Language ID drops texts that no language claims, SimHash keeps one document of each group
-of near duplicates, decontamination drops documents with benchmark passages, the secret
+Language ID drops texts that no language claims, one document of each group of near
+duplicates stays (4/5 of their five-word shingles in common), decontamination drops documents with benchmark passages, the secret
 scan masks confirmed secrets, and the mix repeats or leaves out documents so that every
 source meets its target.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import decontaminate, language, mixing, secrets, simhash
+from scrivener.llm import decontaminate, language, mixing, secrets, similar, simhash
 from scrivener.llm.common import held_out, staged, table
 
 #: A text is rejected if the runner-up language needs less than this share more bytes.
@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, find=similar.near_duplicates)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

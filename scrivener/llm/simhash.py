@@ -225,16 +225,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return prints.join(classes, "fp", "left").select(F.col("_key").alias(key), "fp", "component_id", *carry)
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", find=near_duplicates, **how) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest key.
 
     Of rows that repeat in key and text one stays. Groups in which every key is null have
     no smallest; of their rows those with different texts stay. Texts are shuffled once,
-    by a hash of key and text.
+    by a hash of key and text. ``find`` names the groups, as :func:`near_duplicates` does.
     """
     mark = "_hash_of_row"
     marked = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
-    found = near_duplicates(marked, text=text, key=key, carry=(mark,), **how)
+    found = find(marked, text=text, key=key, carry=(mark,), **how)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(mark).distinct()
     place = F.row_number().over(Window.partitionBy(mark).orderBy(F.col(key)))
     return marked.join(kept, mark, "left_semi").withColumn("_place_of_row", place).where("_place_of_row = 1").select(*docs.columns)

@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage on its own input, and the whole run."""
 
 import corpus_pipeline as pipeline
+import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -35,6 +36,35 @@ def test_decisions_take_effect(spark):
     assert len(masked) == len(texts) and secret not in masked[12]["text"] and masked[12]["n_chars"] == len(masked[12]["text"]) and masked[0]["text"] == plain[0]
 
 
+def test_near_copies_go_as_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in (6, 30, 150, 400):
+        base = [f"w{x}" for x in rng.integers(0, 10_000, n)]
+        texts.append(" ".join(base))
+        for changed in (0, 1, 1, 2, 4, 8, 16):  # words changed, from exact copies to far ones
+            other = list(base)
+            for at in rng.integers(0, n, changed):
+                other[at] = f"x{at}"
+            texts.append(" ".join(other))
+    passage = " ".join(f"p{x}" for x in range(60))
+    texts += [passage + " " + " ".join(f"v{x}" for x in rng.integers(0, 10_000, 40)) for _ in range(12)] + ["", None, "a b", "A  b", "a c"]
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
+    assert got == {i for i, r in enumerate(root) if i == r} and len(got) < len(texts) - 10
+
+
 def test_run_mixes_what_the_stages_kept(spark):
     out = pipeline.run(spark, SF)
     got = out.agg(F.count("*").alias("n"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("taken").alias("taken")).first()
