@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -15,10 +17,15 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark is one local process (tests), one of our own.
+
+    On a cluster a folder that all machines share must be named; without one this fails.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="scrivener-"))
     return _own_dir[0]
@@ -27,13 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, never a recomputation. The tables
+    stay until the folder is cleared, as checkpoints do, since results read them lazily.
     """
     path = f"{shared_dir(df.sparkSession)}/scrivener/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of phases whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 from .graph import connected_components
 
 BITS, RADIUS, FAN = 64, 2, 16
@@ -55,15 +55,17 @@ def fingerprint(text: Column, *, shingle: int = 3) -> Column:
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Position of each 64-bit code in Gray order (prefix XOR)."""
+    """Position of each code in Gray order (prefix XOR); a row of 64-bit words, the first the highest, is a code."""
     rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
+    for j in range(1, rank.shape[1]):
+        rank[:, j] ^= np.uint64(0) - (rank[:, j - 1] & np.uint64(1))
     return rank
 
 
 class GrayIndex:
-    """Hierarchical Hamming index over groups of distinct codes.
+    """Hierarchical Hamming index over groups of codes, each a row of 64-bit words.
 
     Codes are sorted by (group, Gray rank), so that neighbours share most bits. Every
     ``FAN`` neighbours get an upper node holding the bits on which all below agree as
@@ -73,10 +75,10 @@ class GrayIndex:
     """
 
     def __init__(self, group: np.ndarray, codes: np.ndarray):
-        order = np.lexsort((gray_rank(codes), group))
+        order = np.lexsort((*gray_rank(codes).T[::-1], group))
         self.order, self.codes = order, codes[order]
         group = group[order]
-        full = np.full(len(codes), ~np.uint64(0))
+        full = np.full(codes.shape, ~np.uint64(0))
         self.levels = [(full, self.codes, None, None)]  # mask, pattern, first child, number of children
         if not len(codes):
             return
@@ -89,7 +91,7 @@ class GrayIndex:
             first = np.flatnonzero(rank % FAN == 0)
             count = np.diff(np.r_[first, len(group)])
             mask, pattern = self.levels[-1][:2]
-            agree = np.bitwise_and.reduceat(mask, first) & ~np.bitwise_or.reduceat(pattern ^ np.repeat(pattern[first], count), first)
+            agree = np.bitwise_and.reduceat(mask, first, axis=0) & ~np.bitwise_or.reduceat(pattern ^ np.repeat(pattern[first], count, axis=0), first, axis=0)
             self.levels.append((agree, pattern[first] & agree, first, count))
             group = group[first]
         self.root = np.repeat(np.arange(len(starts)), self._below())
@@ -101,20 +103,25 @@ class GrayIndex:
             count = np.add.reduceat(count, first)
         return count
 
-    def pairs(self, radius: int, chunk: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), i < j, of positions in sorted order within ``radius`` bits and one group."""
-        for at in range(0, len(self.codes), chunk):
-            q = np.arange(at, min(at + chunk, len(self.codes)))
+    def near(self, queries: np.ndarray, radius: int, chunk: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of positions in sorted order within ``radius`` bits and one group, i from ``queries``."""
+        for at in range(0, len(queries), chunk):
+            q = queries[at : at + chunk]
             node, top = self.root[q], self.levels[-1]
-            acc = np.bitwise_count((self.codes[q] ^ top[1][node]) & top[0][node]).astype(np.int64)
+            acc = np.bitwise_count((self.codes[q] ^ top[1][node]) & top[0][node]).sum(axis=1, dtype=np.int64)
             for upper, lower in zip(self.levels[:0:-1], self.levels[-2::-1]):
                 mask, _, first, count = upper
                 n = count[node]
                 child = np.repeat(first[node] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                q, acc, seen = np.repeat(q, n), np.repeat(acc, n), np.repeat(mask[node], n)
-                acc = acc + np.bitwise_count((self.codes[q] ^ lower[1][child]) & lower[0][child] & ~seen)
+                q, acc, seen = np.repeat(q, n), np.repeat(acc, n), np.repeat(mask[node], n, axis=0)
+                acc = acc + np.bitwise_count((self.codes[q] ^ lower[1][child]) & lower[0][child] & ~seen).sum(axis=1, dtype=np.int64)
                 keep = acc <= radius
                 q, node, acc = q[keep], child[keep], acc[keep]
+            yield q, node
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (i, j), i < j, within ``radius`` bits and one group."""
+        for q, node in self.near(np.arange(len(self.codes)), radius):
             later = q < node
             yield q[later], node[later]
 
@@ -127,9 +134,9 @@ def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         at = up
 
 
-def spanning_edges(group: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smaller-position node of its class) that join all codes linked within a group."""
-    index = GrayIndex(group, codes)
+def spanning_edges(group: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (code, code of its class that comes first) that join all 64-bit codes linked within a group."""
+    index = GrayIndex(group, codes[:, None])
     parent = np.arange(len(codes))
     for a, b in index.pairs(radius):
         while len(a):
@@ -137,9 +144,10 @@ def spanning_edges(group: np.ndarray, codes: np.ndarray, nodes: np.ndarray, radi
             differ = a != b
             a, b = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
             np.minimum.at(parent, b, a)
-    ids, root = nodes[index.order], _roots(parent, parent)
+    root = _roots(parent, parent)
     moved = root != np.arange(len(root))
-    return ids[moved], ids[root[moved]]
+    found = index.codes[:, 0]
+    return found[moved], found[root[moved]]
 
 
 def _split_masks(depth: int, parts: int) -> list[list[int]]:
@@ -163,7 +171,7 @@ def _signed(m: int) -> int:
 
 
 def linked_edges(codes: DataFrame, *, radius: int = RADIUS, split: int = SPLIT, depth: int = 3) -> DataFrame:
-    """Edges ``(a, b)`` spanning the classes of ``codes`` (distinct ``fp``, ``node``) within ``radius`` bits.
+    """Edges ``(a, b)`` spanning the classes of ``codes`` (distinct ``fp``) within ``radius`` bits.
 
     The index's upper nodes are spread over the cluster: a code goes to one node for
     each of radius + 1 runs of its bits, where it meets all codes that agree there. Nodes
@@ -177,7 +185,7 @@ def linked_edges(codes: DataFrame, *, radius: int = RADIUS, split: int = SPLIT,
         wide = len(masks[level]) // len(masks[level - 1])
         lits = F.array(*[F.lit(_signed(m)) for m in masks[level]])
         paths = F.sequence(F.col("path") * wide, F.col("path") * wide + wide - 1)
-        out = df.select("fp", "node", F.explode(paths).alias("path")).withColumn("key", F.col("fp").bitwiseAND(F.element_at(lits, (F.col("path") + 1).cast("int"))))
+        out = df.select("fp", F.explode(paths).alias("path")).withColumn("key", F.col("fp").bitwiseAND(F.element_at(lits, (F.col("path") + 1).cast("int"))))
         sizes = out.groupBy("path", "key").count().where("count > 1")
         return out.join(sizes, ["path", "key"])
 
@@ -193,17 +201,17 @@ def linked_edges(codes: DataFrame, *, radius: int = RADIUS, split: int = SPLIT,
         held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if held is None or not held.num_rows:
             return
-        path, key, fp, node = (held.column(c).to_numpy() for c in ("path", "key", "fp", "node"))
+        path, key, fp = (held.column(c).to_numpy() for c in ("path", "key", "fp"))
         order = np.lexsort((key, path))
         new = np.r_[False, (path[order][1:] != path[order][:-1]) | (key[order][1:] != key[order][:-1])]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new)
-        a, b = spanning_edges(group, fp.view(np.uint64), node, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        ends = spanning_edges(group, fp.view(np.uint64), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], names=["a", "b"])
 
     edges = None
     for df in ready:
-        part = df.select("path", "key", "fp", "node").repartition("path", "key").mapInArrow(search, "a long, b long")
+        part = df.select("path", "key", "fp").repartition("path", "key").mapInArrow(search, "a long, b long")
         edges = part if edges is None else edges.union(part)
     return edges
 
@@ -212,17 +220,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """Rows ``(key, fp, component_id)`` and the columns of ``carry``, one for each row of ``docs``.
 
     ``component_id`` is the smallest key reachable over links of fingerprints that differ
-    in ``radius`` or fewer bits, the row's own included. Equal fingerprints are one node,
-    so copies cost one row each and no pairs. Rows with a null key get the component of
-    their fingerprint but name none (null if all keys of the component are null); null
-    and empty texts have fingerprint 0 and link like any other.
+    in ``radius`` or fewer bits, the row's own included. The nodes are the fingerprints
+    themselves, so copies cost one row each and no pairs, and fingerprints that only rows
+    with a null key have link others all the same. Keys are of any type that has an
+    order. Rows with a null key get the component of their fingerprint but name none (null
+    if all keys of the component are null); null and empty texts have fingerprint 0 and
+    link like any other.
     """
     prints = staged(docs.select(F.col(key).alias("_key"), *carry, fingerprint(F.col(text), shingle=shingle).alias("fp")), "prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("_key").alias("node")), "codes")
-    edges = staged(linked_edges(nodes.where("node is not null"), radius=radius, split=split), "edges")
-    labels = connected_components(edges)
-    classes = nodes.join(labels, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(F.col("_key").alias(key), "fp", "component_id", *carry)
+    nodes = staged(prints.groupBy("fp").agg(F.min("_key").alias("least")), "codes")
+    edges = staged(linked_edges(nodes.select("fp"), radius=radius, split=split), "edges")
+    labels = connected_components(edges).withColumnRenamed("node", "fp")
+    classes = staged(nodes.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp").select(F.col("_key").alias(key), "fp", "component_id", *carry)
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", find=near_duplicates, **how) -> DataFrame:
@@ -231,13 +242,14 @@ def keep_one(docs: DataFrame, *, text: str = "text", key: str = "doc_id", find=n
     Of rows that repeat in key and text one stays. Groups in which every key is null have
     no smallest; of their rows those with different texts stay. Texts are shuffled once,
     by a hash of key and text. ``find`` names the groups, as :func:`near_duplicates` does.
+    Other columns, of any name, stay as they are.
     """
-    mark = "_hash_of_row"
+    mark, place = unused(docs, "_mark", "_place")
     marked = docs.withColumn(mark, F.xxhash64(F.col(key), F.col(text)))
     found = find(marked, text=text, key=key, carry=(mark,), **how)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(mark).distinct()
-    place = F.row_number().over(Window.partitionBy(mark).orderBy(F.col(key)))
-    return marked.join(kept, mark, "left_semi").withColumn("_place_of_row", place).where("_place_of_row = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(mark).orderBy(F.col(key)))
+    return marked.join(kept, mark, "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)
 
 
 def hex_print(fp: Column) -> Column:

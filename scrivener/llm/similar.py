@@ -1,4 +1,11 @@
-"""Near-duplicates by exact shingle similarity: candidates by a prefix of the sorted shingle set, then verified."""
+"""SimHash near-duplicates at a wide radius: texts as alike as 4/5 of their word shingles.
+
+At that similarity fingerprints differ in 15 % of their bits, so no run of a 64-bit
+fingerprint both selects and is sure to agree. Fingerprints have 256 bits here, and the
+upper nodes of the Gray-order index are keyed by min-hash bands of the shingle set instead
+of masked bits; below them the index is searched as in :mod:`.simhash`, and pairs within the
+radius are decided on the shingle sets themselves.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +18,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 from .graph import connected_components
-from .substrings import release
+from .simhash import GrayIndex, simhash
 
 #: Words of a shingle; texts are linked if their sets have 4/5 of their union in common.
 SHINGLE = 5
+#: 64-bit words of a fingerprint, and differing bits allowed: at 4/5 they are 39 of 256, with a deviation of 6.
+PRINT_WORDS, PRINT_RADIUS = 4, 72
+#: Bands and hashes a band: two sets at 4/5 share none with probability 3e-7.
+BANDS, BAND_HASHES = 21, 3
+#: The partners of one text are compared in as many tasks.
+SALTS = 16
+
+_rng = np.random.default_rng(20240307)
+_XOR = _rng.integers(0, 2**63, BANDS * BAND_HASHES, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = _rng.integers(0, 2**63, BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -26,12 +44,25 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
 
 
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``PRINT_WORDS`` words; the first is the plain SimHash of the hashes."""
+    return np.array([simhash(hashes if i == 0 else (hashes ^ (hashes >> np.uint64(29))) * _ODD[i] ^ (hashes >> np.uint64(17))) for i in range(PRINT_WORDS)], np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each band: of the least ones of ``BAND_HASHES`` orders of the set."""
+    least = np.full(len(_XOR), ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    h = (least.reshape(BANDS, BAND_HASHES) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return (h ^ (h >> np.uint64(32))) * _FOLD[0]
+
+
 def described(text: Column) -> Column:
-    """Struct of ``sig`` (hash of the shingle set, 0 for none), ``n``, ``prefix`` and ``odd``.
+    """Struct of ``sig`` (hash of the shingle set, 0 for none), ``n``, ``fp``, ``odd`` and ``bands`` (none for 0 shingles).
 
-    Sets that are 4/5 similar have their smallest common hash within the first
-    n - ceil(4n / 5) + 1 hashes of both. ``odd`` has a bit for each of 512 classes of hashes,
-    set where the count is odd: sets differ in as many hashes as bits, or more.
+    ``odd`` has a bit for each of 512 classes of hashes, set where the count is odd: sets
+    differ in as many hashes as bits, or more.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -40,105 +71,140 @@ def described(text: Column) -> Column:
             for t in batch:
                 s = shingle_set(t)
                 odd = np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1 > 0)
-                sig = xxhash.xxh64_intdigest(s.tobytes()) or 1
-                rows.append((np.uint64(sig if len(s) else 0).astype(np.int64), len(s), s[: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64), odd.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["sig", "n", "prefix", "odd"])
+                sig = (xxhash.xxh64_intdigest(s.tobytes()) or 1) if len(s) else 0
+                rows.append((np.uint64(sig).astype(np.int64), len(s), wide_print(s).view(np.int64), odd.view(np.int64), (bands(s) if len(s) else s).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["sig", "n", "fp", "odd", "bands"])
 
-    return F.pandas_udf(run, "sig long, n long, prefix array<long>, odd array<long>")(text)
+    return F.pandas_udf(run, "sig long, n long, fp array<long>, odd array<long>, bands array<long>")(text)
 
 
-def hash_set(text: Column) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingle_set(t).view(np.int64) for t in batch])
-
-    return F.pandas_udf(run, "array<long>")(text)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray] | None:
-    """Columns sorted by (h, sig), and the first and end row of each group with two rows or more."""
+def _table(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    """Columns of a partition, sorted by (h, sig), without the groups of one row."""
     held = list(batches)
     if not held or not (t := pa.Table.from_batches(held)).num_rows:
         return None
-    odd = t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8) if "odd" in t.column_names else None
-    cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "odd"} | ({} if odd is None else {"odd": odd})
+    cols = {}
+    for name in t.column_names:
+        c = t.column(name).combine_chunks()
+        cols[name] = c.flatten().to_numpy().view(np.uint64).reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy()
     order = np.lexsort((cols["sig"], cols["h"]))
-    cols = {c: x[order] for c, x in cols.items()}
-    first = np.flatnonzero(np.r_[True, cols["h"][1:] != cols["h"][:-1]])
-    end = np.r_[first[1:], len(order)]
-    return cols, first[end - first > 1], end[end - first > 1]
+    h = cols["h"][order]
+    alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
+    return {c: x[order[~alone]] for c, x in cols.items()}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, sig) of hashes that several sets have in their prefixes."""
-    if (found := _grouped(batches)) is not None:
-        cols, first, end = found
-        edge = np.zeros(len(cols["h"]) + 1, np.int64)
-        edge[first] += 1
-        edge[end] -= 1
-        keep = np.cumsum(edge)[:-1] > 0
-        yield pa.RecordBatch.from_arrays([pa.array(cols[c][keep]) for c in ("h", "sig")], names=["h", "sig"])
+    """Rows (h, sig) of bands that several sets have."""
+    if (cols := _table(batches)) is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in ("h", "sig")], names=["h", "sig"])
 
 
 def _pairs(star: bool):
-    """Pairs (a, b) of a hash's sets that sizes and odd bits allow: with its first set only, or all with unlike roots."""
+    """Pairs (a, b) of a band's sets within the radius that sizes and odd bits allow: with the first set, or with all of unlike root.
+
+    Without ``star``, sets of a band's most common root ask for nothing, since in each
+    pair of unlike roots at least one set has another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _grouped(batches)) is None:
+        if (cols := _table(batches)) is None or not len(cols["h"]):
             return
-        cols, first, end = found
-        sig, n, odd, root = (cols[c] for c in ("sig", "n", "odd", "root"))
+        group = np.cumsum(np.r_[0, cols["h"][1:] != cols["h"][:-1]])
+        if star:
+            asks = np.r_[True, group[1:] != group[:-1]]
+        else:
+            root, size = np.unique(np.stack([group, cols["root"]]), axis=1, return_inverse=True, return_counts=True)[1:]
+            root = root.ravel()
+            most = np.zeros(group[-1] + 1, np.int64)
+            np.maximum.at(most, group, size[root])
+            top = np.full(len(most), len(size))
+            np.minimum.at(top, group, np.where(size[root] == most[group], root, len(size)))
+            asks = root != top[group]
+        index = GrayIndex(group, cols["fp"])
+        at = {c: x[index.order] for c, x in cols.items()}
+        sig, n, odd, root = (at[c] for c in ("sig", "n", "odd", "root"))
         out, held = [], 0
-        for lo, hi in zip(first.tolist(), end.tolist()):
-            for i in range(lo, lo + 1 if star else hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[(root[j] != root[i]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))]
-                j = j[9 * np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]]
-                if len(j):
-                    out.append(np.stack([np.full(len(j), sig[i]), sig[j]]))
-                    held += len(j)
-            if held > 1_000_000:
-                out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[0]], names=["a", "b"])
+
+        def batch() -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for i, j in index.near(np.flatnonzero(asks[index.order]), PRINT_RADIUS, 64):
+            ok = (sig[i] != sig[j]) & (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            ok = 9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
+            a, b = sig[i[ok]], sig[j[ok]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            held += len(a)
+            if held > 500_000:
+                yield batch()
                 out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(out, axis=1), axis=1)], names=["a", "b"])
+        if held:
+            yield batch()
 
     return run
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that are as alike as asked, from rows sorted by (a, salt): first the text of ``a`` (null ``b``), then those of its partners."""
+    key, own = None, None
+    for batch in batches:
+        found: tuple[list[int], list[int]] = ([], [])
+        for a, salt, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text"))):
+            s = shingle_set(text)
+            if b is None:
+                key, own = (a, salt), s
+            elif key == (a, salt):
+                common = len(np.intersect1d(own, s, assume_unique=True))
+                if 9 * common >= 4 * (len(own) + len(s)):
+                    found[0].append(a), found[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``(key, component_id)`` and ``carry``, one for each row of ``docs``: the smallest key reachable over similar texts.
 
-    No similar pair is lost. Texts with equal shingle sets are one node. Sets that share a
-    hash of their prefixes are compared with the first of them, and then, unless linked
-    already, with each other, so a group of many near copies makes few pairs.
+    Two texts are linked if they have 4/5 of the union of their shingle sets in common.
+    Texts with equal sets are one node; null, empty and wordless texts are one node of
+    their own. Sets that share a band are first compared with its first set, one
+    comparison a set, and then, unless linked already, with each other, so a group of many
+    near copies makes few pairs. Every pair within the radius that shares a band is
+    decided on its sets: links are never wrong, and one in a million at most is lost.
+    Rows with a null key get the component of their text but name none.
     """
-    seen = staged(docs.select(F.col(key).alias("_key"), *carry, F.col(text).alias("_text"), described(F.col(text)).alias("d")).select("_key", *carry, "d.*", F.xxhash64("_text").alias("_of")), "described")
-    one = staged(seen.groupBy("sig").agg(F.min("_key").alias("node"), F.min(F.struct("_of", "n", "odd", "prefix")).alias("d")).select("sig", "node", "d.n", "d.odd", "d._of", "d.prefix"), "sets")
-    rows = staged(one.select("sig", F.explode("prefix").alias("h")).select("h", "sig").repartition("h").mapInArrow(_shared, "h long, sig long"), "shared")
-    release(docs.sparkSession)
-    small = staged(one.join(rows.select("sig").distinct(), "sig").select("sig", "n", "odd", "_of"), "members")
-
-    def linked(roots: DataFrame, star: bool) -> DataFrame:
-        wide = rows.join(small.drop("_of").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "sig")
-        pairs = staged(wide.select("h", "sig", "n", "odd", "root").repartition("h").mapInArrow(_pairs(star), "a long, b long").distinct(), "pairs")
-        release(docs.sparkSession)
+    spark = docs.sparkSession
+    seen = staged(docs.select(F.col(key).alias("_key"), *carry, F.xxhash64(text).alias("_of"), described(F.col(text)).alias("d")).select("_key", *carry, "_of", "d.*"), "described")
+    one = staged(seen.groupBy("sig").agg(F.min("_key").alias("node"), F.min(F.struct("_of", "n", "fp", "odd", "bands")).alias("d")).select("sig", "node", "d.*"), "sets")
+    rows = staged(one.select("sig", F.explode("bands").alias("h")).select("h", "sig").repartition("h").mapInArrow(_shared, "h long, sig long"), "shared")
+    members = staged(one.select("sig", "_of", "n", "fp", "odd").join(rows.select("sig").distinct(), "sig", "left_semi"), "members")
+    release(spark)
+
+    def candidates(roots: DataFrame, star: bool) -> DataFrame:
+        labelled = members.drop("_of").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        wide = rows.join(labelled, "sig").select("h", "sig", "n", "fp", "odd", "root")
+        return wide.repartition("h").mapInArrow(_pairs(star), "a long, b long").distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
         # one text of each set in a pair; any other of equal set would do as well
-        named = small.select("sig", "_of").join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig")
-        texts = docs.select(F.col(text).alias("_text")).withColumn("_of", F.xxhash64("_text")).join(named, "_of").groupBy("sig").agg(F.min("_text").alias("_text"))
-        sets = staged(texts.select("sig", hash_set(F.col("_text")).alias("s")), "hashes")
-        release(docs.sparkSession)
-        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        edges = staged(both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "edges")
-        release(docs.sparkSession)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        named = members.select("sig", "_of").join(ends, "sig", "left_semi")
+        own = docs.select(F.col(text).alias("_text")).withColumn("_of", F.xxhash64("_text"))
+        texts = staged(own.join(named, "_of").groupBy("sig").agg(F.min("_text").alias("text")), "texts")
+        release(spark)
+        dealt = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int"))
+        firsts = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("sig", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+        others = dealt.join(texts.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", "text")
+        by = firsts.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        edges = staged(by.mapInArrow(_alike, "a long, b long"), "edges")
+        release(spark)
         return edges
 
-    none = small.select("sig", F.col("sig").alias("root")).where("false")
-    near = linked(none, True)
+    none = members.select("sig", F.col("sig").alias("root")).where("false")
+    first = staged(candidates(none, True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    near = linked(first)
     labels = connected_components(near).withColumnRenamed("node", "sig")
-    labels = connected_components(near.union(linked(labels, False))).withColumnRenamed("node", "sig")
-    classes = one.select("sig", "node").join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rest = staged(candidates(labels, False).join(first, ["a", "b"], "left_anti"), "pairs")
+    labels = connected_components(near.union(linked(rest))).withColumnRenamed("node", "sig")
+    classes = staged(one.select("sig", "node").join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "classes")
     least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
     return seen.join(classes.join(least, "root").select("sig", "component_id"), "sig").select(F.col("_key").alias(key), "component_id", *carry)

@@ -19,7 +19,6 @@ id, or same document and earlier start). The work is dealt out by content:
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 LENGTH, GRAM = 100, 24
 #: Bytes of runs in one transform, and anchors that a task holds before it combines and sends them.
@@ -378,12 +377,6 @@ def _frequent(docs: DataFrame, length: int) -> np.ndarray:
     return np.array([r["k"] for r in rows], np.int64).view(np.uint64)
 
 
-def release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of phases whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``doc, lo, hi``: windows of ``length`` bytes, by start, that also start earlier. Ranges may touch.
 

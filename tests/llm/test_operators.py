@@ -336,9 +336,9 @@ def test_gray_index_finds_all_pairs(radius):
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
     codes = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(12)]]))
     group = np.zeros(len(codes), np.int64)
-    index = simhash.GrayIndex(group, codes)
+    index = simhash.GrayIndex(group, codes[:, None])
     got = {(int(a), int(b)) for x, y in index.pairs(radius) for a, b in zip(x, y)}
-    c = index.codes
+    c = index.codes[:, 0]
     assert got == {(i, j) for i, j in itertools.combinations(range(len(c)), 2) if (int(c[i]) ^ int(c[j])).bit_count() <= radius}
 
 
@@ -350,6 +350,27 @@ def test_repeated_rows_and_null_keys_of_near_duplicates(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("radius", [60, 100])
+def test_gray_index_of_several_words_and_groups(radius):
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
+    codes = np.concatenate([base, *[base ^ (rng.integers(0, 2**63, (6, 4), dtype=np.uint64) & rng.integers(0, 2**63, (6, 4), dtype=np.uint64)) for _ in range(8)]])
+    group = rng.integers(0, 2, len(codes))
+    index = simhash.GrayIndex(group, codes)
+    c, g = index.codes, group[index.order]
+    want = {(i, j) for i in range(len(c)) for j in range(i + 1, len(c)) if g[i] == g[j] and int(np.bitwise_count(c[i] ^ c[j]).sum()) <= radius}
+    assert want and {(int(a), int(b)) for x, y in index.pairs(radius) for a, b in zip(x, y)} == want
+    asked = {(int(a), int(b)) for x, y in index.near(np.array([3, 20]), radius, 1) for a, b in zip(x, y) if a != b}
+    assert asked == {(i, j) for p in want for i, j in (p, p[::-1]) if i in (3, 20)}
+
+
+def test_fingerprints_of_null_keys_bridge_and_keys_may_be_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle: text.cast("long"))
+    docs = spark.createDataFrame([("1", "0"), (None, "3"), ("2", "15"), (None, str(0xFF00FF00))], "doc_id string, text string")
+    got = {(r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(0, "1"), (3, "1"), (15, "1"), (0xFF00FF00, None)}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 3)]
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
