@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .similarity import similarity
 from .text import collapse
 
 #: Suffixes as written and as kept; words that belong to the word after them in a surname; spellings of newborn phrases.
@@ -13,6 +14,9 @@ PARTICLES = ("de", "dela", "del", "della", "delos", "delas", "la", "las", "los",
 BABY = ("BABY", "BBY", "BB", "BABE", "BAEY", "BABV", "BAHY", "BAB", "BABI", "BBAY", "BAYB")
 GIRL = ("GIRL", "GRL", "GIRI", "GURL", "GRIL", "GIRLL", "GIR", "GIRK", "CIRL", "GLRL", "GIRT")
 BOY = ("BOY", "BOI", "BOYY", "BQY", "BOV", "B0Y", "BUY")
+#: Signs and digits read for letters in newborn phrases (13 is read for B), and how close to BABY an unknown spelling must be.
+NEWBORN_FROM, NEWBORN_TO = "018|!", "OIBII"
+BABY_CUTOFF = 0.75
 
 
 def _bare(word: Column) -> Column:
@@ -69,11 +73,19 @@ def split_name(c: Column) -> Column:
 
 
 def newborn(c: Column) -> Column:
-    """``BABY GIRL`` or ``BABY BOY`` if the first words of a name say so, read with look-alike digits; else null."""
-    fold = F.translate(F.replace(F.regexp_replace(F.upper(collapse(c)), "[^A-Z0-9|! ]", ""), F.lit("13"), F.lit("B")), "018|!", "OIBII")
+    """``BABY GIRL`` or ``BABY BOY`` if the first words of a name say so, read with look-alike digits; else null.
+
+    A first word that is no known spelling counts if it has four letters or more, is close
+    enough to BABY, and the second word is a known spelling.
+    """
+    fold = F.translate(F.replace(F.regexp_replace(F.upper(collapse(c)), "[^A-Z0-9|! ]", ""), F.lit("13"), F.lit("B")), NEWBORN_FROM, NEWBORN_TO)
     baby = "|".join(BABY)
-    girl, boy = ("|".join(w.replace("0", "O") for w in ws) for ws in (GIRL, BOY))
-    return F.when(fold.rlike(rf"^(?:{baby}) ?(?:{girl})\b"), "BABY GIRL").when(fold.rlike(rf"^(?:{baby}) ?(?:{boy})\b"), "BABY BOY")
+    girls, boys = ([w.replace("0", "O") for w in ws] for ws in (GIRL, BOY))
+    first, second = F.get(F.split(fold, " "), F.lit(0)), F.get(F.split(fold, " "), F.lit(1))
+    unsure = F.when((F.length(first) >= 4) & second.isin(*girls, *boys), first)
+    near = F.coalesce(similarity(F.lit("BABY"), unsure) >= BABY_CUTOFF, F.lit(False))
+    known = lambda ws: fold.rlike(rf"^(?:{baby}) ?(?:{'|'.join(ws)})\b")
+    return F.when(known(girls) | (near & second.isin(*girls)), "BABY GIRL").when(known(boys) | (near & second.isin(*boys)), "BABY BOY")
 
 
 def restore_enye(c: Column, known: dict[str, str]) -> Column:

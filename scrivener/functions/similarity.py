@@ -80,9 +80,16 @@ def close_match(words: Column, names: list[str], cutoff: float) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         known: dict[str, str | None] = {}
         for t in texts.dropna().unique():
-            scored = [(SequenceMatcher(None, t, n).ratio(), n) for n in ordered]
-            top = max(scored, key=lambda x: x[0], default=(0.0, None))
-            known[t] = top[1] if top[0] >= cutoff else None
+            top, found = cutoff, None
+            matcher = SequenceMatcher(None, "", t)
+            for n in ordered:
+                matcher.set_seq1(n)
+                # the cheap bounds first; a later name must be closer
+                if matcher.real_quick_ratio() >= top and matcher.quick_ratio() >= top:
+                    ratio = SequenceMatcher(None, t, n).ratio()
+                    if ratio > top or (found is None and ratio >= top):
+                        top, found = ratio, n
+            known[t] = found
         return texts.map(lambda t: known.get(t)).astype(object)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}

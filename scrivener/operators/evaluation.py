@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import f1, percent, ratio
+from ..functions.metrics import char_accuracy, f1, percent, ratio
 
 
 def with_total(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], *, total: str = "All") -> DataFrame:
@@ -55,6 +55,42 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float], confidence: Colu
     return counted.select(F.inline(rows)).withColumn("wrong_percent", percent(F.col("wrong"), F.col("accepted")))
 
 
+def variant_accuracy(truth: Column, variants: Sequence[str]) -> list[Column]:
+    """Aggregates ``exact_*`` and ``accuracy_*`` (percent) of each variant's readings; what was not read does not count."""
+    out = []
+    for v in variants:
+        out.append(percent(F.count_if(F.col(v) == truth), F.count(v)).alias(f"exact_{v}"))
+        out.append(F.avg(F.when(F.col(v).isNotNull(), char_accuracy(truth, F.col(v)))).alias(f"accuracy_{v}"))
+    return out
+
+
+def cut_verdict(truth: Column, reading: Column, best_other: Column, own: Column, *, margin: float, least: float, clear: float = 75.0) -> Column:
+    """Whether a cut holds its own field's text: right, wrong (another's fits better), unsure, or for a blank field clean, stray marks or writing."""
+    read = F.length(F.regexp_replace(F.coalesce(reading, F.lit("")), "[^A-Za-z0-9]", "")) >= 2
+    other = F.coalesce(best_other, F.lit(0.0))
+    blank = F.when(~read, "blank").when(other >= clear, "writing in a blank").otherwise("stray marks")
+    return (
+        F.when(F.coalesce(truth, F.lit("")) == "", blank).when(~read, "unsure").when((other >= clear) & (other > own + margin), "wrong")
+        .when((own >= least) & (best_other.isNull() | (own >= other)), "right").otherwise("unsure")
+    )
+
+
+def alignment(key: DataFrame, found: DataFrame, page: str, row: str, score) -> DataFrame:
+    """Rows of an answer key beside the rows found, full outer: ``status, here, above, below``.
+
+    ``score(truth, text)`` compares; a row whose neighbour's text fits clearly better is
+    called shifted. Rows found but not in the key are told apart.
+    """
+    texts = [found.select(page, (F.col(row) + d).alias(row), F.col("text").alias(name)) for d, name in ((0, "_here"), (1, "_above"), (-1, "_below"))]
+    both = key.join(texts[0], [page, row], "full").join(texts[1], [page, row], "left").join(texts[2], [page, row], "left")
+    here, above, below = (F.when(F.col("truth").isNotNull(), score(F.col("truth"), F.col(c))) for c in ("_here", "_above", "_below"))
+    scored = both.select(page, row, F.col("truth").isNull().alias("_extra"), F.col("_here").isNull().alias("_none"), here.alias("here"), above.alias("above"), below.alias("below"))
+    best = F.greatest("above", "below")
+    fits = best.isNull() | (F.col("here") >= best - 10) | (F.col("here") >= 60)
+    status = F.when(F.col("_extra"), "found, not in key").when(F.col("_none"), "not detected").when(F.col("here").isNull(), "no text").when(fits, "aligned").otherwise("shifted")
+    return scored.select(page, row, status.alias("status"), "here", "above", "below")
+
+
 def set_score(fired: Column, required: Column, allowed: Column) -> Column:
     """Struct of sets: hits, misses and false alarms (what is merely allowed is no alarm)."""
     return F.struct(

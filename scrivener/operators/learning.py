@@ -53,12 +53,16 @@ def word_patterns(df: DataFrame, keys: Sequence[str], raw: str, final: str) -> D
 def correct_words(df: DataFrame, keys: Sequence[str], raw: Column, corrections: DataFrame, name: str) -> DataFrame:
     """``name``: the reading with each word replaced as ``corrections`` (keys, wrong, correct) say.
 
-    The corrections of a key are one map, joined to the readings by key; Spark broadcasts
-    the maps only while they are small.
+    Each distinct reading of a key is taken apart once and its words are joined to the
+    corrections; a word with several gets the smallest. Null readings and keys stay.
     """
-    maps = corrections.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("wrong", "correct"))).alias("_map"))
-    fixed = F.array_join(F.transform(F.split(collapse(raw), " "), lambda w: F.coalesce(F.element_at("_map", F.upper(w)), w)), " ")
-    return df.join(maps, list(keys), "left").withColumn(name, F.when(F.col("_map").isNull(), collapse(raw)).otherwise(fixed)).drop("_map")
+    one = corrections.groupBy(*keys, "wrong").agg(F.min("correct").alias("_c"))
+    whole = df.withColumn("_t", collapse(raw))
+    texts = whole.select(*keys, "_t").where("_t is not null").distinct()
+    words = texts.select(*keys, "_t", F.posexplode(F.split("_t", " ")).alias("_i", "_w")).withColumn("wrong", F.upper("_w"))
+    fixed = words.join(one, [*keys, "wrong"], "left").groupBy(*keys, "_t").agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_c", "_w").alias("w")))).alias("_ws"))
+    done = fixed.select(*keys, "_t", F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias("_fixed"))
+    return whole.join(done, [*keys, "_t"], "left").select(*df.columns, F.coalesce("_fixed", "_t").alias(name))
 
 
 def entries(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

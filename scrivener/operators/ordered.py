@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key by ``order`` (which must not tie): one aggregate with map-side combine, no sort."""
@@ -19,6 +21,21 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """``name``: the row's place (from 1) in the order of the whole table, found without gathering it in one task.
+
+    Rows are dealt out by ranges of the order and written once, so that ranges and counts
+    belong together; a row's place is that in its range and the count of the ranges before.
+    """
+    path = scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    # one row a range: partitions, not data
+    ahead = held.groupBy("_range").count().withColumn("_ahead", F.sum("count").over(Window.orderBy("_range")) - F.col("count")).drop("count")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return held.withColumn("_in_range", place).join(F.broadcast(ahead), "_range").withColumn(name, F.col("_in_range") + F.col("_ahead")).drop("_range", "_in_range", "_ahead")
+
+
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key; Spark limits each group before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def counting_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], counts: Sequence[str], *, last: Sequence[str] = (), seq: str | None = None) -> DataFrame:
     """``old`` with ``new`` counted in: counts add up by key; ``last`` columns take the value with the greatest ``seq``."""
@@ -53,10 +55,39 @@ def forward_only(ladder: Sequence[str], old: Column, new: Column) -> Column:
 
 
 def appended(old: DataFrame, new: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``old`` and ``new``, whose rows get the ids after ``old``'s greatest, in ``order`` (for small additions: one ordered task)."""
+    """``old`` and ``new``, whose rows get the ids after ``old``'s greatest, in ``order``."""
     start = old.agg(F.coalesce(F.max(name), F.lit(0)).alias("_start"))
-    numbered = new.withColumn(name, F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(start)).withColumn(name, (F.col(name) + F.col("_start")).cast(old.schema[name].dataType))
-    return old.unionByName(numbered.select(*old.columns))
+    placed = numbered(new, order, "_id").crossJoin(F.broadcast(start))  # one row
+    return old.unionByName(placed.withColumn(name, (F.col("_id") + F.col("_start")).cast(old.schema[name].dataType)).select(*old.columns))
+
+
+def checked_links(rows: DataFrame, key: str, wanted: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """``rows`` with the ``role`` and ``parent`` that ``wanted`` (key, role, parent) asks for, and ``error`` where that is not allowed.
+
+    A role must be one of ``roles`` or null, a parent another row of the table. A change
+    with an error is not made; rows that nobody asks to change stay as they are.
+    """
+    asked = wanted.select(F.col(key), F.col("role").alias("_role"), F.col("parent").alias("_parent"), F.lit(True).alias("_asked"))
+    known = rows.select(F.col(key).alias("_parent"), F.lit(True).alias("_known"))
+    found = rows.join(asked, key, "left").join(known, "_parent", "left")
+    error = F.when(F.col("_role").isNotNull() & ~F.col("_role").isin(*roles), "unknown role").when(F.col("_parent") == F.col(key), "own parent").when(F.col("_parent").isNotNull() & F.col("_known").isNull(), "no such parent")
+    change = F.col("_asked").isNotNull() & F.col("_error").isNull()
+    return found.withColumn("_error", error).select(*[c for c in rows.columns if c not in ("role", "parent")], F.when(change, F.col("_role")).otherwise(F.col("role")).alias("role"), F.when(change, F.col("_parent")).otherwise(F.col("parent")).alias("parent"), F.col("_error").alias("error"))
+
+
+def checked_settings(settings: DataFrame, wanted: DataFrame, limits: Mapping[str, int], digits: Mapping[str, int]) -> DataFrame:
+    """``setting, value, error``: ``settings`` with the values of ``wanted`` written over them where they are allowed.
+
+    A setting must be one of ``limits`` and no longer than that; those of ``digits`` must
+    have so many digits, and only these are kept. Null counts as ''.
+    """
+    value = F.trim(F.coalesce("value", F.lit("")))
+    bare = F.regexp_replace(value, "[^0-9]", "")
+    limit, count = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (limits, digits))
+    want = F.try_element_at(count, F.col("setting"))
+    error = F.when(~F.col("setting").isin(*limits), "unknown setting").when(F.length(value) > F.try_element_at(limit, F.col("setting")), "too long").when((value != "") & (F.length(bare) != want), "wrong number of digits")
+    asked = wanted.select("setting", F.when(want.isNotNull(), bare).otherwise(value).alias("_new"), error.alias("error"))
+    return settings.join(asked, "setting", "full").select("setting", F.when(F.col("_new").isNotNull() & F.col("error").isNull(), F.col("_new")).otherwise(F.col("value")).alias("value"), "error")
 
 
 def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, child_key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +104,7 @@ def prepend_unique(items: Column, item: Column, n: int) -> Column:
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """Order-insensitive checksum: rows are hashed one by one and the hashes added, so no task gathers the table."""
-    row = F.conv(F.substring(F.md5(F.to_json(F.struct(*sorted(df.columns)))), 1, 12), 16, 10).cast("decimal(20,0)")
+    """Order-insensitive checksum: rows are hashed one by one, columns in order of name, and the hashes added, so no task gathers the table."""
+    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+    row = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("n_rows"), F.sum(row).alias("checksum"))

@@ -143,9 +143,9 @@ def _(t):
     return cells(t).groupBy("style").agg(F.count_if(blank).alias("blank"), F.count_if(blank & (F.col("raw") != "")).alias("false_readings"))
 
 
-@query("a18_set_confusion", """SELECT user_id, len(list_filter(['click', 'error'], lambda r: list_contains(f, r)))::INTEGER AS tp, len(list_filter(['click', 'error'], lambda r: NOT list_contains(f, r)))::INTEGER AS fn, len(list_filter(f, lambda r: r NOT IN ('click', 'error', 'view')))::INTEGER AS fp FROM (SELECT user_id, list(DISTINCT event_type) AS f FROM events WHERE event_id % 40 < 3 GROUP BY 1)""")
+@query("a18_set_confusion", """SELECT user_id, len(list_filter(['click', 'error'], lambda r: list_contains(f, r)))::INTEGER AS tp, len(list_filter(['click', 'error'], lambda r: NOT list_contains(f, r)))::INTEGER AS fn, len(list_filter(f, lambda r: r NOT IN ('click', 'error', 'view')))::INTEGER AS fp FROM (SELECT user_id, list(DISTINCT event_type) AS f FROM events WHERE value > 100 GROUP BY 1)""")
 def _(t):
-    fired = t.events.where("event_id % 40 < 3").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
+    fired = t.events.where("value > 100").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
     s = E.set_score(F.col("f"), F.array(F.lit("click"), F.lit("error")), F.array(F.lit("view")))
     return fired.select("user_id", s.alias("s")).select("user_id", *[F.size(f"s.{c}").alias(c) for c in ("tp", "fn", "fp")])
 
@@ -274,11 +274,11 @@ def _(t):
     return t.part.select("p_partkey", weighted_score(parts).alias("score"))
 
 
-@query("m06_grid_cells", "SELECT p_partkey, k.k AS row, x.x AS col, k.k * p_size AS y, x.x * 10 AS x FROM part, range(0, 3) k(k), range(0, 4) x(x) WHERE p_partkey < 200")
+@query("m06_grid_cells", "SELECT p_partkey, k.k AS row, x.x AS col, k.k * p_size AS y, x.x * 10 AS x FROM part, range(0, 3) k(k), range(0, 4) x(x)")
 def _(t):
     from ..operators.geometry import grid
 
-    return grid(t.part.where("p_partkey < 200").select("p_partkey", "p_size"), 3, 4).select("p_partkey", "row", "col", (F.col("row") * F.col("p_size")).alias("y"), (F.col("col") * 10).alias("x"))
+    return grid(t.part.select("p_partkey", "p_size"), 3, 4).select("p_partkey", "row", "col", (F.col("row") * F.col("p_size")).alias("y"), (F.col("col") * 10).alias("x"))
 
 
 @query("m07_row_propagation", "SELECT p_partkey, list_transform(range(0, least(100, 1 + greatest(0, (199 - p_size)) // (p_size + 2))), lambda k: (p_size + k * (p_size + 2))::BIGINT) AS rows_at FROM part WHERE p_size > 0")

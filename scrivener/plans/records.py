@@ -27,11 +27,11 @@ def _(t):
     return t.events.select("event_id", F.coalesce(F.from_json(raw, "k int"), F.struct(F.lit(None).cast("int").alias("k")))["k"].alias("k"))
 
 
-@query("p03_flat_map", "SELECT o_orderkey, c_name AS patient_name, o_orderpriority AS encounter_kind, o_orderstatus AS claim_status FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 3000")
+@query("p03_flat_map", "SELECT o_orderkey, c_name AS patient_name, o_orderpriority AS encounter_kind, o_orderstatus AS claim_status FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(t):
     from ..operators.projection import flat
 
-    rows = t.orders.where("o_orderkey < 3000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return flat(rows, {"patient_name": "c_name", "encounter_kind": "o_orderpriority", "claim_status": "o_orderstatus"}, keep=["o_orderkey"])
 
 
@@ -293,7 +293,7 @@ def _(t):
 
 @query("j17_fuzzy_semi_join")
 def _(t):
-    held = t.part.where("p_partkey % 50 = 1").groupBy(F.col("p_type").alias("field"), F.upper("p_name").alias("entry")).agg(F.count("*").alias("weight"))
+    held = t.part.groupBy(F.col("p_type").alias("field"), F.upper("p_name").alias("entry")).agg(F.count("*").alias("weight"))
     c = cells(t).where("raw <> ''").select("cell", "field", "raw")
     exact = c.join(held.select("field", F.col("entry").alias("raw")), ["field", "raw"], "left_semi").select("cell")
     near = K.near_entry(c, held, ["field"], "raw", "entry", "weight", 0.85).where("nearest is not null").select("cell")
@@ -409,7 +409,7 @@ def _(t):
 
 
 # ---- the correction cascade ------------------------------------------------------------------------------
-@query("f17_code_format")
+@query("f17_code_format", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '2o20 ' || n ELSE y || '/' || n END AS code, CASE WHEN o_orderkey % 3 = 0 THEN '2020-' || n ELSE y || '-' || n END AS shaped FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS n FROM orders)")
 def _(t):
     from ..operators.correction import reshape_code
 
@@ -437,12 +437,12 @@ def _(t):
 def _(t):
     from ..operators.correction import correct
 
-    c = cells(t).select("cell", "field", "raw", "truth")
-    learned = c.where("cell % 4 = 0 and raw <> '' and truth <> ''")
+    c = cells(t).select("cell", "field", "style", "raw", "truth")
+    learned = c.where("style = 'caps' and raw <> '' and truth <> ''")
     whole = learned.groupBy("field", F.upper("raw").alias("wrong"), F.col("truth").alias("correct")).agg(F.count("*").alias("n"))
     support = lambda counts: L.supported_mode(counts, ["field", "wrong"], "correct").where("correct <> wrong")
     words = L.word_patterns(learned, ["field"], "raw", "truth")
-    return correct(c.where("cell % 4 <> 0"), ["field"], "raw", "fixed", values=support(whole), words=support(words), entries=vocabulary(t)).select("cell", "fixed", "fixed_by")
+    return correct(c.drop("style"), ["field"], "raw", "fixed", values=support(whole), words=support(words), entries=vocabulary(t)).select("cell", "fixed", "fixed_by")
 
 
 @query("f20_city_words")

@@ -334,9 +334,9 @@ def _(t):
     return t.part.select("p_partkey", merged.alias("m")).select("p_partkey", F.col("m")["name"].alias("name"), F.col("m")["brand"].alias("brand"))
 
 
-@query("n05_pad_array", "SELECT user_id, list_resize(list_slice(list(event_id ORDER BY event_id), 1, 4), 4, -1) AS ids FROM events WHERE event_id < 400 GROUP BY 1")
+@query("n05_pad_array", "SELECT user_id, list_resize(list_slice(list(event_id ORDER BY event_id), 1, 4), 4, -1) AS ids FROM events GROUP BY 1")
 def _(t):
-    ids = t.events.where("event_id < 400").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("x"))
+    ids = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("x"))
     return ids.select("user_id", F.slice(F.concat("x", F.array_repeat(F.lit(-1).cast("long"), 4)), 1, 4).alias("ids"))
 
 

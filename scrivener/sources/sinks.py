@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -13,9 +14,14 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, which all executors share; where that is unset (tests), a folder of our own."""
+    """A new path under ``spark.checkpoint.dir``, which all executors share; where that is unset and Spark is one local process (tests), a folder of our own.
+
+    On a cluster a shared folder must be named; without one this fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="scrivener-"))
         base = _own[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,21 @@ def json_folder(spark: SparkSession, path: str, schema: str, *, pattern: str = "
     return df.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
+def json_document(spark: SparkSession, folder: str, doc_id: str, schema: str) -> DataFrame:
+    """One JSON document by its id, which may hold letters, digits, ``_``, ``-`` and ``=`` only, so that it never leads out of the folder."""
+    if not re.fullmatch(r"[\w=-]+", doc_id, re.ASCII):
+        raise ValueError(f"not a document id: {doc_id!r}")
+    return spark.read.json(f"{folder.rstrip('/')}/{doc_id}", schema=schema)
+
+
+def check_codes(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """``df`` if every ``column`` matches ``pattern`` as a whole; else an error that says how many values do not, and none of them."""
+    bad = df.where(~F.coalesce(F.trim(column).rlike(f"^(?:{pattern})$"), F.lit(False))).select(column).distinct().count()
+    if bad:
+        raise ValueError(f"{column}: {bad} value(s) are no codes of the form {pattern}")
+    return df
+
+
 def row_ranges(c):
     """Array of the row numbers in a text such as ``1-3,7``; null for ``all``."""
     parts = F.split(F.regexp_replace(c, r"\s", ""), ",")
