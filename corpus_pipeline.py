@@ -1,9 +1,9 @@
 """A corpus pipeline over ``documents``: five stages, each calling one operator of the library.
 
 Language ID drops texts that no language claims, one document of each group of near
-duplicates stays (4/5 of their five-word shingles in common), decontamination drops documents with benchmark passages, the secret
-scan masks confirmed secrets, and the mix repeats or leaves out documents so that every
-source meets its target.
+duplicates stays (linked by 4/5 of their five-word shingles), decontamination drops
+documents with benchmark passages, the secret scan masks confirmed secrets, and the mix
+repeats or leaves out documents so that every source meets its target.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import decontaminate, language, mixing, secrets, similar, simhash
-from scrivener.llm.common import held_out, staged, table
+from scrivener.llm.common import held_out, staged, table, unused
 
 #: A text is rejected if the runner-up language needs less than this share more bytes.
 LANGUAGE_MARGIN = 0.003
@@ -22,8 +22,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose two best languages are as good as tied."""
-    found = language.identify(docs, docs.where(~held_out("doc_id")))
-    sure = (F.col("_lid.lang") != language.UNKNOWN) & (F.col("_lid.margin") >= LANGUAGE_MARGIN)
+    (name,) = unused(docs, "_lid")
+    found = language.identify(docs, docs.where(~held_out("doc_id")), out=name)
+    sure = (F.col(name)["lang"] != language.UNKNOWN) & (F.col(name)["margin"] >= LANGUAGE_MARGIN)
     return found.where(sure).select(*docs.columns)
 
 
@@ -34,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a passage of ``benchmark`` is found."""
-    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    (name,) = unused(docs, "_hits")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), out=name)
+    return found.where(F.size(name) == 0).select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

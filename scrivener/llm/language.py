@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounded training sample: this many texts a language, this many leading characters of each.
+#: Bounded training sample: this many texts a language, a stretch of this many characters from anywhere in each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 64, 500
 #: Texts are compressed in pieces of this size, so that the dictionary weighs as much in long texts as in short ones.
 PIECE_BYTES = 1024
@@ -33,7 +33,9 @@ def sample_dictionaries(training: DataFrame, *, text: str = "text", lang: str =
 
     The sample is fixed by a hash of ``key``: of each of ``texts`` hash buckets of a
     language, the row with the least hash. The search is one map-side combined
-    aggregate over keys only; the driver gets ``texts * chars`` characters a language.
+    aggregate over keys only; the driver gets ``texts * chars`` characters a language, each
+    stretch from a place that the hash picks in the whole text. Of rows that share language
+    and key the smallest stretch is taken.
     Rows with a null key, text or language teach nothing.
     """
     h = F.xxhash64(F.lit(17), F.col(key))
@@ -45,7 +47,8 @@ def sample_dictionaries(training: DataFrame, *, text: str = "text", lang: str =
     )
     # texts * (number of languages) keys: bounded by parameter, so safe to broadcast
     chosen = usable.join(F.broadcast(picked.select("_lang", "_key")), (F.col(key) == F.col("_key")) & (F.col(lang) == F.col("_lang")))
-    rows = chosen.select("_lang", "_key", F.substring(F.col(text), 1, chars).alias("part")).dropDuplicates(["_lang", "_key"]).collect()
+    start = F.pmod(F.xxhash64(F.lit(23), F.col(key)), F.greatest(F.length(text) - chars + 1, F.lit(1)).cast("long")) + 1
+    rows = chosen.select("_lang", "_key", F.substring(F.col(text), start.cast("int"), F.lit(chars)).alias("part")).groupBy("_lang", "_key").agg(F.min("part").alias("part")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], str(r["_key"]))):
         found.setdefault(r["_lang"], []).append(r["part"])
@@ -94,11 +97,13 @@ def classify(text: Column, dictionaries: dict[str, bytes], *, level: int = 5) ->
     return F.pandas_udf(run, "lang string, score double, margin double")(text)
 
 
-def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", **sample) -> DataFrame:
-    """``docs`` with a column ``_lid`` as :func:`classify` gives it, learned from ``training``.
+def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", out: str = "_lid", **sample) -> DataFrame:
+    """``docs`` with a column ``out`` as :func:`classify` gives it, learned from ``training``.
 
-    A narrow map over the documents: no shuffle of texts. Other columns, whatever their
-    names, stay as they are; an empty table gives an empty table.
+    A narrow map over the documents: no shuffle of texts. Other columns stay as they are;
+    ``out`` must be none of them. An empty table gives an empty table.
     """
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"documents have a column {out}")
     learned = sample_dictionaries(training, text=text, lang=lang, key=key, **sample)
-    return docs.withColumn("_lid", classify(F.col(text), learned))
+    return docs.withColumn(out, classify(F.col(text), learned))

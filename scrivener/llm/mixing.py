@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .common import WORD, staged
 
 #: No source is taken more often than this.
 MAX_REPEATS = 3
-#: Budgets up to this are fitted by dynamic programming; larger ones are first brought down.
-DP_WORDS = 1 << 15
-#: Hash buckets of a (source, size) group, so that no task ranks a whole hot group.
-BUCKETS = 1024
+#: Words of a budget that are fitted by dynamic programming at first, and at most where no sum meets the budget.
+DP_WORDS, MOST_DP_WORDS = 1 << 17, 1 << 22
+#: A (source, size) group of more documents is ranked in as many hash buckets as it takes, so that no task ranks a whole hot group.
+RANKED = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -32,56 +33,61 @@ def source_targets(sizes: DataFrame, weigh: Callable[[Column], Column], *, share
     """``_key, source_size, target`` from ``_key, size`` rows.
 
     ``share`` of the total is dealt out by weight; a source's target stops at
-    ``max_repeats`` times its size and the excess goes to the others by weight. With
-    sources ordered by cap / weight that is one running sum: a source is capped while its
-    ratio is at most what is left over the weight that is left. One row a source.
+    ``max_repeats`` times its size and the excess goes to the others by weight, until none
+    is above. Each round of that is one aggregate over the sources; only sums reach the
+    driver, and no task sees all sources.
     """
-    per = sizes.groupBy("_key").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("_w", weigh(F.row_number().over(Window.orderBy("_key")))).withColumn("_cap", F.col("source_size") * float(max_repeats))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), "_key")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * share
-    level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    levels = per.withColumn("_level", level).withColumn("_capped", F.col("_cap") <= F.col("_level") * F.col("_w"))
-    free = F.max(F.when(~F.col("_capped"), F.col("_level"))).over(everything)
-    return levels.withColumn("_free", free).select("_key", "source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_w") * F.col("_free"))).alias("target"))
+    per = numbered(sizes.groupBy("_key").agg(F.sum("size").alias("source_size")), [F.col("_key")], "_place")
+    per = staged(per.select("_key", "source_size", weigh(F.col("_place")).alias("_w"), (F.col("source_size") * float(max_repeats)).alias("_cap")), "sources")
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("_cap") <= level * F.col("_w")
+        n, total, held, weight = per.agg(F.count_if(over), F.sum("source_size") * share, F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("_w")))).first()
+        if n == capped or not weight:
+            break
+        level, capped = ((total or 0) - (held or 0.0)) / weight, n
+    return per.select("_key", "source_size", F.least(F.col("_cap"), F.col("_w") * level).alias("target"))
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up to ``budget`` or as near to it as can be.
+def _prefilled(sizes: np.ndarray, counts: np.ndarray, budget: int, words: int) -> np.ndarray:
+    """Documents of each size that are taken without a search, so that about ``words`` of the budget are left to it.
 
-    First the same share of every size, rounded down; then, from the largest size down,
-    whole documents until at most ``dp_words`` are missing; the rest is a bounded knapsack
-    over the documents left, solved by dynamic programming on sets of reachable sums.
+    The same share of every size, then whole documents from the largest size down; of each
+    size some are given back, so that the search may do without them.
     """
-    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     taken = np.zeros(len(sizes), np.int64)
-    total = int((sizes * counts).sum())
-    budget = min(int(budget), total)
-    if budget <= 0:
+    if budget <= words:
         return taken
-    if budget == total:
-        return counts.copy()
+    total = int((sizes * counts).sum())
     taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     rest = budget - int((taken * sizes).sum())
     for i in np.argsort(-sizes, kind="stable").tolist():
-        if rest <= dp_words:
+        if rest <= words // 2:
             break
-        if sizes[i] > 0:
-            n = min(int(counts[i] - taken[i]), (rest - dp_words // 2) // int(sizes[i]))
-            if n > 0:
-                taken[i] += n
-                rest -= n * int(sizes[i])
+        n = min(int(counts[i] - taken[i]), (rest - words // 4) // int(sizes[i]))
+        taken[i] += max(n, 0)
+        rest -= max(n, 0) * int(sizes[i])
+    each = words // 2 // len(sizes)
+    for i in np.argsort(sizes, kind="stable").tolist():
+        n = min(int(taken[i]), max(1, each // int(sizes[i])))
+        if rest + n * int(sizes[i]) <= words:
+            taken[i] -= n
+            rest += n * int(sizes[i])
+    return taken
+
+
+def _nearest_sum(sizes: np.ndarray, counts: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: documents of each size whose sum is as near to ``rest`` as any, and how far it is.
+
+    Dynamic programming on the set of reachable sums, a bit each; of equals the lower sum.
+    """
     most = 2 * rest  # a sum further above than that is further away than taking nothing
     mask, reach, steps = (1 << (most + 1)) - 1, 1, []
     for i in np.argsort(sizes, kind="stable").tolist():
-        s, left, n = int(sizes[i]), int(counts[i] - taken[i]), 1
-        if s <= 0:
-            continue
+        s, n = int(sizes[i]), 1
         if s > most or reach >> rest & 1:
             break
-        left = min(left, most // s)
+        left = min(int(counts[i]), most // s)
         while left > 0:  # counts in binary parts
             n = min(n, left)
             steps.append((i, n, reach))
@@ -92,11 +98,35 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
     if over := reach >> (rest + 1):
         above = rest + (over & -over).bit_length()
         goal = above if above - rest < rest - goal else goal
+    off, taken = abs(goal - rest), np.zeros(len(sizes), np.int64)
     for i, n, without in reversed(steps):
         if not without >> goal & 1:
             taken[i] += n
             goal -= n * int(sizes[i])
-    return taken
+    return taken, off
+
+
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each size to take so that their sizes add up to ``budget`` or as near to it as can be.
+
+    Budgets up to ``dp_words`` are a bounded knapsack as a whole, so the nearest sum is
+    found. Of larger ones all but about ``dp_words`` is taken in proportion first; where
+    the search then meets no exact sum, it is repeated with four times the words, up to
+    the whole budget or ``MOST_DP_WORDS``.
+    """
+    sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
+    out, some = np.zeros(len(sizes), np.int64), np.flatnonzero((sizes > 0) & (counts > 0))
+    s, c = sizes[some], counts[some]
+    budget = min(int(budget), int((s * c).sum()))
+    if budget <= 0:
+        return out
+    while True:
+        taken = _prefilled(s, c, budget, dp_words)
+        more, off = _nearest_sum(s, c - taken, budget - int((taken * s).sum()))
+        if not off or not taken.any() or dp_words >= MOST_DP_WORDS:
+            out[some] = taken + more
+            return out
+        dp_words = min(4 * dp_words, MOST_DP_WORDS)
 
 
 def mix(docs: DataFrame, weigh: Callable[[Column], Column], *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 1, share: float = 1.0, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -111,15 +141,16 @@ def mix(docs: DataFrame, weigh: Callable[[Column], Column], *, key: str = "doc_i
     no words, gives no copies.
 
     Texts are read once, for their sizes; all that is shuffled is keys and counts. A
-    (source, size) group is ranked in ``BUCKETS`` hash buckets whose counts say where each
-    begins, so a hot group is spread over many tasks.
+    (source, size) group of over ``RANKED`` documents is ranked in hash buckets whose
+    counts say where each begins, so a hot group is spread over many tasks, and what is
+    counted by bucket grows with the large groups only.
     """
     named = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     h = F.xxhash64(F.lit(seed), F.col(key))
     base = docs.select(F.col(key).alias("_id"), F.col(source).alias("_source"), named.alias("_key"), word_count(F.col(text)).alias("size"), h.alias("_h"))
-    base = staged(base.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int")), "sizes")
-    counts = staged(base.groupBy("_key", "size", "_bucket").count(), "counts")
-    targets = staged(source_targets(base.select("_key", "size"), weigh, share=share, max_repeats=max_repeats), "targets")
+    base = staged(base, "sizes")
+    lengths = staged(base.groupBy("_key", "size").agg(F.count("*").alias("n")), "counts")
+    targets = staged(source_targets(lengths.select("_key", (F.col("size") * F.col("n")).alias("size")), weigh, share=share, max_repeats=max_repeats), "targets")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         target, whole = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0])
@@ -127,13 +158,17 @@ def mix(docs: DataFrame, weigh: Callable[[Column], Column], *, key: str = "doc_i
         rest = int(round(target)) - rounds * whole if rounds < max_repeats else 0
         pdf = pdf.sort_values("size")
         more = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), rest)
-        return pd.DataFrame({"_key": pdf["_key"], "size": pdf["size"], "_rounds": rounds, "_more": more, "source_size": whole, "target": target})
+        return pd.DataFrame({"_key": pdf["_key"], "size": pdf["size"], "n": pdf["n"], "_rounds": rounds, "_more": more, "source_size": whole, "target": target})
 
-    lengths = counts.groupBy("_key", "size").agg(F.sum("count").alias("n")).join(targets, "_key")
-    plans = staged(lengths.groupBy("_key").applyInPandas(plan, "_key string, size long, _rounds long, _more long, source_size long, target double"), "plans")
+    plans = lengths.join(targets, "_key").groupBy("_key").applyInPandas(plan, "_key string, size long, n long, _rounds long, _more long, source_size long, target double")
+    plans = staged(plans.withColumn("_buckets", F.ceil(F.col("n") / RANKED)).drop("n"), "plans")
+    # ranges of the hash, so that places do not depend on their number
+    bucket = F.floor((F.col("_h") / float(1 << 64) + 0.5) * F.col("_buckets"))
+    dealt = base.join(plans, ["_key", "size"]).withColumn("_bucket", bucket)
     ahead = Window.partitionBy("_key", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count").join(plans, ["_key", "size"])
+    large = base.join(plans.where("_buckets > 1").select("_key", "size", "_buckets"), ["_key", "size"]).groupBy("_key", "size", bucket.alias("_bucket")).count()
+    starts = large.select("_key", "size", "_bucket", F.sum("count").over(ahead).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_key", "size", "_bucket").orderBy("_h"))
-    ranked = base.join(starts, ["_key", "size", "_bucket"]).withColumn("_place", F.col("_start") + place)
+    ranked = dealt.join(starts, ["_key", "size", "_bucket"], "left").withColumn("_place", F.coalesce("_start", F.lit(0)) + place)
     copies = F.col("_rounds") + F.when((F.col("_place") <= F.col("_more")) & (F.col("size") > 0), 1).otherwise(0)
     return ranked.select(F.col("_id").alias(key), F.col("_source").alias(source), "size", "source_size", "target", copies.cast("int").alias("copies"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 #: A host is rejected if its shrunken share of failing documents is over this.
@@ -91,20 +93,21 @@ def host_rates(flags: DataFrame, *, host: str, failed: str = "base_failed") -> D
 
 
 def judge(counted: DataFrame, *, host: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``counted`` (rows with the counts and ``host``) with base_failed, host_rate, host_failed and kept.
+    """``counted`` (rows with the counts and ``host``) with base_failed, host_rate, host_failed and kept (in place of columns so named).
 
     A document is kept if it passes the base rules and its host's shrunken failure rate is
     at most ``max_rate``. The host verdicts join back on a null-safe key; the verdicts of
     a hot host are one row, and skewed partitions of documents are split by Spark.
     """
-    flagged = counted.withColumn("base_failed", base_failed())
-    rates = host_rates(flagged, host=host).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"))
-    joined = flagged.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    flagged = counted.drop("host_rate", "host_failed", "kept").withColumn("base_failed", base_failed())
+    (name,) = unused(flagged, "_host")
+    rates = host_rates(flagged.select(host, "base_failed"), host=host).select(F.col(host).alias(name), F.col("rate").alias("host_rate"))
+    joined = flagged.join(rates, F.col(host).eqNullSafe(F.col(name)), "left").drop(name)
     return joined.withColumn("host_failed", F.col("host_rate") > max_rate).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def oracle(max_rate: float = MAX_HOST_RATE) -> str:
-    """Counts and verdicts over ``documents``, with ``source`` as host, in DuckDB SQL."""
+    """Counts and verdicts over ``documents``, with ``source`` as host, in DuckDB SQL. Words and lines are those of ASCII white space."""
     return f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
  win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),

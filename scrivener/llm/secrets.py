@@ -9,15 +9,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 MASK = "<SECRET>"
-#: Bound of the fitting sample of labelled findings.
+#: Bounds: labelled findings in the fitting sample; words of the dictionary learned from the texts, and how often each must occur.
 MAX_FINDINGS = 20_000
-#: Names under which secrets are given, words that placeholders are made of, and parts of paths that hold examples.
+#: Fewer findings than this of either label fit no forest.
+LEAST_FINDINGS = 10
+DICTIONARY_WORDS, DICTIONARY_LEAST = 20_000, 5
+#: A value found after so many different words is no secret but something that is written in many places.
+CONTEXTS = 3
+#: Names under which secrets are given, values that stand for one, parts of paths that hold examples, and the forms of some issuers' keys.
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "secret_key", "auth", "credential", "credentials", "bearer", "key")
-DICTIONARY = ("example", "sample", "test", "demo", "dummy", "fake", "your", "here", "insert", "change", "replace", "placeholder", "none", "null", "true", "false", "value", "name", "user", "admin", "default", "token", "secret", "password", "key", "http", "https", "www", "com", "org", "net", "html", "index", "page", "mail", "file", "path", "data", "the", "and", "for", "with", "this", "that")
+PLACEHOLDERS = r"(?i)^\W*(?:your[\w\-]*|change[\w\-]*|example[\w\-]*|placeholder|password|secret|token|none|null|true|false|x+|\*+|<.*>|\$\{.*\})\W*$"
 EXAMPLE_PATHS = r"(?i)test|example|sample|fixture|demo|doc|mock"
+ISSUED = r"^(?:A[KS]IA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{24,}|AIza[A-Za-z0-9_\-]{35})$"
+#: Values of forms that name things openly: identifiers with a version, times.
+OPEN = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[089abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.+Z\-]*)$"
 _BODY = r"[A-Za-z0-9+/_=\-]"
 #: A run of 16 or more key characters with a digit, looked at from its start only (so in linear time), or whatever is assigned to a secret's name within one word.
 LONG = rf"(?<!{_BODY})(?=[A-Za-z+/_=\-]*[0-9]){_BODY}{{16,}}"
@@ -28,11 +36,11 @@ _NAME = r"(?i)^\W*(?:[a-z]+[_\-])*(?:" + "|".join(NAMES) + r")\W*$"
 #: A word that ends in a name and its sign (``password:``, ``{"a":1,"token":``), and one that begins with a sign.
 _NAME_SIGN = r"(?i)(?<![a-z0-9])(?:" + "|".join(NAMES) + r")[\"'`\])]*(?:=>|:=|[=:])$"
 _SIGN_VALUE = r"^(?:=>|:=|[=:])"
-FEATURES = ("length", "digits", "uppers", "lowers", "signs", "switches", "distinct", "entropy", "hexadecimal", "dictionary", "named", "name_near", "quoted", "assigned", "example_path", "before_length", "after_length")
+FEATURES = ("length", "digits", "uppers", "lowers", "signs", "switches", "distinct", "entropy", "hexadecimal", "dictionary", "quoted", "example_path", "before_length", "after_length", "before_signs", "before_known", "after_known")
 
 
 def findings(docs: DataFrame, *, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Candidate rows: ``keep`` columns, ``finding`` (number in the text), ``value``, ``before2``, ``before``, ``word``, ``after``, ``path``.
+    """Candidate rows: ``keep`` columns, ``finding`` (a long: place of the word times 2**32, and place in it), ``value``, ``before2``, ``before``, ``word``, ``after``, ``path``.
 
     A candidate is a run of 16 or more key characters holding a digit, a word of six or
     more characters right after a name and a sign (``password = hunter2``, the sign being
@@ -63,81 +71,126 @@ def findings(docs: DataFrame, *, text: str = "text", path: str = "source", keep:
     # a word that assigns is not a value as a whole
     values = F.array_distinct(F.concat(F.when((F.size(given) > 0) & (quoted == ""), F.array().cast("array<string>")).otherwise(named), given, inside, beside))
     return at.select(*keep, "path", "word", "before2", "before", "after", "_i", F.posexplode(values).alias("_j", "value")).select(
-        *keep, (F.col("_i") * 1000 + F.col("_j")).alias("finding"), "value", "before2", "before", "word", "after", "path"
+        *keep, (F.shiftleft(F.col("_i").cast("long"), 32) + F.col("_j")).alias("finding"), "value", "before2", "before", "word", "after", "path"
     )
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """``found`` with the doubles of ``FEATURES``: length, character make-up and transitions, dictionary coverage, path and neighbouring words."""
+#: The features of its surroundings that a finding has in the middle of prose.
+IN_PROSE = {"quoted": 0.0, "before_length": 5.0, "after_length": 5.0, "before_signs": 0.0, "before_known": 1.0, "after_known": 1.0}
+
+
+def known_words(docs: DataFrame, *, text: str = "text", most: int = DICTIONARY_WORDS, least: int = DICTIONARY_LEAST) -> DataFrame:
+    """Rows ``known``: the words of three or more letters that occur most in the texts, each at least ``least`` times.
+
+    Words are counted over all texts as they stand, combined before the shuffle; only
+    distinct ones are stripped of marks. ``most`` bounds the table, so it may be broadcast.
+    """
+    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(text), r"[\x20\x09-\x0D]+")).alias("w")).groupBy("w").count()
+    plain = words.select(F.regexp_extract("w", r"^[^\p{L}\p{N}]*(\p{L}{3,})[^\p{L}\p{N}]*$", 1).alias("known"), "count").where("known <> ''")
+    return plain.groupBy("known").agg(F.sum("count").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "known").limit(most).select("known")
+
+
+def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` with the doubles of ``FEATURES``: length, character make-up and transitions, dictionary coverage, path and neighbouring words.
+
+    ``known`` is the dictionary (:func:`known_words`), bounded by parameter. None of the
+    evidence that labels findings (:func:`sure_labels`) is a feature.
+    """
     v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1)).cast("double")
-    share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
+    share = lambda pattern, c=v: F.regexp_count(c, F.lit(pattern)) / F.greatest(F.length(c), F.lit(1))
     chars = F.split(v, "")
-    entropy = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
-    runs = F.regexp_extract_all(F.lower(v), F.lit("([a-z]{3,})"), F.lit(1))
-    covered = F.aggregate(F.filter(runs, lambda r: r.isin(*DICTIONARY)), F.lit(0), lambda a, r: a + F.length(r)) / n
-    near = F.col("before").rlike(_NAME) | F.col("before2").rlike(_NAME)
+    times = lambda c: n - F.length(F.replace(v, c, F.lit("")))
+    entropy = F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda a, c: a - times(c) / n * F.log2(times(c) / n))
+    bare = lambda c: F.regexp_extract(F.lower(c), r"(\p{L}{3,})", 1)
+    runs = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"(\p{L}{3,})"), F.lit(1))).alias("known"))
+    covered = runs.join(F.broadcast(known), "known").groupBy("value").agg(F.sum(F.length("known")).alias("_covered"))
+    out = found.join(covered, "value", "left")
+    for side in ("before", "after"):
+        words = F.broadcast(known.select(F.col("known").alias(f"_{side}")))
+        out = out.join(words, bare(F.col(side)) == F.col(f"_{side}"), "left")
     columns = {
         "length": F.length(v).cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "signs": share("[^A-Za-z0-9]"),
         "switches": share("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"), "distinct": F.size(F.array_distinct(chars)) / n, "entropy": entropy,
-        "hexadecimal": v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), "dictionary": covered, "named": F.col("word").rlike("(?i)" + "|".join(NAMES)).cast("double"), "name_near": near.cast("double"),
-        "quoted": F.col("word").rlike("[\"'`]").cast("double"), "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("[=:]")).cast("double"),
+        "hexadecimal": v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), "dictionary": F.coalesce("_covered", F.lit(0)) / n, "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "example_path": F.coalesce(F.col("path").rlike(EXAMPLE_PATHS), F.lit(False)).cast("double"), "before_length": F.length("before").cast("double"), "after_length": F.length("after").cast("double"),
+        "before_signs": share("[^\\p{L}\\p{N}]", F.col("before")), "before_known": F.col("_before").isNotNull().cast("double"), "after_known": F.col("_after").isNotNull().cast("double"),
     }
-    return found.withColumns(columns)
-
-
-def _strong() -> Column:
-    """An unbroken value under a secret's name, by features."""
-    return (F.col("name_near") + F.col("named") > 0) & (F.col("dictionary") < 0.3) & (F.col("digits") > 0) & (F.col("length") >= 16)
+    return out.withColumns(columns).drop("_covered", "_before", "_after")
 
 
 def sure_labels(found: DataFrame) -> DataFrame:
-    """``found`` rows of which the kind is beyond doubt, with ``label``, as training findings.
+    """``found`` rows with ``label`` 1 or 0 where there is evidence, null elsewhere.
 
-    1: an unbroken value under a secret's name; 0: digits only without such a name, or a
-    placeholder made of dictionary words. Other rows are left out. Where reviewed findings
-    exist, use those instead: any rows with the columns of :func:`findings` and ``label``.
+    0: the value passes the check digit of card numbers, has an open form, stands for a
+    secret to be filled in, or is found after ``CONTEXTS`` or more different words. Else 1:
+    it has the form of an issuer's keys, or is given under a secret's name. Where reviewed
+    findings exist, use those instead: rows with the columns of :func:`findings` and ``label``.
     """
-    f, strong = with_features(found), _strong()
-    weak = ((F.col("name_near") + F.col("named") == 0) & (F.col("digits") > 0.8)) | (F.col("dictionary") >= 0.5)
-    return f.withColumn("label", F.when(strong, 1.0).when(weak, 0.0)).where("label is not null")
+    contexts = found.groupBy("value").agg(F.count_distinct("before2", "before", "after").alias("_contexts"))
+    inside = F.concat(F.lit("(?i)(?:token|secret|password|passwd|pwd|api_?key)[\"']?[=:][\"']?\\Q"), F.replace("value", F.lit("\\E"), F.lit("")), F.lit("\\E"))
+    own_sign = F.col("before").isin("=", ":", "=>", ":=") & F.col("before2").rlike(_NAME)
+    given = own_sign | F.col("before").rlike(_NAME_SIGN) | (F.col("word").rlike(_SIGN_VALUE) & F.col("before").rlike(_NAME)) | F.rlike("word", inside)
+    luhn = F.col("value").rlike("^[0-9]{12,19}$") & F.call_function("luhn_check", F.col("value"))
+    shown = luhn | F.col("value").rlike(OPEN) | F.col("value").rlike(PLACEHOLDERS) | (F.col("_contexts") >= CONTEXTS)
+    return found.join(contexts, "value").withColumn("label", F.when(shown, 0.0).when(given | F.col("value").rlike(ISSUED), 1.0)).drop("_contexts")
+
+
+def held_out_value() -> Column:
+    """A fifth of the values, by hash: never learned from, so that the forest can be measured on them."""
+    return F.pmod(F.xxhash64(F.lit(11), "value"), F.lit(5)) == 0
 
 
 def fit(labelled: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 3, max_findings: int = MAX_FINDINGS) -> Model | None:
-    """Random forest over ``FEATURES`` from findings with ``label`` 0 or 1; None unless both occur.
+    """Random forest over ``FEATURES`` from findings with ``label`` 0 or 1, but for the held-out fifth; None unless each has ``LEAST_FINDINGS``.
 
-    At most about ``max_findings`` are used, chosen by a hash of the value; Spark fits the
-    forest over its partitions.
+    Of each label at most about ``max_findings`` / 2 are used, chosen by a hash of the
+    value (all where there are fewer). Each is learned from as it stands and as if it
+    stood in prose, since evidence such as a name comes with surroundings of its own, by
+    which alone the forest must not go. Spark fits the forest over its partitions.
     """
-    found = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not {0.0, 1.0} <= set(found):
+    usable = labelled.where(F.col("label").isNotNull() & ~held_out_value())
+    found = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    if min(found.get(0.0, 0), found.get(1.0, 0)) < LEAST_FINDINGS:
         return None
-    share = min(1.0, max_findings / sum(found.values()))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "value"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.select("label", *FEATURES))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(rows.select("label", "features"))
+    share = F.when(F.col("label") == 1.0, min(1.0, max_findings / 2 / found[1.0])).otherwise(min(1.0, max_findings / 2 / found[0.0]))
+    sample = usable.where(F.pmod(F.xxhash64(F.lit(seed), "value"), F.lit(1_000_000)) < share * 1_000_000)
+    bare = sample.select("label", *[F.lit(IN_PROSE[f]).alias(f) if f in IN_PROSE else F.col(f) for f in FEATURES])
+    rows = staged(sample.select("label", *FEATURES).union(bare), "labelled")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(rows)
 
 
 def confirm(found: DataFrame, model: Model | None, *, threshold: float = 0.5) -> DataFrame:
-    """``found`` with ``probability`` and ``confirmed``; without a model only what :func:`sure_labels` calls 1."""
+    """``found`` (with features, and ``label`` where there is evidence) with ``probability`` and ``confirmed``.
+
+    Without a model only what the evidence calls a secret is confirmed.
+    """
     if model is None:
-        sure = with_features(found).withColumn("confirmed", _strong())
-        return sure.select(*found.columns, F.col("confirmed").cast("double").alias("probability"), "confirmed")
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found))
-    scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select(*found.columns, "probability").withColumn("confirmed", F.col("probability") >= threshold)
+        sure = F.coalesce(F.col("label"), F.lit(0.0))
+        return found.withColumn("probability", sure).withColumn("confirmed", sure == 1.0)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
+    scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
+    return scored.withColumn("confirmed", F.col("probability") >= threshold)
+
+
+def judged(docs: DataFrame, *, text: str, path: str, keep: tuple[str, ...], every: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """Findings of ``docs`` with features, label, probability and verdict; the dictionary comes from all texts of ``every``."""
+    found = staged(findings(docs, text=text, path=path, keep=keep), "findings")
+    known = staged(known_words(every, text=text), "words")
+    featured = staged(sure_labels(with_features(found, known)), "features")
+    model = fit(featured if labelled is None else with_features(labelled, known))
+    return confirm(featured, model, threshold=threshold)
 
 
 def scan(docs: DataFrame, *, text: str = "text", path: str = "source", key: str = "doc_id", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """One row a candidate: ``key, finding, value, path, probability, confirmed``.
 
     ``labelled`` are reviewed findings (columns of :func:`findings` and ``label``); without
-    them the forest learns from those beyond doubt (:func:`sure_labels`). Repeated rows
-    give repeated findings; an empty table gives none.
+    them the forest learns from findings with evidence (:func:`sure_labels`) and judges all
+    by their features. Repeated rows give repeated findings; an empty table gives none.
     """
-    found = staged(findings(docs, text=text, path=path, keep=(key,)), "findings")
-    model = fit(sure_labels(found) if labelled is None else with_features(labelled))
-    return confirm(found, model, threshold=threshold).select(key, "finding", "value", "path", "probability", "confirmed")
+    found = judged(docs, text=text, path=path, keep=(key,), every=docs, labelled=labelled, threshold=threshold)
+    return found.select(key, "finding", "value", "path", "probability", "confirmed")
 
 
 def redact(docs: DataFrame, *, text: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -147,13 +200,12 @@ def redact(docs: DataFrame, *, text: str = "text", path: str = "source", labelle
     with their own secrets by that number; all others pass through unshuffled. Columns of
     any name stay as they are; the longest secrets are replaced first.
     """
-    row = "_row_of_secret_scan"
+    row, secrets = unused(docs, "_row", "_secrets")
     held = F.coalesce(F.col(text).rlike(LOOSE), F.lit(False))
     some = staged(docs.where(held).withColumn(row, F.monotonically_increasing_id()), "suspects")
-    found = staged(findings(some, text=text, path=path, keep=(row,)), "findings")
-    model = fit(sure_labels(found) if labelled is None else with_features(labelled))
-    sure = confirm(found, model, threshold=threshold).where("confirmed and value <> ''")
-    lists = sure.groupBy(row).agg(F.collect_set(F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))).alias("_secrets"))
-    clean = F.aggregate(F.sort_array("_secrets"), F.col(text), lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
-    changed = some.join(lists, row, "left").withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    found = judged(some, text=text, path=path, keep=(row,), every=docs, labelled=labelled, threshold=threshold)
+    sure = found.where("confirmed and value <> ''")
+    lists = sure.groupBy(row).agg(F.collect_set(F.struct((-F.length("value")).alias("n"), F.col("value").alias("v"))).alias(secrets))
+    clean = F.aggregate(F.sort_array(secrets), F.col(text), lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
+    changed = some.join(lists, row, "left").withColumn(text, F.when(F.col(secrets).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
     return docs.where(~held).unionByName(changed)

@@ -99,22 +99,43 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in ("h", "sig")], names=["h", "sig"])
 
 
+def _centres(group: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of each group (sorted) the place of the code that is nearest to the bits that most of its codes have."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    out = starts.copy()
+    for i, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(group)])):
+        if hi - lo > 2:
+            ones = np.zeros(codes.shape[1] * 64, np.int64)
+            for at in range(lo, hi, 1 << 14):
+                ones += np.unpackbits(codes[at : min(at + (1 << 14), hi)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            most = np.packbits(2 * ones > hi - lo).view(np.uint64)
+            out[i] = lo + int(np.bitwise_count(codes[lo:hi] ^ most).sum(axis=1, dtype=np.int64).argmin())
+    return out
+
+
 def _pairs(star: bool):
-    """Pairs (a, b) of a band's sets within the radius that sizes and odd bits allow: with the first set, or with all of unlike root.
+    """Pairs (a, b, bits apart) of a band's sets within the radius that sizes and odd bits allow and that have unlike roots.
 
-    Without ``star``, sets of a band's most common root ask for nothing, since in each
-    pair of unlike roots at least one set has another.
+    With ``star`` ``a`` is the set in the middle of its band, else any. Without it, sets of
+    a band's most common root ask for nothing, since in each pair of unlike roots at least
+    one set has another.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (cols := _table(batches)) is None or not len(cols["h"]):
             return
         group = np.cumsum(np.r_[0, cols["h"][1:] != cols["h"][:-1]])
+        root, size = np.unique(np.stack([group, cols["root"]]), axis=1, return_inverse=True, return_counts=True)[1:]
+        root = root.ravel()
+        roots = np.bincount(group[np.unique(root, return_index=True)[1]], minlength=group[-1] + 1)
+        mixed = roots[group] > 1  # bands of one root have nothing to tell
+        if not mixed.any():
+            return
+        cols, group, root = {c: x[mixed] for c, x in cols.items()}, group[mixed], root[mixed]
         if star:
-            asks = np.r_[True, group[1:] != group[:-1]]
+            asks = np.zeros(len(group), bool)
+            asks[_centres(group, cols["fp"])] = True
         else:
-            root, size = np.unique(np.stack([group, cols["root"]]), axis=1, return_inverse=True, return_counts=True)[1:]
-            root = root.ravel()
             most = np.zeros(group[-1] + 1, np.int64)
             np.maximum.at(most, group, size[root])
             top = np.full(len(most), len(size))
@@ -126,15 +147,18 @@ def _pairs(star: bool):
         out, held = [], 0
 
         def batch() -> pa.RecordBatch:
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, d = np.unique(np.concatenate(out, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "d"])
 
         for i, j in index.near(np.flatnonzero(asks[index.order]), PRINT_RADIUS, 64):
             ok = (sig[i] != sig[j]) & (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             ok = 9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j]
-            a, b = sig[i[ok]], sig[j[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            i, j = i[ok], j[ok]
+            a, b = sig[i], sig[j]
+            if not star:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            out.append(np.stack([a, b, np.bitwise_count(index.codes[i] ^ index.codes[j]).sum(axis=1, dtype=np.int64)]))
             held += len(a)
             if held > 500_000:
                 yield batch()
@@ -166,9 +190,9 @@ def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, .
 
     Two texts are linked if they have 4/5 of the union of their shingle sets in common.
     Texts with equal sets are one node; null, empty and wordless texts are one node of
-    their own. Sets that share a band are first compared with its first set, one
-    comparison a set, and then, unless linked already, with each other, so a group of many
-    near copies makes few pairs. Every pair within the radius that shares a band is
+    their own. Each set is first compared with the nearest of the sets in the middle of its
+    bands, then, unless linked already, with the others of these, then with whatever else
+    shares a band and is not linked yet, so a group of many near copies makes few pairs. Every pair within the radius that shares a band is
     decided on its sets: links are never wrong, and one in a million at most is lost.
     Rows with a null key get the component of their text but name none.
     """
@@ -182,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, .
     def candidates(roots: DataFrame, star: bool) -> DataFrame:
         labelled = members.drop("_of").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         wide = rows.join(labelled, "sig").select("h", "sig", "n", "fp", "odd", "root")
-        return wide.repartition("h").mapInArrow(_pairs(star), "a long, b long").distinct()
+        return wide.repartition("h").mapInArrow(_pairs(star), "a long, b long, d long").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         # one text of each set in a pair; any other of equal set would do as well
@@ -199,12 +223,19 @@ def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, .
         release(spark)
         return edges
 
+    def told(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        """Distinct pairs, the smaller first, without those compared before."""
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return staged(both if before is None else both.join(before, ["a", "b"], "left_anti"), "pairs")
+
     none = members.select("sig", F.col("sig").alias("root")).where("false")
-    first = staged(candidates(none, True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    near = linked(first)
-    labels = connected_components(near).withColumnRenamed("node", "sig")
-    rest = staged(candidates(labels, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    labels = connected_components(near.union(linked(rest))).withColumnRenamed("node", "sig")
+    nearest = candidates(none, True).groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a"))
+    compared, labels, near = None, none, None
+    for pairs in (lambda: nearest, lambda: candidates(labels, True), lambda: candidates(labels, False)):
+        new = told(pairs(), compared)
+        found = linked(new)
+        compared, near = (new, found) if near is None else (compared.union(new), near.union(found))
+        labels = connected_components(near).withColumnRenamed("node", "sig")
     classes = staged(one.select("sig", "node").join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "classes")
     least = classes.groupBy("root").agg(F.min("node").alias("component_id"))
     return seen.join(classes.join(least, "root").select("sig", "component_id"), "sig").select(F.col("_key").alias(key), "component_id", *carry)

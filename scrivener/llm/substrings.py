@@ -13,7 +13,9 @@ id, or same document and earlier start). The work is dealt out by content:
    offset share most of their bytes; where no other run has those, the windows are done.
    Over the rest, group by group, a Burrows-Wheeler transform is searched breadth-first by
    backward extension; the search gives common prefixes by increasing length and stops at
-   ``length``, where the suffixes not yet told apart are the equal windows.
+   ``length``, where the suffixes not yet told apart are the equal windows. An anchor whose
+   differing runs have more than ``GROUP_BYTES`` is never gathered: its windows are dealt
+   out one by one, by two 64-bit hashes of their bytes.
 4. Each document gets its repeated windows and drops the bytes they cover.
 """
 
@@ -29,18 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .common import release, staged
 
 LENGTH, GRAM = 100, 24
 #: Bytes of runs in one transform, and anchors that a task holds before it combines and sends them.
 BLOCK_BYTES, HELD_RUNS = 1 << 17, 1_000_000
+#: An anchor with more bytes of differing runs than this is dealt out window by window.
+GROUP_BYTES = 1 << 19
 #: Windows are sifted by anchor offset in ranges of this many.
 OFFSETS = 20
 #: Documents in the sample that finds frequent anchors, how many must have one, and how many anchors are kept at most.
+#: These save a round for the commonest anchors; GROUP_BYTES holds for every anchor.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 4000, 20, 5000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE2 = np.random.default_rng(20240311).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x) for x in (_rng.integers(1, 2**62, 8, dtype=np.uint64) * 8 + 5).tolist()]
 _BASE = int(_STEP[7])
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -87,14 +94,26 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(key[:n], key[width - step : width - step + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from each start to each end, wherever they lie, with a salt; never 0."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power("up", len(raw))[: len(raw)])])
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of the bytes from each start to each end, wherever they lie, with a salt; never 0. Other ``values`` of bytes give another hash."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[raw] * _power("up", len(raw))[: len(raw)])])
     h = (sums[end] - sums[start]) * _power("down", len(raw))[start]
     h = _mix(h + _mix(salt.astype(np.uint64) * np.uint64(512) + (end - start).astype(np.uint64)))
     return np.where(h == 0, np.uint64(1), h)
 
 
+def window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that starts at ``at``, from different values of its bytes."""
+    salt = np.full(len(at), 511)
+    return span_hashes(raw, at, at + length, salt), span_hashes(raw, at, at + length, salt, _BYTE2)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after the other."""
+    count = hi - lo + 1
+    return np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+
+
 def runs_of(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(first window, last window, anchor position, anchor hash, content hash) of each run of windows."""
     h = gram_hashes(raw)
@@ -137,8 +156,8 @@ def emit_runs(length: int, frequent: np.ndarray):
     """Function of batches (doc, text) giving ``RUNS`` rows.
 
     A run has its anchor's hash as ``k``; a run with a frequent anchor is given window by
-    window with the window's hash as ``k``, so that no key gathers unlike texts by the
-    thousand. ``span`` packs first window, extent and anchor offset. Of equal contents only
+    window with the window's two hashes as ``k`` and ``content``, so that no key gathers
+    unlike texts by the thousand. ``span`` packs first window, extent and anchor offset. Of equal contents only
     the first of the task goes on; the others are repeats already, given with ``content`` 0
     and ``span`` packing first and last window.
     """
@@ -165,10 +184,9 @@ def emit_runs(length: int, frequent: np.ndarray):
                 hot = np.isin(k, frequent) if len(frequent) else np.zeros(len(k), bool)
                 span = lo << 16 | (hi - lo) << 8 | (a - lo)
                 if hot.any():
-                    count = (hi - lo + 1)[hot]
-                    at = np.repeat(lo[hot] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                    w = span_hashes(raw, at, at + length, np.full(len(at), 511))
-                    k, c, span = np.r_[k[~hot], w], np.r_[c[~hot], w], np.r_[span[~hot], at << 16]
+                    at = _spread(lo[hot], hi[hot])
+                    w, w2 = window_hashes(raw, at, length)
+                    k, c, span = np.r_[k[~hot], w], np.r_[c[~hot], w2], np.r_[span[~hot], at << 16]
                 held.append((k, c, np.full(len(k), doc, np.int64), span))
                 n += len(k)
                 if n >= HELD_RUNS:
@@ -184,30 +202,68 @@ FOUND = "doc long, lo long, hi long, k long, a long"
 _FOUND_NAMES = ["doc", "lo", "hi", "k", "a"]
 
 
-def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``FOUND`` rows from the ``RUNS`` of whole keys: repeats (k null) and runs whose bytes are wanted (k set)."""
-    held = list(batches)
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    k, c, doc, span = (t.column(x).to_numpy() for x in _RUN_NAMES)
-    settled = c == 0
-    parts = [(doc[settled], span[settled] >> 32, span[settled] & 0xFFFFFFFF)]
-    k, c, doc, span = (x[~settled] for x in (k, c, doc, span))
-    order = np.lexsort((span, doc, c, k))
-    k, c, doc, span = _without_copies(k[order], c[order], doc[order], span[order])
-    lo, hi = span >> 16, (span >> 16) + (span >> 8 & 255)
-    new_k = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    first = new_k | np.r_[True, c[1:] != c[:-1]] if len(k) else new_k
-    parts.append((doc[~first], lo[~first], hi[~first]))
-    contents = np.bincount(np.cumsum(new_k) - 1, first) if len(k) else np.zeros(0)
-    wanted = first & (contents[np.cumsum(new_k) - 1] > 1) if len(k) else first
-    d, l, h = (np.concatenate(x) for x in zip(*parts))
-    d, l, h = _joined(d, l, h)
-    columns = [pa.array(np.r_[d, doc[wanted]]), pa.array(np.r_[l, lo[wanted]]), pa.array(np.r_[h, hi[wanted]])]
-    for extra in (k, lo + (span & 255)):
-        columns.append(pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(extra[wanted])]))
-    yield pa.RecordBatch.from_arrays(columns, names=_FOUND_NAMES)
+#: ``a`` of runs whose windows are to be dealt out one by one.
+DEALT = -1
+
+
+def settle_runs(length: int, group_bytes: int):
+    """Function of ``RUNS`` batches of whole keys, sorted by all columns, giving ``FOUND`` rows.
+
+    These are repeats (k null) and runs whose bytes are wanted (k set). Rows stream through:
+    what is held is a batch and the first runs of one key, up to ``group_bytes`` of text.
+    A key with more has all its runs given with ``a`` = ``DEALT``.
+    """
+
+    def batch(parts: list[tuple[np.ndarray, ...]], wanted: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        d, lo, hi = _joined(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64),) * 3
+        more = [np.concatenate(x) for x in zip(*wanted)] if wanted else [np.zeros(0, np.int64)] * 5
+        columns = [pa.array(np.r_[x, y]) for x, y in zip((d, lo, hi), more)]
+        columns += [pa.concat_arrays([pa.nulls(len(d), pa.int64()), pa.array(x)]) for x in more[3:]]
+        return pa.RecordBatch.from_arrays(columns, names=_FOUND_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        open_: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        dealt = np.zeros(0, np.int64)  # the open key, if its runs are dealt out
+
+        def closed(rows: list[np.ndarray], final: bool) -> list[tuple[np.ndarray, ...]]:
+            """Wanted runs of the keys that end in ``rows`` (first runs of each content); the last key stays open."""
+            nonlocal open_, dealt
+            k, _, doc, span = rows
+            if not len(k):
+                return []
+            lo, hi = span >> 16, (span >> 16) + (span >> 8 & 255)
+            own = np.cumsum(np.r_[0, k[1:] != k[:-1]])
+            contents, size = np.bincount(own), np.bincount(own, hi - lo + length)
+            over = (size > group_bytes) | np.isin(k[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])], dealt)
+            ends = np.ones(len(contents), bool)
+            ends[-1] = final or over[-1]
+            dealt = k[-1:] if over[-1] else np.zeros(0, np.int64)
+            keep = ~ends[own]
+            open_ = [x[keep] for x in rows]
+            use = (ends & (over | (contents > 1)))[own]
+            a = np.where(over[own], DEALT, lo + (span & 255))
+            return [(doc[use], lo[use], hi[use], k[use], a[use])]
+
+        for each in batches:
+            k, c, doc, span = (each.column(x).to_numpy() for x in _RUN_NAMES)
+            settled = c == 0
+            parts = [(doc[settled], span[settled] >> 32, span[settled] & 0xFFFFFFFF)]
+            rows = [np.r_[x, y[~settled]] for x, y in zip(last, (k, c, doc, span))]
+            if not len(rows[0]):
+                yield batch(parts, [])
+                continue
+            same_run = np.r_[not len(last[0]), (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+            copy = np.r_[bool(len(last[0])), np.logical_and.reduce([x[1:] == x[:-1] for x in rows])]
+            again = ~same_run & ~copy
+            lo = rows[3] >> 16
+            parts.append((rows[2][again], lo[again], (lo + (rows[3] >> 8 & 255))[again]))
+            first = same_run & ~copy
+            last = [x[-1:] for x in rows]
+            yield batch(parts, closed([np.r_[x, y[first]] for x, y in zip(open_, rows)], False))
+        yield batch([], closed(open_, True))
+
+    return run
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -317,9 +373,20 @@ def sift(group: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator
             yield doc, open_lo, open_hi, raw[open_lo - lo : open_hi - lo + length]
 
 
+_CUT_NAMES = ["k", "doc", "lo", "hi", "a", "raw"]
+_CUT = "k long, doc long, lo long, hi long, a long, raw binary"
+
+
 def _repeats(length: int, block_bytes: int):
+    """Function of cut rows, sorted by k, a, doc and lo, giving the repeated windows (doc, lo, hi).
+
+    Rows without bytes are single windows with their hashes as ``k`` and ``a``: of equals all
+    but the first are repeats. Runs of one ``k`` are sifted and go to a transform together.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, key, group = [], 0, None, []
+        before: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
 
         def close() -> None:
             nonlocal size
@@ -329,7 +396,16 @@ def _repeats(length: int, block_bytes: int):
             group.clear()
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "doc", "lo", "hi", "a", "raw"))):
+            single = batch.column("raw").is_null().to_numpy(zero_copy_only=False)
+            if single.any():
+                k, a, doc, at = rows = [np.r_[x, batch.column(c).to_numpy()[single]] for x, c in zip(before, ("k", "a", "doc", "lo"))]
+                new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])]
+                first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+                again = (doc != doc[first]) | (at != at[first])
+                before = [x[first[-1:]] for x in rows]
+                yield _batch(["doc", "lo", "hi"], list(_joined(doc[again], at[again], at[again])))
+                batch = batch.filter(pa.array(~single))
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in _CUT_NAMES)):
                 if k != key:
                     close()
                     if size >= block_bytes:
@@ -350,19 +426,26 @@ def _repeats(length: int, block_bytes: int):
 
 
 def _cut(length: int):
-    """Bytes of the wanted runs of each document."""
+    """Bytes of the wanted runs of each document; runs to be dealt out give their windows' hashes instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "doc", "lo", "hi", "a", "raw"]
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted"))):
                 raw = text.encode("utf-8", "replace")
+                dealt = [(w["lo"], w["hi"]) for w in wanted if w["a"] == DEALT]
+                if dealt:
+                    at = _spread(*np.array(dealt, np.int64).T)
+                    k, k2 = window_hashes(np.frombuffer(raw, np.uint8), at, length)
+                    nulls = pa.nulls(len(at), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(_signed(x) for x in (k, np.full(len(at), doc, np.int64), at, at, k2)), nulls], names=_CUT_NAMES)
                 for w in wanted:
+                    if w["a"] == DEALT:
+                        continue
                     for column, x in zip(rows, (w["k"], doc, w["lo"], w["hi"], w["a"], raw[w["lo"] : w["hi"] + length])):
                         column.append(x)
             kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names=_CUT_NAMES)
 
     return run
 
@@ -377,7 +460,7 @@ def _frequent(docs: DataFrame, length: int) -> np.ndarray:
     return np.array([r["k"] for r in rows], np.int64).view(np.uint64)
 
 
-def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Rows ``doc, lo, hi``: windows of ``length`` bytes, by start, that also start earlier. Ranges may touch.
 
     ``length`` is at least ``GRAM``. Keys are integers; rows with a null key take no part,
@@ -389,24 +472,30 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     frequent = _frequent(own, length)
     runs = own.mapInArrow(emit_runs(length, frequent), RUNS)
-    found = staged(runs.repartition("k").mapInArrow(settle_runs, FOUND), "repeats")
+    found = staged(runs.repartition("k").sortWithinPartitions(*_RUN_NAMES).mapInArrow(settle_runs(length, group_bytes), FOUND), "repeats")
     release(docs.sparkSession)
     wanted = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("k", "lo", "hi", "a")).alias("wanted"))
-    cut = own.where(F.octet_length("text") >= length).join(wanted, "doc").mapInArrow(_cut(length), "k long, doc long, lo long, hi long, a long, raw binary")
-    told = staged(cut.repartition("k").sortWithinPartitions("k").mapInArrow(_repeats(length, block_bytes), "doc long, lo long, hi long"), "repeats")
+    cut = own.where(F.octet_length("text") >= length).join(wanted, "doc").mapInArrow(_cut(length), _CUT)
+    told = staged(cut.repartition("k").sortWithinPartitions("k", "a", "doc", "lo").mapInArrow(_repeats(length, block_bytes), "doc long, lo long, hi long"), "repeats")
     release(docs.sparkSession)
     return found.where("k is null").select("doc", "lo", "hi").unionByName(told)
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, with_kept: bool = False, **how) -> DataFrame:
     """Per row of ``docs``: key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the bytes left).
 
     Null and empty texts have no bytes; texts shorter than ``length`` lose none. Rows that
-    repeat in key and text have equal results, each as if it were there once.
+    repeat in key and text have equal results, each as if it were there once. Keys that
+    are no integers are numbered in their order first. Rows with a null key keep all.
     """
-    ranges = repeats(docs, text=text, key=key, length=length)
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if own.schema["_key"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        own = own.withColumn("_doc", F.col("_key").cast("long"))
+    else:
+        own = own.join(numbered(own.select("_key").where("_key is not null").distinct(), [F.col("_key")], "_doc").withColumn("_doc", F.col("_doc").cast("long")), "_key", "left")
+    ranges = repeats(own, text="_text", key="_doc", length=length, **how)
     lists = ranges.groupBy("doc").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("_windows"))
-    joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(lists, F.col("_key").cast("long") == F.col("doc"), "left")
+    joined = own.join(lists, F.col("_doc") == F.col("doc"), "left")
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, windows in batches:

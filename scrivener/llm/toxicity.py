@@ -61,22 +61,33 @@ class PULinear:
         return score
 
 
-def _matrix(texts: Iterable[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _features(texts: Iterable[str | None], known: dict[bytes, list[bytes]]) -> list[set[bytes]]:
+    """The features of each text; ``known`` keeps those of the words met so far."""
+    out = []
+    for t in texts:
+        here = words(t)
+        for w in here - known.keys():
+            known[w] = word_features(w)
+        out.append({f for w in here for f in known[w]})
+    return out
+
+
+def _matrix(texts: list[set[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     rows, cols = [], []
     for i, t in enumerate(texts):
-        hit = {index[f] for w in words(t) for f in word_features(w) if f in index}
+        hit = [index[f] for f in t & index.keys()]
         cols.append(np.fromiter(sorted(hit), np.int64, len(hit)))
         rows.append(np.full(len(hit), i))
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cols or [np.zeros(0, int)])
 
 
-def _telling(positive: list[str | None], unlabelled: list[str | None]) -> list[bytes]:
+def _telling(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> list[bytes]:
     """Features whose share of positives stands out from that of unlabelled texts, strongest first."""
     n, m = len(positive), len(unlabelled)
     p, u = Counter(), Counter()
     for texts, count in ((positive, p), (unlabelled, u)):
         for t in texts:
-            count.update({f for w in words(t) for f in word_features(w)})
+            count.update(t)
 
     def z(f: bytes) -> float:
         both = (p[f] + u[f] + 1) / (n + m + 2)
@@ -86,6 +97,36 @@ def _telling(positive: list[str | None], unlabelled: list[str | None]) -> list[b
     return sorted(strong, key=lambda f: (-abs(strong[f]), f))[:MAX_FEATURES]
 
 
+Rows = tuple[np.ndarray, np.ndarray, int]  # text and feature of each entry, number of texts
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_gradient(w: np.ndarray, positive: Rows, unlabelled: Rows, prior: float, gamma: float = 1.0) -> tuple[float, float, np.ndarray]:
+    """(pi R_p+, R_u- - pi R_p-, direction of descent) of weights whose last is the bias, with logistic loss.
+
+    The direction is the gradient of the sum of both parts while the second, the estimated
+    risk of the negatives, is not below zero; else that of the second part turned round.
+    """
+
+    def scores(rows: Rows) -> np.ndarray:
+        return np.bincount(rows[0], w[rows[1]], rows[2]) + w[-1]
+
+    def pull(rows: Rows, per_text: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(rows[1], per_text[rows[0]], len(w) - 1), per_text.sum()]
+
+    fp, fu = scores(positive), scores(unlabelled)
+    n, m = positive[2], unlabelled[2]
+    found = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    of_negative = pull(unlabelled, _sigmoid(fu) / m) - pull(positive, prior * _sigmoid(fp) / n)
+    if negative < 0:
+        return found, negative, -gamma * of_negative
+    return found, negative, of_negative - pull(positive, prior * _sigmoid(-fp) / n)
+
+
 def fit(positive: list[str | None], unlabelled: list[str | None], prior: float, *, steps: int = 120, rate: float = 0.05, decay: float = 2e-3, gamma: float = 1.0) -> PULinear:
     """Minimise the non-negative PU risk ``pi R_p+ + max(0, R_u- - pi R_p-)`` with logistic loss.
 
@@ -98,45 +139,42 @@ def fit(positive: list[str | None], unlabelled: list[str | None], prior: float,
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return PULinear({}, bias)
+    known: dict[bytes, list[bytes]] = {}
+    positive, unlabelled = _features(positive, known), _features(unlabelled, known)
     kept = _telling(positive, unlabelled)
     index = {f: i for i, f in enumerate(kept)}
-    (pr, pc), (ur, uc) = _matrix(positive, index), _matrix(unlabelled, index)
-    n, m, d = len(positive), len(unlabelled), len(kept)
-    w, m1, m2 = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    w[d] = bias
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
-
-    def pull(rows, cols, per_text):
-        g = np.empty(d + 1)
-        g[:d] = np.bincount(cols, per_text[rows], d)
-        g[d] = per_text.sum()
-        return g
-
+    p, u = ((*_matrix(texts, index), len(texts)) for texts in (positive, unlabelled))
+    w = np.r_[np.zeros(len(kept)), bias]
+    m1, m2 = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
-        fp = np.bincount(pr, w[pc], n) + w[d]
-        fu = np.bincount(ur, w[uc], m) + w[d]
-        negative = loss(-fu).mean() - prior * loss(-fp).mean()
-        if negative >= 0:
-            g = pull(pr, pc, -prior * sigmoid(-fp) / n - prior * sigmoid(fp) / n) + pull(ur, uc, sigmoid(fu) / m)
-        else:
-            g = -gamma * (pull(ur, uc, sigmoid(fu) / m) - pull(pr, pc, prior * sigmoid(fp) / n))
-        g[:d] += decay * w[:d]
+        g = risk_gradient(w, p, u, prior, gamma)[2]
+        g[:-1] += decay * w[:-1]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-6)
-    return PULinear({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.01}, float(w[d]))
+    return PULinear({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]))
 
 
 def _sampled(df: DataFrame, key: str, share: float) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(29), F.col(key)), F.lit(1_000_000)) < int(round(share * 1_000_000)))
 
 
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text as one string: what the model reads of it, however long it is."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([b" ".join(sorted(words(t))).decode("utf-8", "replace") for t in batch])
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PULinear:
     """Fit on the texts of ``docs`` that ``labels`` confirms (1), with all other texts as unlabelled.
 
     The class prior is the share of 1 among all non-null labels. The driver gets about
     ``max_positive`` confirmed and ``max_unlabelled`` other texts, both chosen by a hash
-    of the key; that bound is the parameter, whatever the table's size. Empty tables give
+    of the key, as their distinct words; that bound is the parameter, whatever the table's
+    size. A document that several rows label 1 counts once. Empty tables give
     a constant model.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
@@ -145,8 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     total = docs.count()
     toxic = _sampled(known.where("_y = 1"), "_k", min(1.0, max_positive / max(positives, 1))).select("_k").distinct()
     # bounded by max_positive, so safe to broadcast
-    sure = docs.join(F.broadcast(toxic), docs[key] == toxic["_k"]).select(F.col(text).alias("t")).toPandas()["t"]
-    rest = _sampled(docs, key, min(1.0, max_unlabelled / max(total, 1))).select(F.col(text).alias("t")).toPandas()["t"]
+    sure = docs.join(F.broadcast(toxic), docs[key] == toxic["_k"]).select(distinct_words(F.col(text)).alias("t")).toPandas()["t"]
+    rest = _sampled(docs, key, min(1.0, max_unlabelled / max(total, 1))).select(distinct_words(F.col(text)).alias("t")).toPandas()["t"]
     return fit(sure.tolist(), rest.tolist(), positives / n if n else 0.1)
 
 

@@ -56,7 +56,8 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
 def write_archives(chunks: DataFrame, folder: str, *, date: str = DATE) -> DataFrame:
     """One ``.warc.gz`` a task in ``folder``, a gzip member a record; rows ``path, records``.
 
-    Chunks stream through: no record is whole in memory. A file's name carries the task
+    Chunks stream through, and with them a running digest that must end in the header's:
+    no record is whole in memory. A file's name carries the task
     attempt, so that a repeated task never touches another's file, and only the files of
     the attempts that Spark kept are in the returned manifest, which is written before it
     is returned.
@@ -65,6 +66,7 @@ def write_archives(chunks: DataFrame, folder: str, *, date: str = DATE) -> DataF
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
         store, root = _filesystem(folder)
+        running, due = hashlib.sha1(), None
         path, out, packer, n = f"{root}/part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.warc.gz", None, None, 0
 
         def head(row: dict) -> bytes:
@@ -79,6 +81,11 @@ def write_archives(chunks: DataFrame, folder: str, *, date: str = DATE) -> DataF
                 lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:record:{row['refers_to']}>"]
             return "\r\n".join(lines).encode() + b"\r\n\r\n" + web
 
+        def ended() -> None:
+            if due is not None and running.hexdigest() != due:
+                raise ValueError(f"{path}: the chunks of record {n} do not add up to its payload")
+            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
@@ -87,12 +94,14 @@ def write_archives(chunks: DataFrame, folder: str, *, date: str = DATE) -> DataF
                     out = store.open_output_stream(path, compression=None)
                 if row["chunk"] == 0:
                     if packer:
-                        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+                        ended()
+                    running, due = hashlib.sha1(), row["digest"] if row["refers_to"] is None else None
                     packer, n = zlib.compressobj(4, wbits=31), n + 1
                     out.write(packer.compress(head(row)))
+                running.update(row["data"] or b"")
                 out.write(packer.compress(row["data"] or b""))
         if out is not None:
-            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            ended()
             out.close()
             scheme = folder.split("://")[0] + "://" if "://" in folder else ""
             name = folder.rstrip("/") + path[len(root) :] if scheme else path
@@ -122,6 +131,10 @@ def _inflated(stream, size: int = 1 << 16) -> Iterator[bytes]:
     yield unpack.flush()
 
 
+#: The part of an HTTP message before its payload is looked for in so many bytes.
+HEAD_BYTES = 1 << 20
+
+
 class _Reader:
     def __init__(self, parts: Iterator[bytes]):
         self.parts, self.held = parts, b""
@@ -140,6 +153,17 @@ class _Reader:
         head, _, self.held = self.held.partition(mark)
         return head
 
+    def head(self, n: int) -> bytes:
+        """The HTTP head at the start of a block of ``n`` bytes, with its blank line; nothing if there is none."""
+        most = min(n, HEAD_BYTES)
+        while b"\r\n\r\n" not in self.held[:most] and len(self.held) < most and self.more():
+            pass
+        at = self.held[:most].find(b"\r\n\r\n")
+        if at < 0 and len(self.held) < most:
+            raise EOFError("a record ends within its head")
+        head, self.held = self.held[: at + 4 if at >= 0 else 0], self.held[at + 4 if at >= 0 else 0 :]
+        return head
+
     def take(self, n: int) -> bytes:
         while len(self.held) < n and self.more():
             pass
@@ -148,7 +172,11 @@ class _Reader:
 
 
 def read_chunks(manifest: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The records of the archives in ``manifest.path`` as a chunk table (schema ``CHUNKS``).
+    """The response, resource and revisit records of the archives in ``manifest.path`` as a chunk table (schema ``CHUNKS``).
+
+    Records of other types are skipped. Names of header fields are read in any case;
+    ``record_id`` is what an ``urn:record:`` id ends in, or any other id as it is. Payload
+    length and digest are null where a header does not have them.
 
     A payload comes as rows of record and chunk number with at most ``chunk_bytes`` bytes
     each; ``bytes_so_far`` and ``digest_so_far`` (bare base32 SHA-1) run along, so the last
@@ -174,19 +202,27 @@ def read_chunks(manifest: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_dat
                 with store.open_input_stream(at, compression=None) as stream:
                     r, record = _Reader(_inflated(stream)), 0
                     while (head := r.until(b"\r\n\r\n")) is not None:
-                        field = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                        length = int(field["Content-Length"])
-                        web = r.until(b"\r\n\r\n")
-                        left, chunk, so_far, running = length - len(web) - 4, 0, 0, hashlib.sha1()
-                        ids = [x and x[len("<urn:record:") : -1] for x in (field["WARC-Record-ID"], field.get("WARC-Refers-To"))]
-                        digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
+                        pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n") if ":" in x)
+                        field = {name.strip().lower(): value.strip() for name, _, value in pairs}
+                        kind, left = field["warc-type"], int(field["content-length"])
+                        if kind not in ("response", "resource", "revisit"):
+                            while left > 0 and (skipped := r.take(min(left, chunk_bytes))):
+                                left -= len(skipped)
+                            r.take(4)
+                            continue
+                        if field.get("content-type", "").startswith("application/http"):
+                            left -= len(r.head(left))
+                        chunk, so_far, running = 0, 0, hashlib.sha1()
+                        ids = [x and x.strip("<>").removeprefix("urn:record:") for x in (field["warc-record-id"], field.get("warc-refers-to"))]
+                        digest = field.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                        size = int(field["x-payload-length"]) if "x-payload-length" in field else None
                         while left > 0 or chunk == 0:
                             data = r.take(min(left, chunk_bytes))
                             if len(data) < min(left, chunk_bytes):
                                 raise EOFError(f"{path}: record {record} ends early")
                             running.update(data)
                             left, so_far = left - len(data), so_far + len(data)
-                            rows.append((path, record, ids[0], field["WARC-Type"], ids[1], int(field["X-Payload-Length"]), digest, chunk, len(data), so_far, base64.b32encode(running.digest()).decode(), data if with_data else None))
+                            rows.append((path, record, ids[0], kind, ids[1], size, digest, chunk, len(data), so_far, base64.b32encode(running.digest()).decode(), data if with_data else None))
                             chunk, weight = chunk + 1, weight + 200 + len(data) * with_data
                             if weight > 1 << 22:
                                 yield flush()
@@ -204,8 +240,9 @@ def record_digests(chunks: DataFrame) -> DataFrame:
     """One row a record of a chunk table, with payload length and digest.
 
     Both come from the chunks for records with a payload, from the header for revisits.
+    Repeated record ids are told apart by archive and place.
     """
-    own = F.col("record_type") == "response"
+    own = F.col("record_type") != "revisit"
     return (
         chunks.groupBy("path", "record", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
         .agg(F.max("bytes_so_far").alias("_n"), F.max_by("digest_so_far", "chunk").alias("_d"))
