@@ -176,7 +176,8 @@ def linked_edges(codes: DataFrame, *, radius: int = RADIUS, split: int = SPLIT,
     The index's upper nodes are spread over the cluster: a code goes to one node for
     each of radius + 1 runs of its bits, where it meets all codes that agree there. Nodes
     with one code are dropped; nodes over ``split`` codes are split by a further level of
-    masks (to ``depth``), so a hot pattern is dealt out. Below, each partition searches
+    masks (to ``depth``), so a hot pattern is dealt out; after three levels at most 20 bits
+    are free, so no node has more than 2**20 codes. Below, each partition searches
     its nodes by :class:`GrayIndex` and returns at most one edge a code, never pairs.
     """
     masks = _split_masks(depth, radius + 1)

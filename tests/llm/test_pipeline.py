@@ -2,9 +2,13 @@
 
 import corpus_pipeline as pipeline
 import numpy as np
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from scrivener.llm import language
+from scrivener.llm.common import held_out
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -65,6 +69,46 @@ def test_near_copies_go_as_by_brute_force(spark):
     assert got == {i for i, r in enumerate(root) if i == r} and len(got) < len(texts) - 10
 
 
+def test_stages_of_crowded_tables_with_repeated_rows(spark):
+    plain = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 300 and 900").orderBy("doc_id").limit(12).collect()]
+    texts = [*plain, plain[0], None, "", "12345 !!", "w " * 200_000]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", None if i == 4 else "s", len(t or "")) for i, t in enumerate(texts)], DOC)
+    docs = docs.union(docs.where("doc_id < 3"))
+    wide = docs.withColumns({c: F.lit("own") for c in "_lid _hits _row _secrets _mark _place _key value path label n component_id".split()})
+    for name, stage in pipeline.STAGES:
+        narrow, out = stage(spark, docs, SF), stage(spark, wide, SF)
+        key = sorted(str(r["doc_id"]) for r in narrow.collect())
+        assert key == sorted(str(r["doc_id"]) for r in out.collect()) and key
+        if name != "source_mix":
+            assert out.columns == wide.columns and {r["_lid"] for r in out.select("_lid").collect()} == {"own"}
+
+
+def test_language_stage_and_mix_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language.identify(docs, docs.where(~held_out("doc_id"))).collect()
+    want = {r["doc_id"] for r in found if r["_lid"]["lang"] != "und" and r["_lid"]["margin"] >= pipeline.LANGUAGE_MARGIN}
+    stages = dict(pipeline.STAGES)
+    assert {r["doc_id"] for r in stages["language_id"](spark, docs, SF).collect()} == want
+    sizes = {}
+    for r in docs.collect():
+        sizes.setdefault(r["source"], []).append(len((r["text"] or "").split()))
+    whole = {s: sum(x) for s, x in sizes.items()}
+    weights = {s: 1 + i % 3 for i, s in enumerate(sorted(whole, key=lambda s: (s is None, s)))}
+    targets, open_ = {}, set(whole)
+    while True:
+        level = (sum(whole.values()) - sum(targets.values())) / sum(weights[s] for s in open_)
+        if not (over := {s for s in open_ if weights[s] * level >= 3 * whole[s]}):
+            break
+        targets |= {s: 3 * whole[s] for s in over}
+        open_ -= over
+    targets |= {s: weights[s] * level for s in open_}
+    taken = {}
+    for r in stages["source_mix"](spark, docs, SF).collect():
+        assert r["target"] == pytest.approx(targets[r["source"]]) and r["taken"] == r["size"] * r["copies"] <= 3 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - targets[s]) <= 0.01 * targets[s] + 5 for s in targets)
+
+
 def test_run_mixes_what_the_stages_kept(spark):
     out = pipeline.run(spark, SF)
     got = out.agg(F.count("*").alias("n"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.sum("taken").alias("taken")).first()
