@@ -43,8 +43,8 @@ def wer(truth: Column, reading: Column) -> Column:
 
 
 def accuracy_percent(error_rate: Column) -> Column:
-    """100 less the error rate, kept between 0 and 100."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - error_rate)))
+    """100 less the error rate, kept between 0 and 100; null for none."""
+    return F.when(error_rate.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - error_rate))))
 
 
 def char_accuracy(truth: Column, reading: Column) -> Column:

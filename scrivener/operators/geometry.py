@@ -26,5 +26,5 @@ def weighted_score(parts: Sequence[tuple[Column, float]]) -> Column:
 
 
 def fit_score(share: Column, scale: Column) -> Column:
-    """Share of lines that fit, less for a stretched template."""
-    return share * F.greatest(F.lit(0.0), 1 - F.abs(F.log(scale)))
+    """Share of lines that fit, less for a stretched template, to three places."""
+    return F.round(share * F.greatest(F.lit(0.0), 1 - 2 * F.abs(F.log(scale))), 3)

@@ -70,8 +70,8 @@ def _(t):
 
 @query("x24_best_template", """WITH s AS (SELECT c_custkey, n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'odd' WHEN 1 THEN 'even' ELSE 'current' END IN ('current', CASE WHEN c_custkey % 2 = 1 THEN 'odd' ELSE 'even' END) AS fits,
    1 - abs(c_acctbal::INTEGER % 25 - n_nationkey)::DOUBLE / 12 AS score FROM customer JOIN (SELECT n_nationkey AS own, n_regionkey AS region FROM nation) ON own = c_nationkey JOIN nation ON n_regionkey = region),
- e AS (SELECT *, bool_or(fits) OVER (PARTITION BY c_custkey) AS some FROM s)
- SELECT c_custkey, CASE WHEN max(score) > 0 THEN arg_max(n_nationkey, score * 1000000 - n_nationkey) END AS template, greatest(0.0, max(score)) AS score FROM e WHERE fits OR NOT some GROUP BY 1""")
+ e AS (SELECT *, bool_or(fits) OVER (PARTITION BY c_custkey) AS any_fits FROM s)
+ SELECT c_custkey, CASE WHEN max(score) > 0 THEN arg_max(n_nationkey, score * 1000000 - n_nationkey) END AS template, greatest(0.0, max(score)) AS score FROM e WHERE fits OR NOT any_fits GROUP BY 1""")
 def _(t):
     own = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
     parity = F.when(F.col("n_nationkey") % 3 == 0, "odd").when(F.col("n_nationkey") % 3 == 1, "even").otherwise("current")
@@ -144,3 +144,66 @@ def _(t):
     keep = top(t.part, ["p_type"], [F.desc("p_retailprice"), F.desc("p_partkey")], 2).select("p_partkey")
     old = t.part.where("p_type <> 'PROMO'").join(keep, "p_partkey", "left_anti").select("p_partkey", F.lit(True).alias("old"))
     return t.part.join(old, "p_partkey", "left").select("p_partkey", side, F.upper("p_name").alias("shown"), F.coalesce("old", F.lit(False)).alias("archived"))
+
+
+FITS = """tl AS (SELECT p_partkey AS page, (60 + k.k * 190 + (p_partkey * 7 + k.k * 13) % 40)::DOUBLE AS x FROM part, range(0, 5) k(k)),
+ ru AS (SELECT DISTINCT p_partkey AS page, (10 + 60 + k.k * 190 + (p_partkey * 7 + k.k * 13) % 40 + (p_partkey * 3 + k.k * 5) % 21)::DOUBLE AS x FROM part, range(0, 6) k(k) WHERE (p_partkey + k.k) % 4 <> 0),
+ ri AS (SELECT page, x, coalesce(x - lag(x) OVER (PARTITION BY page ORDER BY x) >= 30, true) AS new FROM ru WHERE x > 20 AND x < 980), rd AS (SELECT page, x, sum(new::INTEGER) OVER (PARTITION BY page ORDER BY x) AS rule FROM ri),
+ rs AS (SELECT page, list(r ORDER BY r) AS rules FROM (SELECT page, rule, avg(x) AS r FROM rd GROUP BY 1, 2) GROUP BY 1), ls AS (SELECT page, list(x ORDER BY x) AS lines FROM tl GROUP BY 1), b AS (SELECT * FROM ls JOIN rs USING (page)),
+ m AS (SELECT page, lines, rules, i, k, j, l, (rules[l] - rules[j]) / (lines[k] - lines[i]) AS scale FROM b, range(1, 6) i(i), range(1, 6) k(k), range(1, 7) j(j), range(1, 7) l(l) WHERE i < k AND j < l AND l <= len(rules) AND lines[k] > lines[i]),
+ s AS (SELECT *, rules[j] - scale * lines[i] AS shift FROM m WHERE scale BETWEEN 0.8 AND 1.25),
+ n AS (SELECT *, list_filter(list_transform(lines, lambda x: list_min(list_transform(rules, lambda r: abs(scale * x + shift - r)))), lambda d: d <= 40) AS near FROM s WHERE scale * lines[1] + shift >= -20 AND scale * lines[5] + shift <= 1020),
+ f AS (SELECT page, len(lines) AS n_lines, len(near) AS matched, scale, shift FROM n QUALIFY row_number() OVER (PARTITION BY page ORDER BY len(near) DESC, round(500 * abs(scale - 1) + coalesce(list_sum(near), 0), 9), i, k, j, l) = 1)"""
+
+
+def fits(t):
+    key = F.col("p_partkey")
+    at = lambda k: F.lit(60) + k * 190 + (key * 7 + k * 13) % 40
+    lines = t.part.select(key.alias("page"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), at)).alias("x"))
+    shown = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: (key + k) % 4 != 0)
+    rules = t.part.select(key.alias("page"), F.explode(F.transform(shown, lambda k: at(k) + 10 + (key * 3 + k * 5) % 21)).alias("x"))
+    return Y.fitted_lines(lines, rules, "page", 1000.0)
+
+
+@query("j23_fitted_lines", f"WITH {FITS} SELECT page, n_lines::INTEGER AS n_lines, matched::INTEGER AS matched, round(scale, 6) AS scale, round(shift, 6) AS shift FROM f WHERE matched >= 2")
+def _(t):
+    return fits(t).select("page", "n_lines", "matched", F.round("scale", 6).alias("scale"), F.round("shift", 6).alias("shift"))
+
+
+@query("m03_fit_score", f"WITH {FITS} SELECT page, round(least(1.0, matched::DOUBLE / n_lines) * greatest(0.0, 1 - 2 * abs(ln(scale))), 3) AS score FROM f WHERE matched >= 2")
+def _(t):
+    from ..operators.geometry import fit_score
+
+    return fits(t).select("page", fit_score(F.least(F.lit(1.0), F.col("matched") / F.col("n_lines")), F.col("scale")).alias("score"))
+
+
+@query("x48_page_batch", "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'odd' ELSE 'even' END AS parity, (SELECT max(p_partkey) FROM part WHERE p_partkey % 2 = event_id % 2) AS template, last_value(CASE WHEN event_id % 2 = 1 AND event_type <> 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row_share FROM events")
+def _(t):
+    """Pages of a batch take the newest template of their parity, and even pages the row shares of the odd page before."""
+    from ..operators.ordered import fill_down
+
+    newest = t.part.groupBy((F.col("p_partkey") % 2).alias("side")).agg(F.max("p_partkey").alias("template"))
+    odd = F.col("event_id") % 2 == 1
+    carried = fill_down(t.events, ["user_id"], [F.col("event_id")], F.col("value"), ~odd | (F.col("event_type") == "error"), "row_share")
+    return carried.join(newest, F.col("event_id") % 2 == F.col("side"), "left").select("event_id", F.when(odd, "odd").otherwise("even").alias("parity"), "template", "row_share")
+
+
+MOVE = "a * {0} + b2 + CASE WHEN len(list_filter(p2, lambda p: p.s <= {0})) = 0 THEN p2[1].off WHEN len(list_filter(p2, lambda p: p.s > {0})) = 0 THEN p2[-1].off ELSE list_filter(p2, lambda p: p.s <= {0})[-1].off + (list_filter(p2, lambda p: p.s > {0})[1].off - list_filter(p2, lambda p: p.s <= {0})[-1].off) * ({0} - list_filter(p2, lambda p: p.s <= {0})[-1].s) / (list_filter(p2, lambda p: p.s > {0})[1].s - list_filter(p2, lambda p: p.s <= {0})[-1].s) END"
+OFF = "list_filter(list_transform(src, lambda s: {{'s': s, 'off': list_sort(list_transform(dst, lambda d: [abs(d - (a * s + {0})), d - (a * s + {0})]))[1][2]}}), lambda p: abs(p.off) <= 0.3 * ud)"
+
+
+@query("j22_rows_between_pages", f"""WITH pg AS (SELECT p_partkey AS page, list_transform(list_filter(range(0, 20), lambda k: (k + p_partkey) % 7 <> 0), lambda k: (100 + k * (24 + p_size % 5) + (k * p_partkey) % 3)::DOUBLE) AS src,
+  list_transform(list_filter(range(0, 20), lambda k: (k * 2 + p_partkey) % 5 <> 1), lambda k: (100 + p_partkey % 40 + k * (25 + p_size % 5) + (k + p_partkey) % 4)::DOUBLE) AS dst FROM part),
+ u AS (SELECT *, list_aggregate(list_transform(range(1, len(src)), lambda i: src[i + 1] - src[i]), 'median') AS us FROM pg),
+ v AS (SELECT *, list_aggregate(list_transform(range(1, len(dst)), lambda i: (dst[i + 1] - dst[i]) / greatest(1, round_even((dst[i + 1] - dst[i]) / us, 0))), 'median') AS ud FROM u),
+ w AS (SELECT *, CASE WHEN ud / us BETWEEN 0.8 AND 1.25 THEN ud / us ELSE 1.0 END AS a FROM v), x AS (SELECT *, dst[1] - a * src[1] AS b FROM w), y AS (SELECT *, {OFF.format('b')} AS p1 FROM x),
+ z AS (SELECT *, b + list_aggregate(list_transform(p1, lambda p: p.off), 'median') AS b2 FROM y WHERE len(p1) >= 3), q AS (SELECT *, {OFF.format('b2')} AS p2 FROM z), r AS (SELECT *, unnest(range(0, 3)) AS i FROM q WHERE len(p2) >= 3),
+ e AS (SELECT *, (90 + i * 130)::DOUBLE AS y0, (90 + i * 130 + 70)::DOUBLE AS y1 FROM r), m AS (SELECT page, {MOVE.format('y0')} AS t0, {MOVE.format('y1')} AS t1 FROM e)
+ SELECT page, round(t0, 6) AS top, round(t0 + greatest(1.0, t1 - t0), 6) AS bottom FROM m""")
+def _(t):
+    key, size, all_ = F.col("p_partkey"), F.col("p_size") % 5, F.sequence(F.lit(0), F.lit(19))
+    src = F.transform(F.filter(all_, lambda k: (k + key) % 7 != 0), lambda k: (F.lit(100) + k * (F.lit(24) + size) + (k * key) % 3).cast("double"))
+    dst = F.transform(F.filter(all_, lambda k: (k * 2 + key) % 5 != 1), lambda k: (F.lit(100) + key % 40 + k * (F.lit(25) + size) + (k + key) % 4).cast("double"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array((F.lit(90) + i * 130).cast("double"), (F.lit(160) + i * 130).cast("double")))
+    mapped = Y.rows_between_pages(t.part.select(key.alias("page"), src.alias("src"), dst.alias("dst"), bands.alias("bands")), "page")
+    return mapped.select("page", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))

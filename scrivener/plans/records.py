@@ -117,10 +117,10 @@ def _(t):
     return cells(t).select("cell", X.first_filled(F.col("raw"), F.col("truth"), F.col("writer")).alias("v"))
 
 
-@query("p18_apply_review", f"WITH {CELLS}, v AS (SELECT cell, truth AS typed FROM cells WHERE cell % 3 = 0) SELECT cell, coalesce(typed, corrected, raw) AS value, coalesce(typed <> raw, false) AS edited, typed IS NULL AND raw IS NULL AS missing FROM cells LEFT JOIN v USING (cell)")
+@query("p18_apply_review", f"WITH {CELLS}, v AS (SELECT cell, truth AS typed FROM cells WHERE style = 'caps') SELECT cell, coalesce(typed, corrected, raw) AS value, coalesce(typed <> raw, false) AS edited, typed IS NULL AND raw IS NULL AS missing FROM cells LEFT JOIN v USING (cell)")
 def _(t):
     c = cells(t)
-    typed = c.where("cell % 3 = 0").select("cell", F.col("truth").alias("typed"))
+    typed = c.where("style = 'caps'").select("cell", F.col("truth").alias("typed"))
     return c.join(typed, "cell", "left").select("cell", F.coalesce("typed", "corrected", "raw").alias("value"), F.coalesce(F.col("typed") != F.col("raw"), F.lit(False)).alias("edited"), (F.col("typed").isNull() & F.col("raw").isNull()).alias("missing"))
 
 
@@ -330,10 +330,10 @@ def _(t):
     return cells(t).select("cell", X.comparable(F.replace("raw", F.lit("3"), F.lit("E"))).alias("v"))
 
 
-@query("x06_attach_truth", f"WITH {CELLS}, k AS (SELECT page, row, truth FROM cells WHERE page % 2 = 0) SELECT c.cell, coalesce(k.truth, '') AS truth, c.raw FROM cells c LEFT JOIN k ON c.page = k.page AND c.row = k.row")
+@query("x06_attach_truth", f"WITH {CELLS}, k AS (SELECT page, row, truth FROM cells WHERE detected) SELECT c.cell, coalesce(k.truth, '') AS truth, c.raw FROM cells c LEFT JOIN k ON c.page = k.page AND c.row = k.row")
 def _(t):
     c = cells(t)
-    keys = c.where("page % 2 = 0").select("page", "row", F.col("truth").alias("key_truth"))
+    keys = c.where("detected").select("page", "row", F.col("truth").alias("key_truth"))
     return c.join(keys, ["page", "row"], "left").select("cell", F.coalesce("key_truth", F.lit("")).alias("truth"), "raw")
 
 

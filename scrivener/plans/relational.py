@@ -186,6 +186,13 @@ def _(t):
     return t.orders.select(F.col("o_custkey").alias("custkey"), F.min("o_orderkey").over(first).alias("first_order"), F.col("o_orderkey").alias("later_order")).where("later_order > first_order")
 
 
+@query("j24_join_strategies", "SELECT o_orderkey, c_name, l_linenumber FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
+def _(t):
+    """A strategy named where the optimizer's choice is not wanted: hashing by shuffle, then sort and merge."""
+    hashed = t.orders.join(t.customer.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey"))
+    return hashed.join(t.lineitem.where("l_returnflag = 'R'").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "c_name", "l_linenumber")
+
+
 # ---- windows -----------------------------------------------------------------------------------------
 @query("w01_fill_down_before", "SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_value FROM events")
 def _(t):
@@ -271,6 +278,12 @@ def _(t):
     return t.orders.select("o_orderkey", F.count_if(F.col("o_orderstatus") != "F").over(w).alias("ahead"))
 
 
+@query("w15_rank_frames", """SELECT o_orderkey, ntile(4) OVER w AS quarter, cume_dist() OVER w AS below, percent_rank() OVER w AS share, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS alike FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)""")
+def _(t):
+    w, near = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"), Window.partitionBy("o_orderpriority").orderBy("o_totalprice").rangeBetween(-1000, 1000)
+    return t.orders.select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.cume_dist().over(w).alias("below"), F.percent_rank().over(w).alias("share"), F.count("*").over(near).alias("alike"))
+
+
 # ---- order and top-k ---------------------------------------------------------------------------------
 @query("t01_newest_rows", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey DESC LIMIT 300")
 def _(t):
@@ -349,6 +362,12 @@ def _(t):
     return t.part.select("p_partkey").subtract(t.lineitem.where(F.col("l_returnflag") == "R").select("l_partkey"))
 
 
+@query("u07_sql_sets", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)")
+def _(t):
+    c, s, n = t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select("s_nationkey"), t.nation.select("n_nationkey")
+    return c.intersect(s).unionAll(n.subtract(c))
+
+
 @query("u06_subset_test", "SELECT user_id, bool_and(event_type IN ('view', 'click', 'purchase', 'signup')) AS within FROM events WHERE value > 50 GROUP BY 1")
 def _(t):
     kinds = t.events.where("value > 50").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
@@ -364,9 +383,9 @@ def _(t):
     return whitelist(t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name")), ["id", "name"])
 
 
-@query("k02_update_by_key", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@query("k02_update_by_key", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _(t):
-    new = t.customer.where("c_custkey % 4 = 0").select("c_custkey", F.lit("MOVED").alias("c_mktsegment"))
+    new = t.customer.where("c_acctbal > 5000").select("c_custkey", F.lit("MOVED").alias("c_mktsegment"))
     return K.overlay(t.customer.select("c_custkey", "c_mktsegment"), new, ["c_custkey"], ["c_mktsegment"])
 
 
@@ -447,9 +466,9 @@ def _(t):
     return bounds.select("o_custkey", K.forward_only(list("OPF"), F.col("b"), F.col("a")).alias("status"))
 
 
-@query("k20_merge_update", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) END, s_name) AS s_name, [s_suppkey, s_nationkey::BIGINT] AS log FROM supplier")
+@query("k20_merge_update", "SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 0 THEN upper(s_name) END, s_name) AS s_name, [s_suppkey, s_nationkey::BIGINT] AS log FROM supplier")
 def _(t):
-    new = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"))
+    new = t.supplier.where("s_acctbal > 0").select("s_suppkey", F.upper("s_name").alias("s_name"))
     merged = K.overlay(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), new, ["s_suppkey"], ["s_name"])
     return merged.select("s_suppkey", "s_name", F.array_append(F.array("s_suppkey"), F.col("s_nationkey").cast("long")).alias("log"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
@@ -9,7 +12,7 @@ from ..functions import metrics as M
 from ..operators import evaluation as E
 from ..operators import ordered as W
 from ..operators import stores as K
-from ..sources import sinks, tables
+from ..sources import images, sinks, tables
 from .base import CELLS, cells, query
 
 ALNUM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
@@ -38,7 +41,73 @@ def _(t):
     return tables.image_tree(t.spark, folder).groupBy("category").agg((F.sum("length") > 0).alias("filled"))
 
 
+@query("s14_sheet_rows", """WITH s AS (SELECT n_regionkey AS sheet, n_nationkey + 3 AS number, [n_name, n_nationkey::VARCHAR, CASE WHEN n_nationkey % 2 = 0 THEN 'x' END] AS cells FROM nation) SELECT sheet, number, cells[1] AS name, cells[2] AS code, cells[3] AS note FROM s WHERE cells[1] NOT LIKE '%A%'""")
+def _(t):
+    row = lambda n, *texts: F.struct(F.lit(n).alias("number"), F.array(*map(F.lit, texts)).alias("cells"))
+    head = t.region.select(F.col("r_regionkey").alias("sheet"), F.inline(F.array(row(0, "Report", "7", None), row(1, "Name", "Code", "Note"))))
+    blank = F.contains("n_name", F.lit("A"))
+    cells_ = F.when(blank, F.array(F.lit(" "), F.lit(None), F.lit(""))).otherwise(F.array("n_name", F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "x")))
+    body = t.nation.select(F.col("n_regionkey").alias("sheet"), (F.col("n_nationkey") + 3).alias("number"), cells_.alias("cells"))
+    rows = tables.sheet_rows(head.unionByName(body), ["sheet"], "number", "cells")
+    return rows.select("sheet", "number", *[F.col("row")[n].alias(n.lower()) for n in ("Name", "Code", "Note")])
+
+
+@query("s22_statements", "SELECT o_orderkey, unnest(['UPDATE t SET a = ' || o_custkey, 'DELETE FROM u']) AS statement FROM orders")
+def _(t):
+    script = F.concat(F.lit("-- no; comment\nUPDATE t SET a = "), F.col("o_custkey").cast("string"), F.lit("; -- more\n;\n DELETE FROM u;\n"))
+    return t.orders.select("o_orderkey", F.explode(tables.statements(script)).alias("statement"))
+
+
+@query("s24_uploads", "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.exe' ELSE '' END), '\\.(pdf|png|jpg)$')")
+def _(t):
+    name = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PDF").when(F.col("page_id") % 3 == 1, ".exe").otherwise(""))
+    return t.pages.where(tables.has_extension(name, ["pdf", "png", "jpg"])).select("page_id", "url")
+
+
+@query("s19_tokens", "SELECT 'side=' || n_regionkey AS category, word, count(*) AS n FROM (SELECT n_regionkey, unnest(regexp_extract_all(n_name, '[A-Za-z0-9_]+')) AS word FROM nation) GROUP BY 1, 2")
+def _(t):
+    """Tokens of files by an engine; this one takes the names that are written in them."""
+
+    def engine(content):
+        return [(w, 1.0, (0, 0, 1, 1)) for line in content.decode().splitlines() for w in re.findall(r"\w+", json.loads(line)["n_name"])]
+
+    folder = sinks.write_json(t.nation.select("n_name", F.col("n_regionkey").alias("side")), sinks.scratch(t.spark, "scans"), by=["side"])
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = images.tokens(files, engine)
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("category"), F.col("text").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query("s20_lines_of_words", """SELECT event_id // 20 AS page, event_id % 20 // 5 AS line, string_agg(event_type, ' ' ORDER BY event_id) AS text, avg(value % 100) / 100 AS confidence, min(event_id % 5 * 40)::DOUBLE AS x0, min(event_id % 20 // 5 * 30)::DOUBLE AS y0, max(event_id % 5 * 40 + 35)::DOUBLE AS x1, max(event_id % 20 // 5 * 30 + 20)::DOUBLE AS y1
+ FROM events WHERE event_type <> 'error' GROUP BY 1, 2""")
+def _(t):
+    e = F.col("event_id")
+    line, at = F.floor(e % 20 / 5), (e % 5 * 40).cast("double")
+    confidence = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value") % 100)
+    words = t.events.select(F.floor(e / 20).alias("page"), line.alias("line"), "event_id", F.concat(F.lit(" "), "event_type").alias("text"), confidence.alias("confidence"), at.alias("x0"), (line * 30).cast("double").alias("y0"), (at + 35).alias("x1"), (line * 30 + 20).cast("double").alias("y1"))
+    return images.lines_of_words(words, ["page", "line"], "event_id")
+
+
+@query("k22_form_lines", """WITH f AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN ' n/a ' ELSE c_name || ' of ' || c_mktsegment || ' at ' || o_orderpriority END AS value, greatest(1, floor(20 / 100.0 * 600 / (10 * 0.5))::INTEGER) AS most FROM orders JOIN customer ON c_custkey = o_custkey),
+ l AS (SELECT o_orderkey, list_reduce(list_transform(string_split(value, ' '), lambda w: [w]), lambda a, w: CASE WHEN length(a[-1]) + 1 + length(w[1]) <= most THEN list_concat(a[:-2], [a[-1] || ' ' || w[1]]) ELSE list_concat(a, w) END) AS ls FROM f WHERE value <> ' n/a ')
+ SELECT o_orderkey, (i - 1)::INTEGER AS line, ls[i] AS text, (o_orderkey % 100) / 100.0::DOUBLE * 600 AS x, 800 - 10 / 100.0::DOUBLE * 800 - (i - 1) * 12.0::DOUBLE AS y FROM l, range(1, 60) r(i) WHERE i <= len(ls)""")
+def _(t):
+    """Values of a form as lines of text where its boxes are; drawing them is left to a writer."""
+    joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    value = F.when(F.col("o_orderstatus") == "P", " n/a ").otherwise(F.concat("c_name", F.lit(" of "), "c_mktsegment", F.lit(" at "), "o_orderpriority"))
+    fields = joined.select("o_orderkey", value.alias("value"), (F.col("o_orderkey") % 100).cast("double").alias("x"), F.lit(10.0).alias("y"), F.lit(20.0).alias("width"), F.lit(10.0).alias("size"))
+    return images.placed(fields, ["o_orderkey"], 600.0, 800.0)
+
+
 # ---- documents and loaders ---------------------------------------------------------------------------
+@query("x07_second_reading", f"WITH {CELLS} SELECT cell, coalesce(nullif(corrected, ''), truth) AS value, CASE WHEN corrected IS NULL OR confidence IS NULL OR confidence - 0.1 < 0.65 THEN 'manual_encoding_required' WHEN confidence - 0.1 < 0.85 THEN 'needs_check' ELSE 'accepted' END AS status, coalesce(corrected, '') = '' AND truth <> '' AS best_guess FROM cells")
+def _(t):
+    """The second engine's reading of the same cells, routed by the same thresholds, blanks filled by the best guess."""
+    from ..operators.rules import route
+
+    guess = F.coalesce("corrected", F.lit("")) == ""
+    return cells(t).select("cell", F.coalesce(F.nullif("corrected", F.lit("")), "truth").alias("value"), route(F.when(F.col("corrected").isNotNull(), F.col("confidence") - 0.1)).alias("status"), (guess & (F.col("truth") != "")).alias("best_guess"))
+
+
 @query("x19_row_documents", f"""WITH {CELLS}, w AS (SELECT DISTINCT page, 'Page ' || page || ': dark' AS text FROM cells WHERE page % 3 = 0),
  r AS (SELECT page // 4 AS spread, row, list(DISTINCT page) AS pages, count(*) AS n_fields FROM cells GROUP BY 1, 2), x AS (SELECT spread, row, list(text ORDER BY page) AS ws FROM r JOIN w ON list_contains(pages, page) AND page // 4 = spread GROUP BY 1, 2)
  SELECT spread, row, n_fields, coalesce(ws, []) AS warnings, ws IS NULL AS passed FROM r LEFT JOIN x USING (spread, row)""")
@@ -108,7 +177,7 @@ def _(t):
 
 
 @query("x35_alignment_check", f"""WITH {CELLS}, k AS (SELECT page, row, truth FROM cells WHERE truth <> ''), f AS (SELECT page, row + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS row, raw AS text FROM cells WHERE detected AND raw IS NOT NULL),
- s AS (SELECT coalesce(k.page, f.page) AS page, coalesce(k.row, f.row) AS row, k.truth, f.text, {SIM.format('k.truth', 'f.text')} AS here, CASE WHEN k.truth IS NOT NULL THEN {SIM.format('k.truth', 'a.text')} END AS above, CASE WHEN k.truth IS NOT NULL THEN {SIM.format('k.truth', 'b.text')} END AS below
+ s AS (SELECT coalesce(k.page, f.page) AS page, coalesce(k.row, f.row) AS row, k.truth, f.text, CASE WHEN k.truth IS NOT NULL AND f.text IS NOT NULL THEN {SIM.format('k.truth', 'f.text')} END AS here, CASE WHEN k.truth IS NOT NULL AND a.text IS NOT NULL THEN {SIM.format('k.truth', 'a.text')} END AS above, CASE WHEN k.truth IS NOT NULL AND b.text IS NOT NULL THEN {SIM.format('k.truth', 'b.text')} END AS below
   FROM k FULL JOIN f ON k.page = f.page AND k.row = f.row LEFT JOIN f a ON a.page = k.page AND a.row = k.row - 1 LEFT JOIN f b ON b.page = k.page AND b.row = k.row + 1)
  SELECT page, row, CASE WHEN truth IS NULL THEN 'found, not in key' WHEN text IS NULL THEN 'not detected' WHEN greatest(above, below) IS NULL OR here >= greatest(above, below) - 10 OR here >= 60 THEN 'aligned' ELSE 'shifted' END AS status, here, above, below FROM s""")
 def _(t):

@@ -64,6 +64,30 @@ def check_codes(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df
 
 
+def sheet_rows(sheet: DataFrame, key: Sequence[str], number: str, cells: str) -> DataFrame:
+    """Rows of sheets (``number``, ``cells``: an array of texts) as maps by heading.
+
+    The heading is a sheet's first row with two or more texts that are no numbers; rows
+    before it and rows without any filled cell are dropped, and so are cells below no heading.
+    """
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    words = F.size(F.filter(cells, lambda c: filled(c) & c.try_cast("double").isNull()))
+    heads = sheet.where(words >= 2).groupBy(*key).agg(F.min(number).alias("_head"), F.min_by(cells, number).alias("_names"))
+    below = sheet.join(heads, list(key)).where((F.col(number) > F.col("_head")) & F.exists(cells, filled))
+    named = F.filter(F.arrays_zip(F.col("_names").alias("k"), F.col(cells).alias("v")), lambda x: filled(x["k"]))
+    return below.select(*key, number, F.map_from_entries(named).alias("row"))
+
+
+def statements(text):
+    """The statements of an SQL script: ``--`` comments dropped, parted at ``;``, blank ones left out."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "--[^\n]*", ""), ";"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def has_extension(name, allowed: Sequence[str]):
+    """Whether a file's name ends in one of the extensions, in any case; false without one."""
+    return F.coalesce(F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1)).isin(*allowed), F.lit(False))
+
+
 def row_ranges(c):
     """Array of the row numbers in a text such as ``1-3,7``; null for ``all``."""
     parts = F.split(F.regexp_replace(c, r"\s", ""), ",")
