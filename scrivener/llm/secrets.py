@@ -17,7 +17,8 @@ MAX_FINDINGS = 20_000
 #: Fewer findings than this of either label fit no forest.
 LEAST_FINDINGS = 10
 DICTIONARY_WORDS, DICTIONARY_LEAST = 20_000, 5
-#: A value found after so many different words is no secret but something that is written in many places.
+#: A value with so many different surroundings, half of its places at least, is no secret but something that is
+#: written in many texts. (Near copies of one text share most of their surroundings.)
 CONTEXTS = 3
 #: Names under which secrets are given, values that stand for one, parts of paths that hold examples, and the forms of some issuers' keys.
 NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "secret_key", "auth", "credential", "credentials", "bearer", "key")
@@ -122,17 +123,17 @@ def sure_labels(found: DataFrame) -> DataFrame:
     """``found`` rows with ``label`` 1 or 0 where there is evidence, null elsewhere.
 
     0: the value passes the check digit of card numbers, has an open form, stands for a
-    secret to be filled in, or is found after ``CONTEXTS`` or more different words. Else 1:
-    it has the form of an issuer's keys, or is given under a secret's name. Where reviewed
+    secret to be filled in, or has ``CONTEXTS`` or more different surroundings. Else 1: it
+    has the form of an issuer's keys, or is given under a secret's name. Where reviewed
     findings exist, use those instead: rows with the columns of :func:`findings` and ``label``.
     """
-    contexts = found.groupBy("value").agg(F.count_distinct("before2", "before", "after").alias("_contexts"))
+    contexts = found.groupBy("value").agg(F.count_distinct("before2", "before", "after").alias("_contexts"), F.count("*").alias("_places"))
     inside = F.concat(F.lit("(?i)(?:token|secret|password|passwd|pwd|api_?key)[\"']?[=:][\"']?\\Q"), F.replace("value", F.lit("\\E"), F.lit("")), F.lit("\\E"))
     own_sign = F.col("before").isin("=", ":", "=>", ":=") & F.col("before2").rlike(_NAME)
     given = own_sign | F.col("before").rlike(_NAME_SIGN) | (F.col("word").rlike(_SIGN_VALUE) & F.col("before").rlike(_NAME)) | F.rlike("word", inside)
     luhn = F.col("value").rlike("^[0-9]{12,19}$") & F.call_function("luhn_check", F.col("value"))
-    shown = luhn | F.col("value").rlike(OPEN) | F.col("value").rlike(PLACEHOLDERS) | (F.col("_contexts") >= CONTEXTS)
-    return found.join(contexts, "value").withColumn("label", F.when(shown, 0.0).when(given | F.col("value").rlike(ISSUED), 1.0)).drop("_contexts")
+    shown = luhn | F.col("value").rlike(OPEN) | F.col("value").rlike(PLACEHOLDERS) | ((F.col("_contexts") >= CONTEXTS) & (2 * F.col("_contexts") >= F.col("_places")))
+    return found.join(contexts, "value").withColumn("label", F.when(shown, 0.0).when(given | F.col("value").rlike(ISSUED), 1.0)).drop("_contexts", "_places")
 
 
 def held_out_value() -> Column:
@@ -143,12 +144,14 @@ def held_out_value() -> Column:
 def fit(labelled: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 3, max_findings: int = MAX_FINDINGS) -> Model | None:
     """Random forest over ``FEATURES`` from findings with ``label`` 0 or 1, but for the held-out fifth; None unless each has ``LEAST_FINDINGS``.
 
-    Of each label at most about ``max_findings`` / 2 are used, chosen by a hash of the
+    Each value counts once for a label. Of each label at most about ``max_findings`` / 2 are used, chosen by a hash of the
     value (all where there are fewer). Each is learned from as it stands and as if it
     stood in prose, since evidence such as a name comes with surroundings of its own, by
     which alone the forest must not go. Spark fits the forest over its partitions.
     """
     usable = labelled.where(F.col("label").isNotNull() & ~held_out_value())
+    # a value counts once for its label, however many copies of its text there are
+    usable = usable.groupBy("value", "label").agg(F.min(F.struct(*FEATURES)).alias("f")).select("value", "label", "f.*")
     found = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     if min(found.get(0.0, 0), found.get(1.0, 0)) < LEAST_FINDINGS:
         return None
