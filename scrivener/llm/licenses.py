@@ -71,8 +71,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Released under CC0 1.0 Universal.",),
     "Unlicense": (_UNLICENSE[0], "\n\n".join(_UNLICENSE)),
 }
-#: A sentence: up to a mark that white space or the line's end follows. Blank lines part blocks.
-SENTENCE = r"(?:[^.;:!?]|[.;:!?][^\x20\t])+[.;:!?]*"
+#: A sentence ends at a mark that white space follows. Blank lines part blocks.
+SENTENCE_END = r"([.;:!?])[\x20\t]+"
 BLANK = r"\n[\x20\t\r]*\n"
 
 
@@ -144,17 +144,19 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
     # an array of one, so that a text is put in lower case once
     may = lambda c: F.exists(F.array(F.lower(c)), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words], F.lit(False)))
     docs = docs.select(F.col(key), F.col(text)).where(may(F.col(text)))
-    lines = F.split(F.col(text), "\n")
+    lines = F.split("_text", "\n")
     none = F.array().cast("array<string>")
-    parts = lambda x: F.regexp_extract_all(x, F.lit(SENTENCE), F.lit(0))
+    parts = lambda x: F.split(F.regexp_replace(x, SENTENCE_END, "$1\n"), "\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.when(F.size(parts(x)) > 1, parts(x)).otherwise(none)))
     most, pieces, n = paragraphs(templates), F.col("_blocks"), F.size("_blocks")
     blocks = F.filter(pieces, lambda b: F.contains(b, F.lit("\n")))
-    joined = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(pieces, i, k), "\n"))
+    # runs of blocks without a telling word keep their number but not their text
+    one = lambda i, k: F.when(F.exists(F.slice("_tells", i, k), lambda x: x), F.array_join(F.slice(pieces, i, k), "\n"))
+    joined = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: one(i, k))
     runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(max(2, most))), lambda k: F.when((k <= n) & (k <= most), joined(k)).otherwise(none)))
-    whole = F.when(n > most, F.array(F.col(text))).otherwise(none)
-    split = docs.withColumn("_blocks", F.split(F.col(text), BLANK))
-    units = split.select(F.col(key).alias("_key"), F.posexplode(F.concat(lines, sentences, blocks, runs, whole)).alias("_at", "_unit")).where(may(F.col("_unit")))
+    whole = F.when(n > most, F.array("_text")).otherwise(none)
+    split = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.split(F.col(text), BLANK).alias("_blocks")).withColumn("_tells", F.transform("_blocks", may))
+    units = split.select("_key", F.posexplode(F.concat(lines, sentences, blocks, runs, whole)).alias("_at", "_unit")).where(may(F.col("_unit")))
     worded = units.select("_key", (F.col("_at") + 1).alias("unit"), normal_words(F.col("_unit")).alias("_words"))
     worded = worded.where((F.size("_words") >= 2) & F.arrays_overlap("_words", F.array(*map(F.lit, words)).cast("array<string>")))
     paired = worded.crossJoin(F.broadcast(wanted))  # one row
@@ -175,11 +177,11 @@ def oracle(templates: dict[str, tuple[str, ...]] = TEMPLATES, dice: float = DICE
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k in sorted(templates) for t in templates[k])
     words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     grams = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
-    blank, sentence, most = BLANK, SENTENCE, paragraphs(templates)
+    most, parts = paragraphs(templates), f"string_split(regexp_replace(x, '{SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))"
     return f"""
 WITH t AS (SELECT license, {grams} AS grams FROM (SELECT license, {words.format('text')} AS words FROM (VALUES {values}) v(license, text))),
- p AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '{blank}') AS bs FROM documents WHERE text IS NOT NULL),
- a AS (SELECT doc_id, list_concat(lines, flatten(list_transform(lines, lambda x: CASE WHEN len(regexp_extract_all(x, '{sentence}')) > 1 THEN regexp_extract_all(x, '{sentence}') ELSE [] END)), list_filter(bs, lambda b: contains(b, chr(10))),
+ p AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '{BLANK}') AS bs FROM documents WHERE text IS NOT NULL),
+ a AS (SELECT doc_id, list_concat(lines, flatten(list_transform(lines, lambda x: CASE WHEN len({parts}) > 1 THEN {parts} ELSE [] END)), list_filter(bs, lambda b: contains(b, chr(10))),
    flatten(list_transform(range(2, {most + 1}), lambda k: CASE WHEN k <= len(bs) THEN list_transform(range(1, len(bs) - k + 2), lambda i: array_to_string(list_slice(bs, i, i + k - 1), chr(10))) ELSE [] END)), CASE WHEN len(bs) > {most} THEN [text] ELSE [] END) AS us FROM p),
  u AS (SELECT doc_id, unnest(us) AS unit_text, generate_subscripts(us, 1) AS unit FROM a),
  g AS (SELECT doc_id, unit, {grams} AS grams FROM (SELECT doc_id, unit, {words.format('unit_text')} AS words FROM u)),

@@ -222,6 +222,8 @@ def test_whole_licences_and_notices_in_prose(spark):
     for r in licenses.scan(crowded(docs_of(spark, texts))).collect():
         found.setdefault(r["doc_id"], set()).add(r["license"])
     assert found[0] == {"MIT"} and "GPL-3.0" in found[1] and found[2] == {"MIT"} and "MIT" in found[3] and "BSD-3-Clause" in found[5]
+    long = ["license. software " * 300_000 + "Released under the MIT License.", "software x\n\n" * 40_000 + "Released under the MIT License."]
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan(docs_of(spark, long)).collect()} == {(0, "MIT"), (1, "MIT")}
     assert licenses.scan(docs_of(spark, texts).where("false")).count() == 0 and licenses.scan(docs_of(spark, texts), templates={}).count() == 0
 
 

@@ -217,7 +217,7 @@ def test_license_scan_against_brute_force(spark, duck):
     want = set()
     for i, t in enumerate(texts):
         lines, blocks = (t or "").split("\n"), re.split(r"\n[ \t\r]*\n", t or "")
-        units = lines + [x for ln in lines if len(ss := re.findall(licenses.SENTENCE, ln)) > 1 for x in ss] + [b for b in blocks if "\n" in b]
+        units = lines + [x for ln in lines if len(ss := re.sub(licenses.SENTENCE_END, r"\1\n", ln).split("\n")) > 1 for x in ss] + [b for b in blocks if "\n" in b]
         units += ["\n".join(blocks[i : i + k]) for k in range(2, most + 1) for i in range(len(blocks) - k + 1)] + ([t] if len(blocks) > most else [])
         for n, u in enumerate(units, 1):
             scored = [(2 * len(grams(u) & grams(x)) / max(1, len(grams(u)) + len(grams(x))), k) for k, xs in licenses.TEMPLATES.items() for x in xs]
