@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,33 +61,26 @@ class PULinear:
         return score
 
 
-def _features(texts: Iterable[str | None], known: dict[bytes, list[bytes]]) -> list[set[bytes]]:
-    """The features of each text; ``known`` keeps those of the words met so far."""
-    out = []
-    for t in texts:
-        here = words(t)
-        for w in here - known.keys():
-            known[w] = word_features(w)
-        out.append({f for w in here for f in known[w]})
-    return out
+def _features(text: str | None) -> set[bytes]:
+    return {f for w in words(text) for f in word_features(w)}
 
 
-def _matrix(texts: list[set[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     rows, cols = [], []
     for i, t in enumerate(texts):
-        hit = [index[f] for f in t & index.keys()]
+        hit = {index[f] for f in _features(t) if f in index}
         cols.append(np.fromiter(sorted(hit), np.int64, len(hit)))
         rows.append(np.full(len(hit), i))
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cols or [np.zeros(0, int)])
 
 
-def _telling(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> list[bytes]:
+def _telling(positive: list[str | None], unlabelled: list[str | None]) -> list[bytes]:
     """Features whose share of positives stands out from that of unlabelled texts, strongest first."""
     n, m = len(positive), len(unlabelled)
     p, u = Counter(), Counter()
     for texts, count in ((positive, p), (unlabelled, u)):
         for t in texts:
-            count.update(t)
+            count.update(_features(t))
 
     def z(f: bytes) -> float:
         both = (p[f] + u[f] + 1) / (n + m + 2)
@@ -139,8 +132,6 @@ def fit(positive: list[str | None], unlabelled: list[str | None], prior: float,
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return PULinear({}, bias)
-    known: dict[bytes, list[bytes]] = {}
-    positive, unlabelled = _features(positive, known), _features(unlabelled, known)
     kept = _telling(positive, unlabelled)
     index = {f: i for i, f in enumerate(kept)}
     p, u = ((*_matrix(texts, index), len(texts)) for texts in (positive, unlabelled))
