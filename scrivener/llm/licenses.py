@@ -96,8 +96,9 @@ def telling_words(templates: dict[str, tuple[str, ...]], dice: float) -> list[st
     """Words of which every text that reaches ``dice`` with some template has at least one.
 
     A match may miss only so many of a template's bigrams. Words are taken, those of other
-    templates first, then long ones (so mostly rare) that are in many of the bigrams, until
-    their bigrams are more than that: a text with none of the words misses all of them.
+    templates first, then long ones (so mostly rare) that are in many of the bigrams, then
+    short ones without a vowel (which prose hardly has), until their bigrams are more than
+    that: a text with none of the words misses all of them.
     """
     found: set[str] = set()
     texts = [re.findall(r"[^\W_]+", t.lower()) for ts in templates.values() for t in ts]
@@ -108,7 +109,7 @@ def telling_words(templates: dict[str, tuple[str, ...]], dice: float) -> list[st
         chosen: set[str] = set()
         while sum(a in chosen or b in chosen for a, b in grams) <= may_miss and chosen < set(words):
             new = {w: sum(w in g and not chosen & set(g) for g in grams) for w in set(words) - chosen}
-            chosen.add(max(new, key=lambda w: (w in found and new[w] > 0, new[w] * max(len(w) - 3, 0), new[w], w)))
+            chosen.add(max(new, key=lambda w: (w in found and new[w] > 0, new[w] * max(len(w) - 3, 0), new[w] > 0 and w.isalpha() and not set(w) & set("aeiouy"), new[w], w)))
         found |= chosen
     return sorted(found)
 
@@ -141,8 +142,11 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
     """
     wanted = template_table(docs.sparkSession, templates, dice)
     words = telling_words(templates, dice)
+    # short words count as words only, long ones wherever they stand
+    short = r"(?<![\p{L}\p{N}])(?:" + "|".join(w for w in words if len(w) < 4) + r")(?![\p{L}\p{N}])"
+    told = lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words if len(w) > 3], x.rlike(short) if any(len(w) < 4 for w in words) else F.lit(False))
     # an array of one, so that a text is put in lower case once
-    may = lambda c: F.exists(F.array(F.lower(c)), lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words], F.lit(False)))
+    may = lambda c: F.exists(F.array(F.lower(c)), told)
     docs = docs.select(F.col(key), F.col(text)).where(may(F.col(text)))
     lines = F.split("_text", "\n")
     none = F.array().cast("array<string>")
