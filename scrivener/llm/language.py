@@ -38,17 +38,14 @@ def sample_dictionaries(training: DataFrame, *, text: str = "text", lang: str =
     and key the smallest stretch is taken.
     Rows with a null key, text or language teach nothing.
     """
-    h = F.xxhash64(F.lit(17), F.col(key))
-    usable = training.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = (
-        usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), h.alias("_h"))
-        .groupBy("_lang", F.pmod("_h", F.lit(texts)).alias("_bucket"))
-        .agg(F.min_by("_key", "_h").alias("_key"))
-    )
+    own = training.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    usable = own.where("_key is not null and _lang is not null and _text is not null")
+    h = F.xxhash64(F.lit(17), "_key")
+    picked = usable.select("_lang", "_key", h.alias("_h")).groupBy("_lang", F.pmod("_h", F.lit(texts)).alias("_bucket")).agg(F.min_by("_key", "_h").alias("_key"))
     # texts * (number of languages) keys: bounded by parameter, so safe to broadcast
-    chosen = usable.join(F.broadcast(picked.select("_lang", "_key")), (F.col(key) == F.col("_key")) & (F.col(lang) == F.col("_lang")))
-    start = F.pmod(F.xxhash64(F.lit(23), F.col(key)), F.greatest(F.length(text) - chars + 1, F.lit(1)).cast("long")) + 1
-    rows = chosen.select("_lang", "_key", F.substring(F.col(text), start.cast("int"), F.lit(chars)).alias("part")).groupBy("_lang", "_key").agg(F.min("part").alias("part")).collect()
+    chosen = usable.join(F.broadcast(picked.select("_lang", "_key")), ["_lang", "_key"])
+    start = F.pmod(F.xxhash64(F.lit(23), "_key"), F.greatest(F.length("_text") - chars + 1, F.lit(1)).cast("long")) + 1
+    rows = chosen.groupBy("_lang", "_key").agg(F.min(F.substring("_text", start.cast("int"), F.lit(chars))).alias("part")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["_lang"], str(r["_key"]))):
         found.setdefault(r["_lang"], []).append(r["part"])
