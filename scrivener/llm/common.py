@@ -63,7 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: Column | str) -> Column:
-    """True where crc32 of the id as text leaves 0 on division by 5; false for a null id."""
+def id_hash(doc_id: Column | str) -> Column:
+    """crc32 of the id as text; null for a null id."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.crc32(key.cast("string").cast("binary"))
+
+
+def held_out(doc_id: Column | str, modulus: int = 5, rest: int = 0) -> Column:
+    """True where crc32 of the id as text leaves ``rest`` on division by ``modulus``; false for a null id."""
+    return F.coalesce(id_hash(doc_id) % modulus == rest, F.lit(False))

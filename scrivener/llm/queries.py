@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, rules, secrets, simhash, substrings, toxicity, warc
-from .common import held_out, staged, table
+from . import decontaminate, language, licenses, mixing, periods, quality, rules, secrets, simhash, spelling, substrings, toxicity, warc
+from .common import WORD, held_out, id_hash, staged, table
 
 
 def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,40 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"), F.col("_lid.margin").alias("margin"))
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    celled = staged(docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), quality.cell(F.col("text")).alias("cell")), "cells")
+    model = quality.learn(celled.where("not held_out"), labels.where(~held_out("doc_id", 4, 2)))
+    scored = celled.select("doc_id", "held_out", quality.score(F.col("cell"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``, a tenth of the texts with their tail turned into a period: where h, the crc32 of the id, ends with 0.
+
+    Word i from a = g % n on becomes word a + (i - a) % p, with g = h // 10 and p = 1 + (n - a) // (3 + g % 8).
+    """
+    h, g = id_hash("doc_id"), F.floor(id_hash("doc_id") / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1)))
+    counted = docs.select("doc_id", "text", words.alias("w"), g.alias("g")).withColumn("n", F.size("w"))
+    placed = counted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.col("n") - F.col("a")
+    turned = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(tail / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(turned, F.lit(1), tail)), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeating(table(spark, sf_dir, "documents")).select("doc_id", periods.periodic_runs(F.col("text")).alias("r"))
+    digests = F.sha2(periods.runs_text(F.col("r.runs")), 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", F.size("r.runs").cast("long").alias("n_runs"), *(F.col(f"r.top.{c}").alias(c) for c in ("start", "length", "period", "exponent_milli")), *digests)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), misspell=199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_toxicity": op1_pu_toxicity,
     "op2_host_rules": op2_host_rules,
@@ -82,9 +116,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_pu_quality": op11_pu_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op2_host_rules": rules.oracle(),
     "op6_license_dice": licenses.oracle(),
+    "op13_spelling_variants": spelling.oracle(),
 }
