@@ -131,9 +131,9 @@ def decompose(p: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = QMAX)
 def unaffected(word: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = QMAX) -> list[tuple[str, int, int, tuple]]:
     """(role, first place, last place, merged list) for each distinct set of grams that an edit leaves as they are.
 
-    Roles: ``s`` a code point is replaced, ``d`` one is deleted, ``i`` one is inserted
-    before the place. A word and its near word have an equal list for the place where they differ: of
-    replacements each has it under ``s``, else the longer one under ``d`` and the shorter under ``i``.
+    Roles: ``m`` the code point at the place is replaced or missing, ``i`` one is inserted
+    before it. A word and its near word have an equal list for the place where they differ: of words of
+    one length each has it under ``m``, else the longer one under ``m`` and the shorter under ``i``.
     """
     p = START + word + END
     size, found = len(p), decompose(p, grams, qmin, qmax)
@@ -143,7 +143,7 @@ def unaffected(word: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = Q
         while left[i] < len(found) and found[left[i]][2] < i:
             left[i] += 1
     out = []
-    for role, stop, shift in (("s", size - 1, 0), ("d", size - 1, 0), ("i", size, 1)):
+    for role, stop, shift in (("m", size - 1, 0), ("i", size, 1)):
         longer, right, before = size + shift, 0, None
         for i in range(1, stop):
             # behind the edit, and ending where no gram from before it can reach
@@ -153,7 +153,7 @@ def unaffected(word: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = Q
                 out[-1][2] = i
                 continue
             before = (left[i], right)
-            merged = (role == "s", longer, tuple((a, p[a : e + 1]) for a, e, _ in found[: left[i]]), tuple((size - a, p[a : e + 1]) for a, e, _ in found[right:]))
+            merged = (longer, tuple((a, p[a : e + 1]) for a, e, _ in found[: left[i]]), tuple((size - a, p[a : e + 1]) for a, e, _ in found[right:]))
             out.append([role, i, i, merged])
     return [tuple(x) for x in out]
 
@@ -161,7 +161,7 @@ def unaffected(word: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = Q
 def affected_bound(word: str, grams: frozenset[str], qmin: int = QMIN, qmax: int = QMAX) -> tuple[int, int]:
     """(number of grams of a word, how many of them one edit affects at most); near words share at least the difference."""
     n = len(decompose(START + word + END, grams, qmin, qmax))
-    return n, max(n - len(m[2]) - len(m[3]) for _, _, _, m in unaffected(word, grams, qmin, qmax))
+    return n, max(n - len(m[1]) - len(m[2]) for _, _, _, m in unaffected(word, grams, qmin, qmax))
 
 
 def _lists(words: DataFrame, grams: frozenset[str]) -> DataFrame:
@@ -175,7 +175,9 @@ def _lists(words: DataFrame, grams: frozenset[str]) -> DataFrame:
                 columns = zip(*out) if out else ([],) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=names)
 
-    return words.select("word").mapInArrow(run, "list long, role string, lo int, hi int, word string")
+    # a task gets as many words as another, however few files they lie in
+    spread = words.select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return spread.mapInArrow(run, "list long, role string, lo int, hi int, word string")
 
 
 def near_pairs(words: DataFrame, grams: frozenset[str]) -> DataFrame:
@@ -187,9 +189,9 @@ def near_pairs(words: DataFrame, grams: frozenset[str]) -> DataFrame:
     behind = F.col("at") + F.when(F.col("role") == "i", 0).otherwise(1)
     split = at.select(F.xxhash64("list", "at", F.substr("word", F.lit(1), F.col("at") - 1), F.lit("|"), F.substr("word", behind)).alias("list"), "role", "word")
     merged = staged(short.union(split), "merged")
-    one = merged.where("role <> 'i'").select("list", "role", F.col("word").alias("a"))
-    other = merged.where("role <> 'd'").select("list", F.col("role").alias("_role"), F.col("word").alias("b"))
-    fits = F.when(F.col("role") == "s", (F.col("_role") == "s") & (F.col("a") < F.col("b"))).otherwise(F.col("_role") == "i")
+    one = merged.where("role = 'm'").select("list", F.col("word").alias("a"))
+    other = merged.select("list", "role", F.col("word").alias("b"))
+    fits = (F.col("role") == "i") | (F.col("a") < F.col("b"))
     return one.join(other, "list").where(fits & (F.levenshtein("a", "b", 1) == 1)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -263,7 +263,7 @@ def test_near_words_share_a_merged_list():
             total, hit = spelling.affected_bound(w, grams, 2, qmax)
             assert hit < total or len(w) < 2 * qmax - 2
             for t in set(edits(w, letters)) - {w}:
-                mine, other = {0: "ss", 1: "di", -1: "id"}[len(w) - len(t)]
+                mine, other = {0: "mm", 1: "mi", -1: "im"}[len(w) - len(t)]
                 assert of(w, mine) & of(t, other)
 
 
