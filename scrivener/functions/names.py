@@ -72,20 +72,45 @@ def split_name(c: Column) -> Column:
     return F.struct(*[F.when(filled, x).alias(a) for x, a in ((last, "last"), (first, "first"), (middle, "middle"), (suffix, "suffix"))], (filled & plain & (F.size(units) != 1)).alias("guessed"))
 
 
+def _newborn_words(part: Column) -> Column:
+    """Struct (phrase, words that say it) for the first words of a part of a name; null if they say none."""
+    words = F.filter(F.split(collapse(part), " "), lambda w: w != "")
+    fold = lambda i: F.translate(F.replace(F.regexp_replace(F.upper(F.get(words, F.lit(i))), "[^A-Z0-9|!]", ""), F.lit("13"), F.lit("B")), NEWBORN_FROM, NEWBORN_TO)
+    girls, boys = ([w.replace("0", "O") for w in ws] for ws in (GIRL, BOY))
+    first, second, out = fold(0), fold(1), F.lit(None).cast("struct<phrase: string, words: int>")
+    unsure = F.when((F.length(first) >= 4) & second.isin(*girls, *boys), first)
+    baby = first.isin(*BABY) | F.coalesce(similarity(F.lit("BABY"), unsure) >= BABY_CUTOFF, F.lit(False))
+    for phrase, ws in (("BABY BOY", boys), ("BABY GIRL", girls)):
+        glued = first.rlike(rf"^(?:{'|'.join(BABY)})(?:{'|'.join(ws)})$")
+        say = lambda n: F.struct(F.lit(phrase).alias("phrase"), F.lit(n).alias("words"))  # noqa: B023, E731
+        out = F.when(glued, say(1)).when(baby & second.isin(*ws), say(2)).otherwise(out)
+    return out
+
+
 def newborn(c: Column) -> Column:
-    """``BABY GIRL`` or ``BABY BOY`` if the first words of a name say so, read with look-alike digits; else null.
+    """``BABY GIRL`` or ``BABY BOY`` if a name says so where it starts or after its first comma, read with look-alike digits; else null.
 
     A first word that is no known spelling counts if it has four letters or more, is close
     enough to BABY, and the second word is a known spelling.
     """
-    fold = F.translate(F.replace(F.regexp_replace(F.upper(collapse(c)), "[^A-Z0-9|! ]", ""), F.lit("13"), F.lit("B")), NEWBORN_FROM, NEWBORN_TO)
-    baby = "|".join(BABY)
-    girls, boys = ([w.replace("0", "O") for w in ws] for ws in (GIRL, BOY))
-    first, second = F.get(F.split(fold, " "), F.lit(0)), F.get(F.split(fold, " "), F.lit(1))
-    unsure = F.when((F.length(first) >= 4) & second.isin(*girls, *boys), first)
-    near = F.coalesce(similarity(F.lit("BABY"), unsure) >= BABY_CUTOFF, F.lit(False))
-    known = lambda ws: fold.rlike(rf"^(?:{baby}) ?(?:{'|'.join(ws)})\b")
-    return F.when(known(girls) | (near & second.isin(*girls)), "BABY GIRL").when(known(boys) | (near & second.isin(*boys)), "BABY BOY")
+    return F.coalesce(_newborn_words(_after_comma(c))["phrase"], _newborn_words(F.substring_index(c, ",", 1))["phrase"])
+
+
+def _after_comma(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit(",")), F.regexp_replace(c, "^[^,]*,", ""))
+
+
+def clean_newborn(c: Column) -> Column:
+    """The name with its newborn phrase, after the comma if there is one, written properly; any other name as it was."""
+    given = _after_comma(c)
+    part = F.coalesce(given, c)
+
+    def said(found: Column) -> Column:
+        words = F.filter(F.split(collapse(part), " "), lambda w: w != "")
+        whole = F.concat_ws(" ", found["phrase"], F.slice(words, found["words"] + 1, F.greatest(F.size(words), F.lit(1))))
+        return F.when(found.isNull(), c).when(given.isNotNull(), F.concat(F.trim(F.substring_index(c, ",", 1)), F.lit(", "), whole)).otherwise(whole)
+
+    return F.element_at(F.transform(F.array(_newborn_words(part)), said), 1)
 
 
 def restore_enye(c: Column, known: dict[str, str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
+from .signatures import similar_pairs
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, a: str, b: str, blocks: Sequence[tuple[Column, Column]]) -> DataFrame:
@@ -37,21 +38,23 @@ def near_entry(readings: DataFrame, entries: DataFrame, keys: Sequence[str], tex
     """``readings`` with the entry of their key that is closest, at least ``cutoff``, ties going to the heavier and then the smaller.
 
     A reading that is an entry itself gets none. Only entries whose length is within
-    max(2, a quarter) are compared: entries are copied to each length that they may meet.
+    max(2, a quarter) are compared; candidates come from an equi-join on signatures
+    (:func:`.signatures.similar_pairs`), and letters in common bound the similarity of those before it is taken.
     """
     from pyspark.sql import Window
 
-    distinct = readings.select(*keys, F.upper(text).alias("_t")).distinct().withColumn("_n", F.length("_t"))
-    size = F.length(entry)
-    spread = entries.select(*keys, F.upper(entry).alias("_e"), F.col(entry).alias("_shown"), F.col(weight).alias("_w"), F.explode(F.sequence(F.greatest(F.lit(1), F.floor(size * 3 / 4).cast("int") - 2), F.ceil(size * 4 / 3).cast("int") + 2)).alias("_n"))
-    pairs = distinct.join(spread, [*keys, "_n"]).where(F.abs(F.length("_e") - F.col("_n")) <= F.greatest(F.lit(2), F.floor(F.col("_n") / 4)))
+    named = entries.select(*keys, F.upper(entry).alias("_e"), F.col(entry).alias("_shown"), F.col(weight).alias("_w"))
+    distinct = readings.select(*keys, F.upper(text).alias("_t")).distinct()
+    known = distinct.join(named.select(*keys, F.col("_e").alias("_t")), [*keys, "_t"], "left_semi")
+    asked = distinct.join(known, [*keys, "_t"], "left_anti")
+    apart = F.greatest(F.lit(2), F.floor(F.col("size") / 4))
+    pairs = similar_pairs(asked, named, keys, "_t", "_e", cutoff, (F.col("size") - apart, F.col("size") + apart))
     # letters in common bound the similarity from above, without leaving the JVM
     holds = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     common = F.aggregate(F.array_distinct(F.split("_t", "")), F.lit(0), lambda a, c: a + F.least(holds(F.col("_t"), c), holds(F.col("_e"), c)))
-    exact = pairs.groupBy(*keys, "_t").agg(F.bool_or(F.col("_t") == F.col("_e")).alias("_known"))
-    scored = pairs.where(2 * common >= cutoff * (F.length("_t") + F.length("_e"))).withColumn("_s", similarity(F.col("_t"), F.col("_e"))).where(F.col("_s") >= cutoff)
+    scored = pairs.where(2 * common >= cutoff * (F.length("_t") + F.length("_e"))).withColumn("_s", similarity(F.col("_t"), F.col("_e"))).where(F.col("_s") >= cutoff).join(named, [*keys, "_e"])
     best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.desc("_s"), F.desc("_w"), "_e"))).where("_r = 1")
-    best = best.join(exact.where("not _known"), [*keys, "_t"]).select(*keys, "_t", F.col("_shown").alias("nearest"), F.col("_s").alias("nearest_score"))
+    best = best.select(*keys, "_t", F.col("_shown").alias("nearest"), F.col("_s").alias("nearest_score"))
     return readings.withColumn("_t", F.upper(text)).join(best, [*keys, "_t"], "left").drop("_t")
 
 

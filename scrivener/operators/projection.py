@@ -1,4 +1,4 @@
-"""Projections driven by metadata, typed values, header rows, keyed ladders."""
+"""Projections driven by metadata, typed values, header rows."""
 
 from __future__ import annotations
 
@@ -39,12 +39,3 @@ def drop_header_rows(df: DataFrame, group: Sequence[str], row: str, text: str, h
     rows = df.groupBy(*group, row).agg(F.count_if(F.col(text) != "").alias("_filled"), F.count_if(F.col(text).rlike(header)).alias("_heads"))
     placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(row)))
     return placed.where((F.col("_filled") >= filled) & ~((F.col("_place") <= first) & (F.col("_heads") >= words)))
-
-
-def lock_ladder(df: DataFrame, key: str, order: str, wrong: Column, *, free: int, step: int) -> DataFrame:
-    """Wrong attempts with how many came in a row (``wrongs``) and the lock that follows: ``step`` seconds for each beyond ``free``."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    streak = df.withColumn("_wrong", wrong).withColumn("_streak", F.sum(F.when(F.col("_wrong"), 0).otherwise(1)).over(w))
-    run = Window.partitionBy(key, "_streak").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = streak.withColumn("wrongs", F.count_if("_wrong").over(run)).where("_wrong")
-    return counted.withColumn("lock_seconds", F.when(F.col("wrongs") > free, step * (F.col("wrongs") - free)).otherwise(0)).drop("_wrong", "_streak")

@@ -69,15 +69,15 @@ def _(t):
 
 
 @query("x24_best_template", """WITH s AS (SELECT c_custkey, n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'odd' WHEN 1 THEN 'even' ELSE 'current' END IN ('current', CASE WHEN c_custkey % 2 = 1 THEN 'odd' ELSE 'even' END) AS fits,
-   1 - abs(c_acctbal::INTEGER % 25 - n_nationkey)::DOUBLE / 12 AS score FROM customer JOIN (SELECT n_nationkey AS own, n_regionkey AS region FROM nation) ON own = c_nationkey JOIN nation ON n_regionkey = region),
+   1 - abs(floor(c_acctbal)::INTEGER % 25 - n_nationkey)::DOUBLE / 12 AS score FROM customer JOIN (SELECT n_nationkey AS own, n_regionkey AS region FROM nation) ON own = c_nationkey JOIN nation ON n_regionkey = region),
  e AS (SELECT *, bool_or(fits) OVER (PARTITION BY c_custkey) AS any_fits FROM s)
- SELECT c_custkey, CASE WHEN max(score) > 0 THEN arg_max(n_nationkey, score * 1000000 - n_nationkey) END AS template, greatest(0.0, max(score)) AS score FROM e WHERE fits OR NOT any_fits GROUP BY 1""")
+ SELECT c_custkey, CASE WHEN max(score) > 0 THEN arg_max(n_nationkey, {'score': score, 'key': -n_nationkey}) END AS template, greatest(0.0, max(score)) AS score FROM e WHERE fits OR NOT any_fits GROUP BY 1""")
 def _(t):
     own = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
     parity = F.when(F.col("n_nationkey") % 3 == 0, "odd").when(F.col("n_nationkey") % 3 == 1, "even").otherwise("current")
     pairs = t.customer.join(own, "c_nationkey").join(t.nation, F.col("n_regionkey") == F.col("region"))
     fits = parity.isin("current") | (parity == F.when(F.col("c_custkey") % 2 == 1, "odd").otherwise("even"))
-    scored = pairs.select("c_custkey", "n_nationkey", fits.alias("fits"), (1 - F.abs(F.round("c_acctbal").cast("int") % 25 - F.col("n_nationkey")) / 12).alias("score"))
+    scored = pairs.select("c_custkey", "n_nationkey", fits.alias("fits"), (1 - F.abs(F.floor("c_acctbal").cast("int") % 25 - F.col("n_nationkey")) / 12).alias("score"))
     best = lambda ok: F.max(F.when(ok, F.struct("score", (-F.col("n_nationkey")).alias("k"))))
     top = scored.groupBy("c_custkey").agg(F.coalesce(best(F.col("fits")), best(F.lit(True))).alias("b"))
     return top.select("c_custkey", F.when(F.col("b.score") > 0, -F.col("b.k")).alias("template"), F.greatest(F.lit(0.0), F.col("b.score")).alias("score"))
@@ -204,6 +204,7 @@ def _(t):
     key, size, all_ = F.col("p_partkey"), F.col("p_size") % 5, F.sequence(F.lit(0), F.lit(19))
     src = F.transform(F.filter(all_, lambda k: (k + key) % 7 != 0), lambda k: (F.lit(100) + k * (F.lit(24) + size) + (k * key) % 3).cast("double"))
     dst = F.transform(F.filter(all_, lambda k: (k * 2 + key) % 5 != 1), lambda k: (F.lit(100) + key % 40 + k * (F.lit(25) + size) + (k + key) % 4).cast("double"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array((F.lit(90) + i * 130).cast("double"), (F.lit(160) + i * 130).cast("double")))
-    mapped = Y.rows_between_pages(t.part.select(key.alias("page"), src.alias("src"), dst.alias("dst"), bands.alias("bands")), "page")
+    ours, theirs = (t.part.select(key.alias("page"), F.explode(x).alias("y")) for x in (src, dst))
+    bands = t.part.select(key.alias("page"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("page", "i", (F.lit(90) + F.col("i") * 130).cast("double").alias("top"), (F.lit(160) + F.col("i") * 130).cast("double").alias("bottom"))
+    mapped = Y.rows_between_pages(ours, theirs, bands, "page")
     return mapped.select("page", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))

@@ -232,12 +232,36 @@ def _(t):
     return t.part.select("p_partkey", F.when(F.col("p_type") == "ECONOMY", forms("cf1", "csf")).when(F.col("p_type") == "SMALL", forms("cf1", "cf2", "cf4")).otherwise(forms("cf1", "cf2")).alias("forms"))
 
 
-@query("r11_lock_ladder", """WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS wrong, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS streak FROM events),
- c AS (SELECT *, count(*) FILTER (wrong) OVER (PARTITION BY user_id, streak ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS wrongs FROM e) SELECT user_id, event_id, wrongs, CASE WHEN wrongs >= 3 THEN 30 * (wrongs - 2) ELSE 0 END AS lock_seconds FROM c WHERE wrong""")
+#: Attempts to sign in: errors and clicks are wrong, sign-ups right, a few accounts share them; in DuckDB SQL and below in Spark.
+ATTEMPTS = """att AS (SELECT 'A' || (user_id % 4) AS account, event_id AS attempt, epoch_us(ts) AS us, event_type = 'signup' AS ok FROM events WHERE event_type IN ('error', 'click', 'signup')),
+ r AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY us, attempt) AS i FROM att),
+ walk AS (SELECT account, i, attempt, NULL::VARCHAR AS outcome, 0::BIGINT AS wrong, 0::BIGINT AS locks, 0::BIGINT AS until, 0::BIGINT AS seen, 0::BIGINT AS lock_seconds FROM (SELECT account, 0::BIGINT AS i, NULL::BIGINT AS attempt FROM r GROUP BY account)
+  UNION ALL SELECT account, i, attempt, CASE WHEN us < until THEN 'refused' WHEN ok THEN 'right' WHEN w + 1 < 5 THEN 'wrong' ELSE 'locked' END, CASE WHEN us < until THEN w WHEN ok OR w + 1 >= 5 THEN 0 ELSE w + 1 END,
+   CASE WHEN us < until THEN k WHEN ok THEN 0 WHEN w + 1 >= 5 THEN k + 1 ELSE k END, CASE WHEN us < until THEN until WHEN ok THEN 0 WHEN w + 1 >= 5 THEN us + [60, 300, 600][least(k, 2) + 1] * 1000000 ELSE until END,
+   CASE WHEN us < until THEN seen WHEN ok THEN 0 ELSE us END, CASE WHEN us < until THEN (until - us) // 1000000 + 1 WHEN NOT ok AND w + 1 >= 5 THEN [60, 300, 600][least(k, 2) + 1] ELSE 0 END
+  FROM (SELECT r.*, walk.until, walk.seen, CASE WHEN r.us - seen > 3600000000 AND r.us >= until THEN 0 ELSE wrong END AS w, CASE WHEN r.us - seen > 3600000000 AND r.us >= until THEN 0 ELSE locks END AS k FROM walk JOIN r ON r.account = walk.account AND r.i = walk.i + 1))
+ SELECT lower(account) AS account, attempt, outcome, CASE WHEN outcome IN ('refused', 'locked') THEN 0 ELSE 5 - wrong END::INTEGER AS attempts_left, lock_seconds FROM walk WHERE i > 0"""
+
+
+def attempts(events):
+    return events.where(F.col("event_type").isin("error", "click", "signup")).withColumn("account", F.concat(F.lit("A"), (F.col("user_id") % 4).cast("string")))
+
+
+@query("r11_lock_ladder", f"WITH RECURSIVE {ATTEMPTS}")
+def _(t):
+    from ..operators.ladder import lock_ladder
+
+    return lock_ladder(attempts(t.events), "account", "event_id", "ts", F.col("event_type") == "signup").drop("at")
+
+
+@query("st4_lock_ladder", f"WITH RECURSIVE {ATTEMPTS}")
 def _(t):
-    from ..operators.projection import lock_ladder
+    from ..operators.ladder import lock_ladder_stream
+    from ..streaming import windows
 
-    return lock_ladder(t.events, "user_id", "event_id", F.col("event_type") == "error", free=2, step=30).select("user_id", "event_id", "wrongs", "lock_seconds")
+    windows.with_rocksdb(t.spark)
+    stream = windows.closed(attempts(windows.event_stream(t.spark, t.folder, "events")))
+    return windows.drain(lock_ladder_stream(stream, "account", "event_id", "ts", F.col("event_type") == "signup"), "ladder", "append").drop("at")
 
 
 @query("r12_suggestion")

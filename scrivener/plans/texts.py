@@ -128,11 +128,13 @@ def _(t):
     return t.customer.select("c_custkey", N.split_name(name).alias("n")).select("c_custkey", "n.last", "n.first", "n.middle", "n.suffix")
 
 
-@query("f22_newborn", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'BABY GIRL' WHEN 1 THEN 'BABY BOY' END AS baby FROM customer")
+@query("f22_newborn", """SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 3) THEN 'BABY GIRL' WHEN c_custkey % 6 IN (1, 4, 5) THEN 'BABY BOY' END AS baby,
+ CASE c_custkey % 6 WHEN 0 THEN 'BABY GIRL ' || c_mktsegment WHEN 1 THEN 'BABY BOY ' || c_mktsegment WHEN 2 THEN 'MARY ' || c_mktsegment WHEN 3 THEN 'DELA CRUZ, BABY GIRL ' || c_mktsegment WHEN 4 THEN 'BABY BOY REYES, ' || c_mktsegment ELSE 'REYES, BABY BOY' END AS written FROM customer""")
 def _(t):
-    k = F.col("c_custkey") % 3
-    name = F.concat(F.when(k == 0, "8ABY GIRI ").when(k == 1, "BB. B0Y ").otherwise("MARY "), "c_mktsegment")
-    return t.customer.select("c_custkey", N.newborn(name).alias("baby"))
+    k, rest = F.col("c_custkey") % 6, F.col("c_mktsegment")
+    name = F.when(k == 0, F.concat(F.lit("8ABY GIRI "), rest)).when(k == 1, F.concat(F.lit("BB. B0Y "), rest)).when(k == 2, F.concat(F.lit("MARY "), rest))
+    name = name.when(k == 3, F.concat(F.lit("DELA CRUZ , BB GRL "), rest)).when(k == 4, F.concat(F.lit("BABY BOY REYES, "), rest)).otherwise("REYES,BBYBOI")
+    return t.customer.select("c_custkey", N.newborn(name).alias("baby"), N.clean_newborn(name).alias("written"))
 
 
 @query("f23_restore_enye", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDIÑG ' ELSE c_mktsegment || ' ' END || c_nationkey AS v FROM customer")

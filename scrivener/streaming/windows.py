@@ -35,6 +35,24 @@ def first_seen(events: DataFrame, keys: list[str], *, ts: str = "ts", late: str
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def closed(stream: DataFrame, ts: str = "ts") -> DataFrame:
+    """The stream with one more row, far in the future and null but for ``ts``: with it the watermark passes all the others."""
+    spark = stream.sparkSession
+    end = scratch(spark, "end-of-stream")
+    row = [F.lit("2200-01-01").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.parquet(end)
+    return stream.union(spark.readStream.schema(stream.schema).parquet(end))
+
+
+#: The state store that keyed state with timers needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and reads back what came out.
 

@@ -58,6 +58,12 @@ def test_names(spark):
     assert [(g["last"], g["first"], g["middle"], g["suffix"]) for g in got] == list(cases.values())
 
 
+def test_newborn_after_a_comma(spark):
+    names = ["QUIADO, BB GIRL", "QUIADO,BBYBOI", "BABY BOY REYES, ANA", "DELA CRUZ , BB B0Y", "REYES, ANA", ",", "", None, "BBY GRL DELA CRUZ", "BABYGIRL"]
+    assert one(spark, names, N.newborn) == ["BABY GIRL", "BABY BOY", "BABY BOY", "BABY BOY", None, None, None, None, "BABY GIRL", "BABY GIRL"]
+    assert one(spark, names, N.clean_newborn) == ["QUIADO, BABY GIRL", "QUIADO, BABY BOY", "BABY BOY REYES, ANA", "DELA CRUZ, BABY BOY", "REYES, ANA", ",", "", None, "BABY GIRL DELA CRUZ", "BABY GIRL"]
+
+
 def test_newborn(spark):
     assert one(spark, ["8ABY GIRI CRUZ", "BB. B0Y X", "13ABY GIRL", "MARY", None], N.newborn) == ["BABY GIRL", "BABY BOY", "BABY GIRL", None, None]
 
