@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
 from ..functions.text import collapse, like_case
+from ..sources.sinks import kept
 from .linkage import near_entry
 
 #: How close a word, a whole value and the word before a city must come to an entry; the least length of half a word.
@@ -99,12 +100,12 @@ def correct(df: DataFrame, keys: Sequence[str], text: str, name: str, *, values:
     row = "_reading"
     distinct = df.select(*keys, collapse(F.col(text)).alias(row)).where(f"{row} <> ''").distinct()
     whole = distinct.withColumn("wrong", F.upper(row)).join(values.select(*keys, "wrong", F.col("correct").alias("_v")), [*keys, "wrong"], "left").drop("wrong")
-    near = near_entry(whole, entries.where("entry_type = 'value'"), keys, row, "entry", "weight", VALUE_MATCH).drop("nearest_score")
+    near = kept(near_entry(whole, entries.where("entry_type = 'value'"), keys, row, "entry", "weight", VALUE_MATCH).drop("nearest_score"), "values")
     open_ = near.where("_v is null and nearest is null").select(*keys, row, F.posexplode(F.split(row, " ")).alias("_i", "_w"))
     vocabulary = entries.where("entry_type = 'word'")
-    single = open_.select(*keys, "_w").distinct().withColumn("wrong", F.upper("_w")).join(words.select(*keys, "wrong", F.col("correct").alias("_c")), [*keys, "wrong"], "left").drop("wrong")
+    single = kept(open_.select(*keys, "_w").distinct().withColumn("wrong", F.upper("_w")).join(words.select(*keys, "wrong", F.col("correct").alias("_c")), [*keys, "wrong"], "left").drop("wrong"), "words")
     plain = F.col("_w").rlike(r"^\p{L}{3,}$") & F.col("_c").isNull()
-    found = nearest_or_same(single.where(plain), vocabulary, keys, "_w", WORD_MATCH).select(*keys, "_w", F.col("found").alias("_f"))
+    found = kept(nearest_or_same(single.where(plain), vocabulary, keys, "_w", WORD_MATCH).select(*keys, "_w", F.col("found").alias("_f")), "found")
     apart = split_run_together(found.where("_f is null"), vocabulary, keys, "_w").select(*keys, "_w", "left", "right")
     fixed = single.join(found, [*keys, "_w"], "left").join(apart, [*keys, "_w"], "left")
     cased = lambda c: like_case(F.col("_w"), F.col(c))

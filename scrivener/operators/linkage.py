@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity
+from ..sources.sinks import kept
 from .signatures import similar_pairs
 
 
@@ -43,8 +44,8 @@ def near_entry(readings: DataFrame, entries: DataFrame, keys: Sequence[str], tex
     """
     from pyspark.sql import Window
 
-    named = entries.select(*keys, F.upper(entry).alias("_e"), F.col(entry).alias("_shown"), F.col(weight).alias("_w"))
-    distinct = readings.select(*keys, F.upper(text).alias("_t")).distinct()
+    named = kept(entries.select(*keys, F.upper(entry).alias("_e"), F.col(entry).alias("_shown"), F.col(weight).alias("_w")), "entries")
+    distinct = kept(readings.select(*keys, F.upper(text).alias("_t")).distinct(), "readings")
     known = distinct.join(named.select(*keys, F.col("_e").alias("_t")), [*keys, "_t"], "left_semi")
     asked = distinct.join(known, [*keys, "_t"], "left_anti")
     apart = F.greatest(F.lit(2), F.floor(F.col("size") / 4))
@@ -54,7 +55,7 @@ def near_entry(readings: DataFrame, entries: DataFrame, keys: Sequence[str], tex
     common = F.aggregate(F.array_distinct(F.split("_t", "")), F.lit(0), lambda a, c: a + F.least(holds(F.col("_t"), c), holds(F.col("_e"), c)))
     scored = pairs.where(2 * common >= cutoff * (F.length("_t") + F.length("_e"))).withColumn("_s", similarity(F.col("_t"), F.col("_e"))).where(F.col("_s") >= cutoff).join(named, [*keys, "_e"])
     best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.desc("_s"), F.desc("_w"), "_e"))).where("_r = 1")
-    best = best.select(*keys, "_t", F.col("_shown").alias("nearest"), F.col("_s").alias("nearest_score"))
+    best = kept(best.select(*keys, "_t", F.col("_shown").alias("nearest"), F.col("_s").alias("nearest_score")), "nearest")
     return readings.withColumn("_t", F.upper(text)).join(best, [*keys, "_t"], "left").drop("_t")
 
 

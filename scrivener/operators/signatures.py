@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import kept
+
 #: A signature whose two sides would make more pairs than this is split by one more letter.
 MANY_PAIRS = 20_000
 
@@ -49,12 +51,15 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str
     right text of a left one). A signature with over ``many`` pairs is split by a third
     common letter. Null texts pair with nothing, empty ones neither.
     """
-    ls, rs = (df.select(*keys, F.col(c).alias("text")).where(F.length(c) > 0).distinct() for df, c in ((left, a), (right, b)))
+    ls, rs = (kept(df.select(*keys, F.col(c).alias("text")).where(F.length(c) > 0).distinct(), "texts") for df, c in ((left, a), (right, b)))
     counts = rs.select(F.explode(numbered_letters(F.col("text"))).alias("_l")).groupBy(F.xxhash64("_l").alias("_l")).agg(F.count("*").alias("_n"))
     low, high = most_apart
+    counts = kept(counts, "letters")
     lr = _rows(_by_rarity(ls, keys, counts), keys, "_m", "_n", (low, high), cutoff)
+    lr = kept(lr, "signatures")
     # sizes of left texts that may meet a right one: a superset, cut down by the join on both sizes
     rr = _rows(_by_rarity(rs, keys, counts), keys, "_n", "_m", (F.ceil(F.col("size") * cutoff / (2 - cutoff) - 1e-9), F.floor(F.col("size") * (2 - cutoff) / cutoff + 1e-9)), cutoff)
+    rr = kept(rr, "signatures")
     on = [*keys, "_m", "_n", "x", "y"]
     sizes = lr.groupBy(*on).agg(F.count("*").alias("_l")).join(rr.groupBy(*on).agg(F.count("*").alias("_r")), on)
     hot = sizes.where(F.col("_l") * F.col("_r") > many).select(*on, F.lit(True).alias("_hot"))

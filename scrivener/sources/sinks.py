@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/scrivener/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read again, so that plans that use it several times do not grow with what made it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Every column as text for flat files: lists joined by ``; ``, and text that a spreadsheet would take for a formula quoted."""
     out = []
