@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -79,30 +80,45 @@ def _prefilled(sizes: np.ndarray, counts: np.ndarray, budget: int, words: int) -
 def _nearest_sum(sizes: np.ndarray, counts: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
     """Bounded knapsack: documents of each size whose sum is as near to ``rest`` as any, and how far it is.
 
-    Dynamic programming on the set of reachable sums, a bit each; of equals the lower sum.
+    Dynamic programming on the set of reachable sums, a bit each, in units of the sizes'
+    common divisor; of equals the lower sum. Of n steps only the sets at every sqrt(n)-th are
+    kept; going back, those between are made again.
     """
-    most = 2 * rest  # a sum further above than that is further away than taking nothing
-    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+    unit = int(np.gcd.reduce(sizes)) if len(sizes) else 1
+    low, above = divmod(rest, unit)
+    best = low if 2 * above <= unit else low + 1  # the nearest multiple, if it can be reached
+    most = 2 * low + 1  # a sum further above than that is further away than taking nothing
+    mask, steps = (1 << (most + 1)) - 1, []
     for i in np.argsort(sizes, kind="stable").tolist():
-        s, n = int(sizes[i]), 1
-        if s > most or reach >> rest & 1:
-            break
+        s, n = int(sizes[i]) // unit, 1
         left = min(int(counts[i]), most // s)
         while left > 0:  # counts in binary parts
             n = min(n, left)
-            steps.append((i, n, reach))
-            reach |= (reach << (n * s)) & mask
+            steps.append((i, n, n * s))
             left -= n
             n *= 2
-    goal = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    if over := reach >> (rest + 1):
-        above = rest + (over & -over).bit_length()
-        goal = above if above - rest < rest - goal else goal
-    off, taken = abs(goal - rest), np.zeros(len(sizes), np.int64)
-    for i, n, without in reversed(steps):
-        if not without >> goal & 1:
-            taken[i] += n
-            goal -= n * int(sizes[i])
+    every = max(1, math.isqrt(len(steps)))
+    reach, kept = 1, []
+    for k, (_, _, size) in enumerate(steps):
+        if k % every == 0:
+            kept.append(reach)
+        if reach >> best & 1:
+            del steps[k:]
+            break
+        reach |= (reach << size) & mask
+    goal = (reach & ((1 << (low + 1)) - 1)).bit_length() - 1
+    if over := reach >> (low + 1):
+        higher = low + (over & -over).bit_length()
+        goal = higher if higher * unit - rest < rest - goal * unit else goal
+    off, taken = abs(goal * unit - rest), np.zeros(len(sizes), np.int64)
+    for first in range((len(steps) - 1) // every * every if steps else -1, -1, -every):
+        between = [kept[first // every]]
+        for _, _, size in steps[first : first + every - 1]:
+            between.append(between[-1] | (between[-1] << size) & mask)
+        for (i, n, size), without in zip(reversed(steps[first : first + every]), reversed(between[: len(steps) - first])):
+            if not without >> goal & 1:
+                taken[i] += n
+                goal -= size
     return taken, off
 
 
@@ -120,10 +136,12 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_words: int
     budget = min(int(budget), int((s * c).sum()))
     if budget <= 0:
         return out
+    unit = int(np.gcd.reduce(s))
+    least = min(budget % unit, -budget % unit)
     while True:
         taken = _prefilled(s, c, budget, dp_words)
         more, off = _nearest_sum(s, c - taken, budget - int((taken * s).sum()))
-        if not off or not taken.any() or dp_words >= MOST_DP_WORDS:
+        if off <= least or not taken.any() or dp_words >= MOST_DP_WORDS:
             out[some] = taken + more
             return out
         dp_words = min(4 * dp_words, MOST_DP_WORDS)
