@@ -161,7 +161,7 @@ def prior_findings(known: DataFrame) -> DataFrame:
     """Generated findings with ``label``, so that a forest can be fitted to any corpus: ``PRIOR_ROWS`` of either label, from hashes of their numbers.
 
     1: keys of letters and digits, in capitals, hexadecimal or base 64, and passwords with signs. 0: plain numbers,
-    dates and times, paths, and identifiers made of the dictionary's own words and of such
+    dates and times, paths, serial numbers in groups, and identifiers made of the dictionary's own words and of such
     words read backwards, as it knows not every word. They stand in prose, between words of the dictionary.
     """
     spark = known.sparkSession
@@ -178,7 +178,7 @@ def prior_findings(known: DataFrame) -> DataFrame:
     plain = F.when(F.col("k") % 5 == 0, F.substr(F.concat(number(3, 10**15).cast("string"), number(4, 10**15).cast("string")), F.lit(1), F.least(size, F.lit(20))))
     plain = plain.when(F.col("k") % 5 == 1, F.date_format(F.timestamp_seconds(number(5, 2 * 10**9)), "yyyy-MM-dd-HH-mm-ss")).when(F.col("k") % 5 == 2, F.concat_ws("/", spoken("a"), spoken("b"), F.concat(F.lit("part-"), F.lpad(number(6, 10**4).cast("string"), 5, "0"))))
     strange = lambda salt: F.when(F.col("k") % 2 == 0, F.reverse(spoken(salt))).otherwise(spoken(salt))
-    plain = plain.when(F.col("k") % 5 == 3, F.concat_ws("_", strange("c"), F.when(F.col("k") % 3 == 0, (2000 + number(13, 30)).cast("string")), strange("d"), strange("e"), F.when(F.col("k") % 4 < 2, strange("i")), number(7, 3000).cast("string"))).otherwise(F.concat_ws("-", *[number(s, 10**4).cast("string") for s in range(8, 12)], number(12, 10**4).cast("string")))
+    plain = plain.when(F.col("k") % 5 == 3, F.concat_ws("_", strange("c"), F.when(F.col("k") % 3 == 0, (2000 + number(13, 30)).cast("string")), strange("d"), strange("e"), F.when(F.col("k") % 4 < 2, strange("i")), number(7, 3000).cast("string"))).otherwise(F.concat_ws("-", *[F.when(number(20 + s, 3) == 0, F.translate(F.substring(h(str(s)), 1, 4), "0123456789", "ghijklmnop")).otherwise(number(s, 10**4).cast("string")) for s in range(8, 13)]))
     rows = n.crossJoin(F.broadcast(listed))  # one row: the dictionary
     return rows.select(F.when(F.col("label") == 1, secret).otherwise(plain).alias("value"), "label", spoken("f").alias("before2"), spoken("g").alias("before"), spoken("h").alias("after"), F.lit(None).cast("string").alias("path")).withColumn("word", F.col("value"))
 
