@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, files, layout, learning, records, relational, reviews, texts  # noqa: F401
+from .plans import aggregates, claims, files, layout, learning, records, relational, reviews, texts  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a19_precision_recall"
