@@ -30,6 +30,8 @@ PRINT_WORDS, PRINT_RADIUS = 4, 72
 BANDS, BAND_HASHES = 21, 3
 #: The partners of one text are compared in as many tasks.
 SALTS = 16
+#: Bands of more sets than this are split: by chance where sets ask for their centre only, else by a second band.
+HOT_BAND = 2000
 
 _rng = np.random.default_rng(20240307)
 _XOR = _rng.integers(0, 2**63, BANDS * BAND_HASHES, dtype=np.uint64)
@@ -193,7 +195,9 @@ def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, .
     their own. Each set is first compared with the nearest of the sets in the middle of its
     bands, then, unless linked already, with the others of these, then with whatever else
     shares a band and is not linked yet, so a group of many near copies makes few pairs. Every pair within the radius that shares a band is
-    decided on its sets: links are never wrong, and one in a million at most is lost.
+    decided on its sets: links are never wrong, and one in a million at most is lost. A band of over
+    ``HOT_BAND`` sets that are not linked yet is split by a second band, so no task compares all of it; of pairs
+    at 4/5 that share such a band, seven in a million share no second one.
     Rows with a null key get the component of their text but name none.
     """
     spark = docs.sparkSession
@@ -203,9 +207,26 @@ def near_duplicates(docs: DataFrame, *, text: str, key: str, carry: tuple[str, .
     members = staged(one.select("sig", "_of", "n", "fp", "odd").join(rows.select("sig").distinct(), "sig", "left_semi"), "members")
     release(spark)
 
+    crowded = staged(rows.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > HOT_BAND), "crowded")
+
+    def by_chance() -> DataFrame:
+        """Bands, crowded ones in parts of about ``HOT_BAND`` sets; which sets come together differs from band to band."""
+        part = F.pmod(F.xxhash64("sig", "h"), F.ceil(F.col("size") / HOT_BAND))
+        return rows.join(crowded, "h", "left").select(F.when(F.col("size").isNotNull(), F.xxhash64("h", part)).otherwise(F.col("h")).alias("h"), "sig")
+
+    def by_second_band(roots: DataFrame) -> DataFrame:
+        """Bands that hold unlike roots, crowded ones split by each other band that their sets have."""
+        rooted = rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        open_ = staged(rows.join(mixed, "h", "left_semi"), "mixed")
+        hot = open_.join(crowded.select("h"), "h", "left_semi").join(one.select("sig", F.explode("bands").alias("_other")), "sig").where("h <> _other")
+        # a band of two crowded bands is the same from either side
+        split = hot.select(F.xxhash64(F.least("h", "_other"), F.greatest("h", "_other")).alias("h"), "sig").distinct()
+        return open_.join(crowded.select("h"), "h", "left_anti").union(split)
+
     def candidates(roots: DataFrame, star: bool) -> DataFrame:
         labelled = members.drop("_of").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        wide = rows.join(labelled, "sig").select("h", "sig", "n", "fp", "odd", "root")
+        wide = (by_chance() if star else by_second_band(roots)).join(labelled, "sig").select("h", "sig", "n", "fp", "odd", "root")
         return wide.repartition("h").mapInArrow(_pairs(star), "a long, b long, d long").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -307,3 +307,30 @@ def test_spelling_query_agrees_with_sql(spark, duck):
     got = QUERIES["op13_spelling_variants"](spark, SF)
     want = duck.sql(ORACLES["op13_spelling_variants"])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+# ---- crowded bands of the pipeline's near duplicates -------------------------------------------------
+@pytest.mark.parametrize("hot", [2000, 5])
+def test_crowded_bands_are_split_and_lose_nothing(spark, monkeypatch, hot):
+    """Many texts around one long passage, in groups of near copies: bands of the passage hold texts of all groups."""
+    from scrivener.llm import similar
+
+    monkeypatch.setattr(similar, "HOT_BAND", hot)
+    rng = np.random.default_rng(23)
+    passage = [f"p{x}" for x in range(200)]
+    texts = []
+    for group in range(25):
+        own = [f"g{group}w{x}" for x in rng.integers(0, 999, int(rng.integers(60, 160)))]
+        for changed in (0, 1, 3, 8):
+            other = passage + own
+            for at in rng.integers(0, len(other), changed):
+                other[at] = f"x{rng.integers(0, 99)}"
+            texts.append(" ".join(other))
+    sets, root = [set(similar.shingle_set(t).tolist()) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs, text="text", key="doc_id").collect()}
+    assert got == dict(enumerate(root)) and len(near) > 60 and len(set(root)) > 5
