@@ -52,6 +52,34 @@ def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value
     return df.withColumn(name, F.coalesce(found, default) if default is not None else found)
 
 
+def fill_down_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, missing: Column, name: str, *, own: bool = True, default: Column | None = None) -> DataFrame:
+    """:func:`fill_down` where a key may hold any share of the rows, up to all: a scan in two passes over ranges of (``keys``, ``order``).
+
+    Rows are dealt out by ranges and written once. Each range is filled by itself, side by
+    side with the others of its key; the last value of each key in each range is a row of a
+    small table, and the latest of the ranges before is carried into a range that its key
+    enters. Only keys that lie in several ranges are in that table, so it has at most two rows a
+    range and is sent to all tasks. Columns of ``order`` ascend, nulls first, and should not tie.
+    """
+    path = scratch(df.sparkSession, "ranges")
+    value_, range_ = "_value", "_range"
+    df.withColumn(value_, F.when(~missing, value)).repartitionByRange(*keys, *order).withColumn(range_, F.spark_partition_id()).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    frame = Window.partitionBy(range_, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    local = held.withColumn("_local", F.last(value_, ignorenulls=True).over(frame))
+    known = F.when(F.col(value_).isNotNull(), F.struct(*order))
+    ends = held.groupBy(range_, *keys).agg(F.max_by(value_, known).alias("_last"))
+    # a key in several ranges lies at an end of each of them
+    span = ends.groupBy(*keys).agg(F.min(range_).alias("_lo"), F.max(range_).alias("_hi")).where("_lo < _hi")
+    same = [F.col(f"ends.{k}").eqNullSafe(F.col(f"span.{k}")) for k in keys]
+    several = ends.alias("ends").join(F.broadcast(span.alias("span")), same, "left_semi") if keys else ends
+    earlier = Window.partitionBy(*keys).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
+    carry = several.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).where("_carry is not null").select(F.col(range_).alias("_in"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_carry")
+    on = [F.col(range_) == F.col("_in"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    filled = F.coalesce("_local", "_carry", *([default] if default is not None else []))
+    return local.join(F.broadcast(carry), on, "left").select(*df.columns, filled.alias(name))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Column, gap: Column | float, name: str = "island") -> DataFrame:
     """Numbers the runs of rows whose successive ``order`` values are at most ``gap`` apart."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -66,3 +66,28 @@ def test_bad_rows_are_reported_and_their_rules_left_out(spark):
     assert "no number" in problems[4].why and "pattern" in problems[5].why and "unlike the first" in problems[10].why
     with pytest.raises(ValueError, match="more than"):
         L.compile_rules(spark.range(L.MOST_CONDITIONS + 1).select(*[F.lit("x").alias(c) for c in HEAD]), df)
+
+
+def test_fill_down_over_ranges_equals_the_window(spark):
+    """A key with most rows, keys of one row, null keys, ranges without any value: as one window over the key."""
+    import random
+
+    from scrivener.operators import ordered as W
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 30 + ["a", None]), i, rng.choice([None, None, "x", "y", f"v{i}"])) for i in range(3000)]
+    rows += [("hot", i, None) for i in range(3000, 4000)] + [(f"k{i}", i, "z") for i in range(4000, 4050)]
+    df = spark.createDataFrame(rows, "k string, i int, v string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for own, default in ((True, None), (False, F.lit("none"))):
+            for keys in (["k"], []):
+                args = (F.col("v"), F.col("v") == "y")
+                got = W.fill_down_ranges(df, keys, ["i"], *args, "f", own=own, default=default)
+                want = W.fill_down(df, keys, [F.col("i")], *args, "f", own=own, default=default)
+                assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        parts = W.fill_down_ranges(df, [], ["i"], F.col("v"), F.lit(False), "f").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert W.fill_down_ranges(df.limit(0), ["k"], ["i"], F.col("v"), F.lit(False), "f").count() == 0
