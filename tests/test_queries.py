@@ -1,5 +1,7 @@
 """Every registered record query against its SQL in DuckDB; those that SQL cannot express against brute force over the same rows."""
 
+import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -67,7 +69,23 @@ CLUES = ["small ring", "red widget", "blue bolt"]
 LONG = {"SMALL RING": 30 - 9, "RED": 30 - 3, "LARGE WIDGET": 30 - 11}
 NAMES = ["widget", "bolt", "gear", "ring", "panel", "valve", "nut", "frame"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+def rare_words(t):
+    """Each word that documents hold once with the closest common one, all pairs of like length compared."""
+    n = Counter(w for r in t.documents.collect() for w in re.findall("[a-z]{8,12}", (r["text"] or "").lower()))
+    common, out = {w.upper(): c for w, c in n.items() if c >= 10}, []
+    for w in (w for w, c in n.items() if c == 1):
+        m, best = SequenceMatcher(None, "", ""), None
+        for e, c in common.items():
+            if abs(len(e) - len(w)) <= max(2, len(w) // 4):
+                m.set_seqs(w.upper(), e)
+                if m.quick_ratio() >= 0.85 and (s := m.ratio()) >= 0.85:
+                    best = min(best or (0, 0, ""), (-s, -c, e))
+        out.append((w, best[2].lower() if best else None, -best[0] if best else None))
+    return out
+
+
 BRUTE = {
+    "j08_rare_words": (("word", "nearest", "nearest_score"), rare_words),
     "f09_gestalt_similarity": (("p_partkey", "ratio"), lambda t: [(r["p_partkey"], ratio(r["a"], r["b"])) for r in near(t).collect() if r["b"] is not None]),
     "f10_close_match": (("cell", "nearest"), lambda t: [(r["cell"], closest(r["raw"].rsplit(" ", 1)[-1].lower(), NAMES, 0.6)) for r in read(t)]),
     "f11_clue_scores": (("cell", "scores"), lambda t: [(r["cell"], [clue_score(c, r["raw"]) for c in ("small ring", "widget", "blu")]) for r in cells(t).collect()]),
