@@ -33,10 +33,12 @@ OPEN = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[089abAB][0-9a-fA
 _BODY = r"[A-Za-z0-9+/_=\-]"
 #: A run of 16 or more key characters with a digit, looked at from its start only (so in linear time), or whatever is assigned to a secret's name within one word.
 LONG = rf"(?<!{_BODY})(?=[A-Za-z+/_=\-]*[0-9]){_BODY}{{16,}}"
-_ASSIGN = "(?i)(?:" + "|".join(PLAIN_NAMES) + "|(?<![a-z0-9])(?:" + "|".join(n for n in NAMES if n not in PLAIN_NAMES) + r"))[\"'`\])]*(?:=>|:=|[=:])[\"'`]?"
+#: A name of a secret; the first letter is looked at before the names are tried, as most places have another.
+_NAMED = "(?i)(?=[" + "".join(sorted({n[0] for n in NAMES})) + "])(?:" + "|".join(PLAIN_NAMES) + "|(?<![a-z0-9])(?:" + "|".join(n for n in NAMES if n not in PLAIN_NAMES) + "))"
+_ASSIGN = _NAMED + r"[\"'`\])]*(?:=>|:=|[=:])[\"'`]?"
 ASSIGNED = _ASSIGN + r"""([^\s"'`<>]{6,})"""
 #: What some part of a text must match for it to hold a candidate.
-LOOSE = r"(?i)(?<![a-z0-9])(?:" + "|".join(NAMES) + r")\W*[=:]|PRIVATE KEY-----|" + LONG + "|" + ASSIGNED
+LOOSE = _NAMED + r"\W*[=:]|PRIVATE KEY-----|" + LONG
 _NAME = r"(?i)^\W*(?:[a-z]+[_\-])*(?:" + "|".join(NAMES) + r")\W*$"
 #: A word that ends in a name and its sign (``password:``, ``{"a":1,"token":``), and one that begins with a sign.
 _NAME_SIGN = r"(?i)(?<![a-z0-9])(?:" + "|".join(NAMES) + r")[\"'`\])]*(?:=>|:=|[=:])$"
