@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ EDGE_MARKS = ".,;:()"
 DITTO = r"(?i)^\W*(?:do|ditto|same)?\W*$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value found once, however often ``use`` reads it (functions over arrays repeat what stands in them)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(c: Column) -> Column:
     """White space runs (Unicode ones too) as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout as Y
-from .base import query
+from .base import query, spread
 
 #: Twelve events are a page's heading words; unnamed words have a null category.
 TOKENS = "tok AS (SELECT event_id // 12 AS page, event_id, event_id * 37 % 1000 AS x0, event_id * 37 % 1000 + 20 + event_id % 30 AS x1, nullif(event_type, 'error') AS category FROM events)"
@@ -90,7 +90,7 @@ def _(t):
     key, step = F.col("p_partkey"), F.lit(60) + F.col("p_size")
     template = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.lit(100) + k * step)
     found = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.lit(100) + k * step + key % 61 - 30 + (k * 7 + key) % 9 + F.when((k + key) % 6 == 0, 40).otherwise(0))
-    best = t.part.select("p_partkey", Y.best_offset(template, found, 50, 15).alias("b"))
+    best = spread(t.part.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", Y.best_offset(template, found, 50, 15).alias("b"))
     return best.select("p_partkey", "b.matches", "b.error", F.col("b.offset").alias("shift"))
 
 

@@ -1,5 +1,6 @@
 """Shapes of plans that let queries grow with their tables: no exploded table sent to the driver, much work a row dealt out."""
 
+import pytest
 from conftest import SF
 
 import scrivener.registry as registry
@@ -13,3 +14,8 @@ def plan(df):
 def test_rows_between_pages_sends_no_lines_to_the_driver(spark):
     found = plan(registry.QUERIES["j22_rows_between_pages"](spark, SF))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+@pytest.mark.parametrize("name", ["x25_offset_search"])
+def test_much_work_a_row_is_dealt_out_over_all_partitions(spark, name):
+    assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4
