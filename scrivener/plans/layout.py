@@ -122,7 +122,7 @@ def _(t):
     key, k_ = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(13))
     shown = F.filter(k_, lambda k: ((k + key) % 5 != 0) | (k == 0))
     at = F.array_sort(F.transform(shown, lambda k: (k * (F.lit(20) + F.col("p_size")) + F.when((k * 3 + key) % 11 == 0, F.lit(-15) - F.col("p_size")).otherwise(k * 7 % 3)).cast("double")))
-    pitched = t.part.select("p_partkey", at.alias("ys")).withColumn("pitch", Y.line_pitch(F.col("ys")))
+    pitched = spread(t.part.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", at.alias("ys")).withColumn("pitch", Y.line_pitch(F.col("ys")))
     return pitched.select("p_partkey", "pitch", F.transform(Y.regular_lines(F.col("ys"), F.col("pitch")), lambda x: F.round(x, 6)).alias("lines"))
 
 
