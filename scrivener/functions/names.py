@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .similarity import similarity
-from .text import collapse
+from .text import bound, collapse
 
 #: Suffixes as written and as kept; words that belong to the word after them in a surname; spellings of newborn phrases.
 SUFFIXES = {"JR": "JR", "JNR": "JR", "SR": "SR", "SNR": "SR", "II": "II", "III": "III", "IV": "IV", "2ND": "II", "3RD": "III", "4TH": "IV"}
@@ -25,10 +25,14 @@ def _bare(word: Column) -> Column:
 
 def suffix_of(word: Column) -> Column:
     """The suffix that a word is, as it is kept; null if it is none."""
-    out = F.when(F.lit(False), F.lit(""))
-    for kept in dict.fromkeys(SUFFIXES.values()):
-        out = out.when(_bare(word).isin(*[k for k, v in SUFFIXES.items() if v == kept]), kept)
-    return out
+
+    def named(bare: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for kept in dict.fromkeys(SUFFIXES.values()):
+            out = out.when(bare.isin(*[k for k, v in SUFFIXES.items() if v == kept]), kept)
+        return out
+
+    return bound(_bare(word), named)
 
 
 def name_units(words: Column) -> Column:
@@ -50,26 +54,37 @@ def split_name(c: Column) -> Column:
     name and the order is a guess. With three or more given units the last is the middle
     name, with two the second, and a suffix is taken off wherever it stands. Blank: nulls.
     """
-    t = collapse(c)
-    comma = F.contains(t, F.lit(","))
-    before = F.when(comma, F.trim(F.substring_index(t, ",", 1))).otherwise(t)
-    after = F.when(comma, F.trim(F.regexp_replace(F.regexp_replace(t, "^[^,]*,", ""), ",", " "))).otherwise(F.lit(""))
     cut = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    after_words = cut(after)
-    only_suffix = comma & (F.size(after_words) > 0) & F.forall(after_words, lambda w: suffix_of(w).isNotNull())
-    plain = ~comma | only_suffix
-    whole = cut(before)
-    ends = lambda ws: F.when((F.size(ws) > 1), suffix_of(F.element_at(ws, -1)))
-    shed = lambda ws: F.when(ends(ws).isNotNull(), F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0)))).otherwise(ws)
-    units = name_units(F.when(plain, shed(whole)).otherwise(shed(after_words)))
-    given = F.when(plain, F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0)))).otherwise(units)
-    n = F.size(given)
-    first = F.when(n == 0, None).when(n == 1, given[0]).otherwise(F.array_join(F.slice(given, 1, F.greatest(n - 1, F.lit(1))), " "))
-    middle = F.when(n >= 2, F.element_at(given, F.greatest(n, F.lit(1))))
-    last = F.when(plain, F.when(F.size(units) > 0, F.element_at(units, F.greatest(F.size(units), F.lit(1))))).otherwise(F.nullif(F.array_join(shed(whole), " "), F.lit("")))
-    suffix = F.coalesce(F.when(only_suffix, suffix_of(F.get(after_words, F.lit(0)))), ends(whole), F.when(comma, ends(after_words)))
-    filled = F.coalesce(t, F.lit("")) != ""
-    return F.struct(*[F.when(filled, x).alias(a) for x, a in ((last, "last"), (first, "first"), (middle, "middle"), (suffix, "suffix"))], (filled & plain & (F.size(units) != 1)).alias("guessed"))
+    said = lambda ws: F.transform(ws, suffix_of)
+    ends = lambda ws, said: F.when(F.size(ws) > 1, F.element_at(said, -1))
+    shed = lambda ws, said: F.when(ends(ws, said).isNotNull(), F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0)))).otherwise(ws)
+
+    # each step is bound, so that what later ones use several times is found once a name
+    def words(t: Column) -> Column:
+        comma = F.contains(t, F.lit(","))
+        before = F.when(comma, F.trim(F.substring_index(t, ",", 1))).otherwise(t)
+        after = F.when(comma, F.trim(F.regexp_replace(F.regexp_replace(t, "^[^,]*,", ""), ",", " "))).otherwise(F.lit(""))
+        return bound(F.struct(t.alias("t"), comma.alias("comma"), cut(before).alias("whole"), cut(after).alias("after")), suffixes)
+
+    def suffixes(x: Column) -> Column:
+        return bound(F.struct(x.alias("x"), said(x["whole"]).alias("whole"), said(x["after"]).alias("after")), lambda s: order(s["x"], s["whole"], s["after"]))
+
+    def order(x: Column, whole: Column, after: Column) -> Column:
+        only_suffix = x["comma"] & (F.size(x["after"]) > 0) & F.forall(after, lambda s: s.isNotNull())
+        suffix = F.coalesce(F.when(only_suffix, F.get(after, F.lit(0))), ends(x["whole"], whole), F.when(x["comma"], ends(x["after"], after)))
+        found = F.struct(x["t"].alias("t"), (~x["comma"] | only_suffix).alias("plain"), shed(x["whole"], whole).alias("whole"), shed(x["after"], after).alias("after"), suffix.alias("suffix"))
+        return bound(found, lambda o: bound(name_units(F.when(o["plain"], o["whole"]).otherwise(o["after"])), lambda units: parts(o, units)))
+
+    def parts(o: Column, units: Column) -> Column:
+        n = F.when(o["plain"], F.greatest(F.size(units) - 1, F.lit(0))).otherwise(F.size(units))  # given units
+        given = F.slice(units, 1, n)
+        first = F.when(n == 0, None).when(n == 1, F.get(units, F.lit(0))).otherwise(F.array_join(F.slice(given, 1, F.greatest(n - 1, F.lit(1))), " "))
+        middle = F.when(n >= 2, F.get(units, n - 1))
+        last = F.when(o["plain"], F.when(F.size(units) > 0, F.element_at(units, F.greatest(F.size(units), F.lit(1))))).otherwise(F.nullif(F.array_join(o["whole"], " "), F.lit("")))
+        filled = F.coalesce(o["t"], F.lit("")) != ""
+        return F.struct(*[F.when(filled, x).alias(a) for x, a in ((last, "last"), (first, "first"), (middle, "middle"), (o["suffix"], "suffix"))], (filled & o["plain"] & (F.size(units) != 1)).alias("guessed"))
+
+    return bound(collapse(c), words)
 
 
 def _newborn_words(part: Column) -> Column:

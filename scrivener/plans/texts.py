@@ -10,7 +10,7 @@ from ..functions import names as N
 from ..functions import text as X
 from ..functions.similarity import clue_scores, close_match, similarity
 from ..operators import learning as L
-from .base import CELLS, cells, query
+from .base import CELLS, cells, query, spread
 
 NEAR = "n AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)"
 
@@ -125,7 +125,7 @@ def _(t):
 def _(t):
     middle = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" M"), "c_nationkey")).otherwise("")
     name = F.concat(F.substring_index("c_name", "#", 1), F.when(F.col("c_custkey") % 3 == 0, " Jr.").otherwise(""), F.lit(", "), "c_mktsegment", middle)
-    return t.customer.select("c_custkey", N.split_name(name).alias("n")).select("c_custkey", "n.last", "n.first", "n.middle", "n.suffix")
+    return spread(t.customer, "c_custkey").select("c_custkey", N.split_name(name).alias("n")).select("c_custkey", "n.last", "n.first", "n.middle", "n.suffix")
 
 
 @query("f22_newborn", """SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 3) THEN 'BABY GIRL' WHEN c_custkey % 6 IN (1, 4, 5) THEN 'BABY BOY' END AS baby,

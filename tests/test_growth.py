@@ -16,6 +16,6 @@ def test_rows_between_pages_sends_no_lines_to_the_driver(spark):
     assert "SortMergeJoin" in found and "Broadcast" not in found
 
 
-@pytest.mark.parametrize("name", ["x25_offset_search", "x27_regular_lines"])
+@pytest.mark.parametrize("name", ["x25_offset_search", "x27_regular_lines", "f21_split_name"])
 def test_much_work_a_row_is_dealt_out_over_all_partitions(spark, name):
     assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4
