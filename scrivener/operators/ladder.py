@@ -6,12 +6,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SECOND = 1_000_000
+#: A waiting attempt as packed into state; those of an hour make one value, so state is read and written by the hour, not by the row.
+WAITING = np.dtype([("at", "<i8"), ("attempt", "<i8"), ("right", "?")])
+SLICE = 3600 * SECOND
+#: Judged attempts given on at a time.
+OUT_ROWS = 10_000
 OUTCOME = "attempt long, at timestamp, outcome string, attempts_left int, lock_seconds long"
 
 
@@ -90,7 +96,7 @@ def lock_ladder(df: DataFrame, key: str, order: str, at: str, right: Column, lad
 
 
 class LadderProcessor(StatefulProcessor):
-    """The ladder over a stream: a value state an account, rows that wait for the watermark, one timer.
+    """The ladder over a stream: a value state an account, rows that wait for the watermark by the hour, one timer.
 
     Rows of a micro-batch come in any order, so they wait until the watermark has passed
     them and are then judged by time. The timer stands at the first waiting row, or where
@@ -103,43 +109,57 @@ class LadderProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "wrong int, locks int, until long, seen long")
-        self.waiting = handle.getListState("waiting", "attempt long, at long, right boolean")
+        self.waiting = handle.getMapState("waiting", "slice long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
         if not key[0]:  # rows without an account pass the watermark on and are judged by nobody
             return
-        for batch in rows:
-            for attempt, at, right in zip(batch["attempt"], batch["us"], batch["right"]):
-                self.waiting.appendValue((int(attempt), int(at), bool(right)))
-        yield from self._judged(key, timerValues)
+        come = [np.rec.fromarrays([batch[c].to_numpy() for c in ("us", "attempt", "right")], dtype=WAITING) for batch in rows]
+        yield from self._judged(key, timerValues, np.concatenate(come) if come else np.empty(0, WAITING))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        return self._judged(key, timerValues)
+        return self._judged(key, timerValues, np.empty(0, WAITING))
 
     def close(self) -> None:
         pass
 
-    def _judged(self, key, timerValues):
+    def _judged(self, key, timerValues, come):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(((int(at), int(attempt), bool(right)) for attempt, at, right in (self.waiting.get() if self.waiting.exists() else ())))
-        state, out, late = State(*map(int, self.state.get())) if self.state.exists() else None, [], []
-        for at, attempt, right in held:
-            if at > passed:
-                late.append((attempt, at, right))
-                continue
-            state, *rest = self.ladder.attempt(state, at, right)
-            out.append((key[0], attempt, pd.Timestamp(at, unit="us", tz="UTC"), *rest))
-        if state is not None and not late and self.ladder.forgotten(state, passed):
+        slices = sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
+        held = lambda at: np.frombuffer(bytes(self.waiting.getValue((at,))[0]), WAITING)
+        due, emptied = [come[come["at"] <= passed]], set()
+        for at in slices:
+            if at * SLICE <= passed:
+                rows = held(at)
+                due.append(rows[rows["at"] <= passed])
+                if len(rest := rows[rows["at"] > passed]):
+                    self.waiting.updateValue((at,), (rest.tobytes(),))
+                else:
+                    self.waiting.removeKey((at,))
+                    emptied.add(at)
+        late = np.sort(come[come["at"] > passed], order="at")
+        kept = {at for at in slices if at not in emptied}
+        for rows in np.split(late, np.flatnonzero(np.diff(late["at"] // SLICE)) + 1) if len(late) else ():
+            at = int(rows["at"][0] // SLICE)
+            self.waiting.updateValue((at,), ((held(at).tobytes() if at in kept else b"") + rows.tobytes(),))
+            kept.add(at)
+        state = State(*map(int, self.state.get())) if self.state.exists() else None
+        ready = np.sort(np.concatenate(due), order=["at", "attempt", "right"])
+        for start in range(0, len(ready), OUT_ROWS):
+            part, said = ready[start : start + OUT_ROWS], []
+            for at, right in zip(part["at"].tolist(), part["right"].tolist()):
+                state, *rest = self.ladder.attempt(state, at, right)
+                said.append(rest)
+            outcome, left, seconds = zip(*said)
+            yield pd.DataFrame({"account": key[0], "attempt": part["attempt"], "at": pd.to_datetime(part["at"], unit="us", utc=True), "outcome": outcome, "attempts_left": left, "lock_seconds": seconds})
+        if state is not None and not kept and self.ladder.forgotten(state, passed):
             state = None
         self.state.update(tuple(state)) if state is not None else self.state.clear()
-        self.waiting.put(late) if late else self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if late or state is not None:
-            due = late[0][1] if late else max(state.seen + self.ladder.forget * SECOND, state.until)
-            self.handle.registerTimer(max(due, passed) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["account", "attempt", "at", "outcome", "attempts_left", "lock_seconds"])
+        if kept or state is not None:
+            first = int(held(min(kept))["at"].min()) if kept else max(state.seen + self.ladder.forget * SECOND, state.until)
+            self.handle.registerTimer(max(first, passed) // 1000 + 1)
 
 
 def lock_ladder_stream(stream: DataFrame, key: str, order: str, at: str, right: Column, *, late: str = "10 minutes", ladder: Ladder = Ladder()) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,77 @@ def test_stream_agrees_across_batches_and_a_restart(spark, tmp_path):
     assert got == want and spark.read.parquet(out).count() == len(rows)
     batch = L.lock_ladder(spark.createDataFrame(rows, SCHEMA), "name", "i", "at", F.col("right"))
     assert {tuple(r) for r in batch.collect()} == {tuple(r) for r in spark.read.parquet(out).select(*batch.columns).collect()}
+
+
+class _Map(dict):
+    """A map state in memory that counts the calls which Spark answers one by one."""
+
+    calls = 0
+
+    def exists(self):
+        return bool(self)
+
+    def getValue(self, key):
+        _Map.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        _Map.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Value(list):
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return tuple(self)
+
+    def update(self, value):
+        self[:] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.value, self.map, self.timers = _Value(), _Map(), []
+
+    def getValueState(self, *_):
+        return self.value
+
+    def getMapState(self, *_):
+        return self.map
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_waiting_attempts_are_kept_by_the_hour_not_by_the_row():
+    """20,000 attempts over two days of one account, in any order: some 50 values of state, and the outcomes of the plain rule."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(1, 48 * 3600) * L.SECOND, rng.random() < 0.1) for i in range(20_000)]
+    frame = pd.DataFrame(rows, columns=["attempt", "us", "right"])
+    handle, processor = _Handle(), L.LadderProcessor(L.Ladder())
+    processor.init(handle)
+    _Map.calls = 0
+    assert list(processor.handleInputRows(("a",), iter([frame[:9_000], frame[9_000:]]), _Watermark(0))) == []
+    assert _Map.calls <= 60 and len(handle.timers) == 1
+    got = [t for ms in (30 * 3600_000, 60 * 3600_000) for df in processor.handleExpiredTimer(("a",), _Watermark(ms), None) for t in df.itertuples()]
+    state, said = None, []
+    for at, attempt, right in sorted((at, i, r) for i, at, r in rows):
+        state, *rest = L.Ladder().attempt(state, at, right)
+        said.append((attempt, *rest))
+    assert [(t.attempt, t.outcome, t.attempts_left, t.lock_seconds) for t in got] == said and not handle.map
