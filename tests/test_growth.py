@@ -19,3 +19,8 @@ def test_rows_between_pages_sends_no_lines_to_the_driver(spark):
 @pytest.mark.parametrize("name", ["x25_offset_search", "x27_regular_lines", "f21_split_name"])
 def test_much_work_a_row_is_dealt_out_over_all_partitions(spark, name):
     assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["r01_order_features"])
+def test_lines_are_not_multiplied_for_distinct_counts(spark, name):
+    assert "Expand" not in plan(registry.QUERIES[name](spark, SF))
