@@ -36,6 +36,58 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> Dat
     return held.withColumn("_in_range", place).join(F.broadcast(ahead), "_range").withColumn(name, F.col("_in_range") + F.col("_ahead")).drop("_range", "_in_range", "_ahead")
 
 
+def _ahead(held: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
+    """``_in, _k0.., _ahead, _all``: by range and key the amount of the key in the ranges before, and in all. One row a range and key, at most the ranges and keys together."""
+    by, w = held.groupBy("_range", *keys).agg(amount.alias("_here")), Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_here").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return by.select(F.col("_range").alias("_in"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], before.alias("_ahead"), F.sum("_here").over(w).alias("_all"))
+
+
+def _with_ahead(df: DataFrame, keys: Sequence[str], ahead: DataFrame) -> DataFrame:
+    on = [F.col("_range") == F.col("_in"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    return df.join(ahead, on).drop("_in", *[f"_k{i}" for i in range(len(keys))])
+
+
+def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], tiles: int) -> DataFrame:
+    """``df`` with ``tile`` (of ``tiles``), ``below`` (cumulative share) and ``share`` (percent rank) of each row of its key, where few keys hold all rows.
+
+    Rows are dealt out by ranges of (``keys``, ``order``) and written once; places are those
+    in the range and the rows of the key in the ranges before. Rows equal in ``order`` are in one range.
+    """
+    path = scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    w = Window.partitionBy("_range", *keys).orderBy(*order)
+    local = held.withColumns({"_row": F.row_number().over(w), "_rank": F.rank().over(w), "_upto": F.count("*").over(w)})
+    found = _with_ahead(local, keys, _ahead(held, keys, F.count("*")))
+    n, row, size = F.col("_all"), F.col("_row") + F.col("_ahead") - 1, F.floor(F.col("_all") / tiles)
+    # the first n % tiles tiles have one row more
+    long_ = n % tiles
+    tile = F.when(row < long_ * (size + 1), F.floor(row / (size + 1))).otherwise(long_ + F.floor((row - long_ * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    share = F.when(n > 1, (F.col("_rank") + F.col("_ahead") - 1) / (n - 1)).otherwise(0.0)
+    return found.select(*df.columns, tile.cast("long").alias("tile"), ((F.col("_upto") + F.col("_ahead")) / n).alias("below"), share.alias("share"))
+
+
+def count_within(df: DataFrame, keys: Sequence[str], value: str, reach: float, name: str) -> DataFrame:
+    """``keys, value, name``: how many rows of the key lie within ``reach`` of each distinct value, without visiting them value by value.
+
+    Values and both ends of each one's frame are put in one order. A running total over ranges
+    of it is the rows up to any place, so a count is the difference of two, in time linear in the rows. Null values count as near to each other only.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    point = lambda at, kind, n: F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), n.alias("_w"))
+    v, none = F.col("_v"), F.lit(0).cast("long")
+    path = scratch(df.sparkSession, "points")
+    points = counts.select(*keys, "_v", F.inline(F.array(point(v - reach, -1, none), point(v, 0, F.col("_n")), point(v + reach, 1, none))))
+    points.repartitionByRange(*keys, "_at", "_kind").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    w = Window.partitionBy("_range", *keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.withColumn("_sum", F.sum("_w").over(w)).where("_kind <> 0")
+    found = _with_ahead(ends, keys, _ahead(held, keys, F.sum("_w")))
+    total = F.sum(F.col("_kind") * (F.col("_sum") + F.col("_ahead")))
+    return found.groupBy(*keys, "_v").agg(total.alias(name)).withColumnRenamed("_v", value)
+
+
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key; Spark limits each group before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

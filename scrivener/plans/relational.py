@@ -280,8 +280,11 @@ def _(t):
 
 @query("w15_rank_frames", """SELECT o_orderkey, ntile(4) OVER w AS quarter, cume_dist() OVER w AS below, percent_rank() OVER w AS share, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS alike FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)""")
 def _(t):
-    w, near = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey"), Window.partitionBy("o_orderpriority").orderBy("o_totalprice").rangeBetween(-1000, 1000)
-    return t.orders.select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.cume_dist().over(w).alias("below"), F.percent_rank().over(w).alias("share"), F.count("*").over(near).alias("alike"))
+    keys = ["o_orderpriority"]
+    near = W.count_within(t.orders, keys, "o_totalprice", 1000, "alike").select(F.col("o_orderpriority").alias("_p"), F.col("o_totalprice").alias("_v"), "alike")
+    placed = W.ranks(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), keys, ["o_totalprice", "o_orderkey"], 4)
+    found = placed.join(near, F.col("o_orderpriority").eqNullSafe(F.col("_p")) & F.col("o_totalprice").eqNullSafe(F.col("_v")))
+    return found.select("o_orderkey", F.col("tile").alias("quarter"), "below", "share", "alike")
 
 
 # ---- order and top-k ---------------------------------------------------------------------------------
