@@ -69,7 +69,9 @@ def checked_links(rows: DataFrame, key: str, wanted: DataFrame, roles: Sequence[
     """
     asked = wanted.select(F.col(key), F.col("role").alias("_role"), F.col("parent").alias("_parent"), F.lit(True).alias("_asked"))
     known = rows.select(F.col(key).alias("_parent"), F.lit(True).alias("_known"))
-    found = rows.join(asked, key, "left").join(known, "_parent", "left")
+    # only changes that name a parent look for it: rows without one would all meet in one task
+    named, bare = asked.where("_parent is not null"), asked.where("_parent is null").withColumn("_known", F.lit(None).cast("boolean"))
+    found = rows.join(named.join(known, "_parent", "left").unionByName(bare), key, "left")
     error = F.when(F.col("_role").isNotNull() & ~F.col("_role").isin(*roles), "unknown role").when(F.col("_parent") == F.col(key), "own parent").when(F.col("_parent").isNotNull() & F.col("_known").isNull(), "no such parent")
     change = F.col("_asked").isNotNull() & F.col("_error").isNull()
     return found.withColumn("_error", error).select(*[c for c in rows.columns if c not in ("role", "parent")], F.when(change, F.col("_role")).otherwise(F.col("role")).alias("role"), F.when(change, F.col("_parent")).otherwise(F.col("parent")).alias("parent"), F.col("_error").alias("error"))

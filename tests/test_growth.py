@@ -4,6 +4,7 @@ import pytest
 from conftest import SF
 
 import scrivener.registry as registry
+from scrivener.operators import stores
 
 
 def plan(df):
@@ -24,3 +25,19 @@ def test_much_work_a_row_is_dealt_out_over_all_partitions(spark, name):
 @pytest.mark.parametrize("name", ["r01_order_features"])
 def test_lines_are_not_multiplied_for_distinct_counts(spark, name):
     assert "Expand" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_rows_without_parent_do_not_meet_in_one_task(spark):
+    rows = spark.range(1000).selectExpr("id AS claim", "'other' AS role", "CAST(NULL AS BIGINT) AS parent")
+    wanted = spark.range(1000).selectExpr("id AS claim", "'mother' AS role", "CASE WHEN id = 7 THEN 5000 WHEN id = 8 THEN 3 END AS parent")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        parts = stores.checked_links(rows, "claim", wanted, ("mother",)).rdd.glom().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {r["claim"]: (r["role"], r["parent"], r["error"]) for p in parts for r in p}
+    assert max(map(len, parts)) < 500 and len(got) == 1000
+    assert got[7] == ("other", None, "no such parent") and got[8] == ("mother", 3, None) and got[9] == ("mother", None, None)
