@@ -22,7 +22,7 @@ def test_much_work_a_row_is_dealt_out_over_all_partitions(spark, name):
     assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4
 
 
-@pytest.mark.parametrize("name", ["r01_order_features"])
+@pytest.mark.parametrize("name", ["r01_order_features", "r02_compiled_rules", "r09_field_graph"])
 def test_lines_are_not_multiplied_for_distinct_counts(spark, name):
     assert "Expand" not in plan(registry.QUERIES[name](spark, SF))
 
