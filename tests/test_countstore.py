@@ -4,6 +4,8 @@ import os
 import random
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import accumulate
+from math import ceil
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,20 @@ def test_nearest_common_word_against_brute_force(spark):
         best = min((f for f in fit if -f[0] >= 0.8), default=None)
         want = None if t in entries or best is None else best[2]
         assert r["nearest"] == want and (want is None or r["nearest_score"] == pytest.approx(-best[0]))
+
+
+def test_short_texts_pair_only_where_enough_letters_stand_in_order(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(8, 13)))
+    left, right = sorted({word() for _ in range(150)}), sorted({word() for _ in range(150)})
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = [0, *accumulate(zip(row, row[1:], y), lambda m, z: max(m, z[1], z[0] + (c == z[2])), initial=0)][1:]
+        return row[-1]
+
+    frames = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((left, "t"), (right, "e")))
+    got = {(r["t"], r["e"]) for r in signatures.similar_pairs(*frames, [], "t", "e", 0.85, (F.col("size") - 3, F.col("size") + 3)).collect()}
+    want = {(x, y) for x in left for y in right if abs(len(x) - len(y)) <= 3 and common(x, y) >= ceil(0.85 * (len(x) + len(y)) / 2 - 1e-9)}
+    assert got == want and len(want) > 5
