@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,27 @@ _BASE = f"""li AS (SELECT l_orderkey, {", ".join(f"{e} AS {c}" for c, e in _LINE
  f AS (SELECT o_orderkey, {", ".join(f"{e} AS {c}" for c, e in _DUCK.items())} FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN li ON l_orderkey = o_orderkey)"""
 
 
+def over(aggregate: str):
+    """An aggregate of ``_LINES`` (casts around it stay outside) over the lines of an order."""
+    return F.expr(re.sub(r"(sum|min|max|count)\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"\1(\2) OVER (PARTITION BY l_orderkey)", aggregate, count=1))
+
+
 _LINE_COLUMNS = "l_orderkey l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
 def line_sums(t):
-    """``_LINES`` by order. Lines are dealt out by order once, and distinct parts and suppliers counted where they change along a sort there.
+    """``_LINES`` by order. Lines are dealt out by order and sorted once: all sums are taken along that sort, which the join with the orders then uses too.
 
-    ``count(DISTINCT)`` would send each line three times, and sums by part of an order are wider than its lines.
+    ``count(DISTINCT)`` would send each line three times, sums by part of an order are wider than its
+    lines, and a sort for each distinct count and one for the join hold the lines several times.
     """
     lines, order = t.lineitem.select(*_LINE_COLUMNS).where("l_orderkey is not null").repartition("l_orderkey"), Window.partitionBy("l_orderkey")
-    first = {name: (F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.lag(c).over(order.orderBy(c)))).cast("long") for name, c in (("n_parts", "l_partkey"), ("n_suppliers", "l_suppkey"))}
-    marked = lines.withColumns(first)
-    return marked.groupBy("l_orderkey").agg(*[(F.sum(c) if c in first else F.expr(e)).alias(c) for c, e in _LINES.items()])
+    by_part = order.orderBy("l_partkey")
+    new_part = (F.col("l_partkey").isNotNull() & ~F.col("l_partkey").eqNullSafe(F.lag("l_partkey").over(by_part))).cast("long")
+    distinct = {"n_parts": F.sum("_new_part").over(order), "n_suppliers": F.size(F.collect_set("l_suppkey").over(order)).cast("long")}
+    marked = lines.select("*", new_part.alias("_new_part"), F.row_number().over(by_part).alias("_place"))
+    summed = marked.select("l_orderkey", "_place", *[(distinct[c] if c in distinct else over(e)).alias(c) for c, e in _LINES.items()])
+    return summed.where("_place = 1").drop("_place")
 
 
 def features(t):

@@ -27,6 +27,10 @@ def test_lines_are_not_multiplied_for_distinct_counts(spark, name):
     assert "Expand" not in plan(registry.QUERIES[name](spark, SF))
 
 
+def test_lines_are_sorted_once(spark):
+    assert plan(registry.QUERIES["r02_compiled_rules"](spark, SF)).split("Initial Plan")[-1].count("Sort [l_orderkey") == 1
+
+
 def test_rows_without_parent_do_not_meet_in_one_task(spark):
     rows = spark.range(1000).selectExpr("id AS claim", "'other' AS role", "CAST(NULL AS BIGINT) AS parent")
     wanted = spark.range(1000).selectExpr("id AS claim", "'mother' AS role", "CASE WHEN id = 7 THEN 5000 WHEN id = 8 THEN 3 END AS parent")
