@@ -54,3 +54,8 @@ def test_equal_empty_and_unlike_trees(spark, tmp_path):
     assert {(r["kind"], r["n"]) for r in T.compare(spark, a, empty).collect()} == {("changed", 1), ("missing", 1)}
     with pytest.raises(ValueError, match="unlike"):
         T.differing_leaves(spark, a, T.TableTree("x", ("k",)))
+
+
+def test_rows_are_hashed_by_value_place_of_nulls_and_sign_of_zero(spark, tmp_path):
+    df = spark.createDataFrame([(0.0, "x", None), (-0.0, "x", None), (0.0, None, "x"), (None, "x", None), (0.0, "x", "")], "a double, b string, c string")
+    assert all(df.select(h.alias("h")).distinct().count() == 5 for h in T.row_hashes(df.schema))
