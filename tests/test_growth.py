@@ -45,3 +45,9 @@ def test_rows_without_parent_do_not_meet_in_one_task(spark):
     got = {r["claim"]: (r["role"], r["parent"], r["error"]) for p in parts for r in p}
     assert max(map(len, parts)) < 500 and len(got) == 1000
     assert got[7] == ("other", None, "no such parent") and got[8] == ("mother", 3, None) and got[9] == ("mother", None, None)
+
+
+@pytest.mark.parametrize("name", ["q01_sql_fill_down", "q02_sql_islands"])
+def test_table_functions_take_batches_not_rows(spark, name):
+    found = plan(registry.QUERIES[name](spark, SF))
+    assert "ArrowEvalPythonUDTF" in found and "BatchEvalPythonUDTF" not in found
