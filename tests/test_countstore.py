@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from scrivener.operators import linkage, signatures
 from scrivener.operators.countstore import CountStore
+from scrivener.registry import QUERIES
 
 SCHEMA = StructType().add("field", "string").add("value", "string").add("n", "long")
 
@@ -135,3 +136,27 @@ def test_short_texts_pair_only_where_enough_letters_stand_in_order(spark):
     got = {(r["t"], r["e"]) for r in signatures.similar_pairs(*frames, [], "t", "e", 0.85, (F.col("size") - 3, F.col("size") + 3)).collect()}
     want = {(x, y) for x in left for y in right if abs(len(x) - len(y)) <= 3 and common(x, y) >= ceil(0.85 * (len(x) + len(y)) / 2 - 1e-9)}
     assert got == want and len(want) > 5
+
+
+def test_without_a_band_entries_of_all_lengths_that_the_cutoff_allows_are_found(spark):
+    rng = random.Random(8)
+    entries = {"".join(rng.choice("ABCDEFGH") for _ in range(rng.randint(1, 24))): rng.randint(1, 9) for _ in range(120)}
+    less = lambda w: "".join(w[k] for k in sorted(rng.sample(range(len(w)), len(w) - len(w) // 4)))
+    texts = sorted({f(w) for w in entries for f in (less, lambda w: w + less(w)[: len(w) // 3], lambda w: misread(rng, w).upper())})
+    frames = spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(list(entries.items()), "e string, n int")
+    for cutoff in (0.6, 0.85):
+        got = {r["t"]: (r["nearest"], r["nearest_score"]) for r in linkage.near_entry(*frames, [], "t", "e", "n", cutoff, band=False).collect()}
+        want, far = {}, 0
+        for t in texts:
+            fit = [(-s, -n, e) for e, n in entries.items() if (s := SequenceMatcher(None, t, e).ratio()) >= cutoff]
+            best = None if t in entries else min(fit, default=None)
+            want[t] = (best and best[2], best and -best[0])
+            far += bool(best) and abs(len(best[2]) - len(t)) > max(2, len(t) // 4)
+        assert got == want and far > 5
+
+
+def test_rare_word_finds_a_common_word_three_letters_longer(spark, tmp_path):
+    texts = ["andanblehein"] * 10 + ["ananbleen", "andanblehe", "qqqqqqqqq"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["word"]: (r["nearest"], r["nearest_score"]) for r in QUERIES["j08_rare_words"](spark, str(tmp_path)).collect()}
+    assert got == {"ananbleen": ("andanblehein", 18 / 21), "andanblehe": ("andanblehein", 20 / 22), "qqqqqqqqq": (None, None)}
